@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperline.llm import decontam, idfiles, langid, mixing, tokens
+from copperline.llm import decontam, idfiles, langid, mixing, ngram_join, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -16,6 +16,15 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_manifest(manifest, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -38,6 +47,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
+        "op2_warc": op2_warc,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,
         "op7_token_files": op7_token_files,
@@ -47,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontam.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op6_decontamination": decontam.ORACLE}
