@@ -26,6 +26,8 @@ own result. An empty table gives no rows. Extra columns are not looked at, whate
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,40 +72,42 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
     return level.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).select("skey", "source_size", "weight", "target")
 
 
-def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = ()) -> DataFrame:
-    """Each row with its key, its size and the place of its first word in its source's stream.
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = ()) -> DataFrame:
+    """The rows in the order of their sources' streams, numbered and stored: row, part, doc_id, source, skey, size.
 
-    Columns: row, doc_id, source, skey, size, start, and ``keep`` (which go through the sort; leave them out where
-    only figures are wanted).
+    ``keep`` names columns to carry along as the struct ``own``; without it only narrow rows are sorted.
     """
     source = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("skey"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *keep)
-    dealt = rows.repartitionByRange("skey", "doc_id", "tie").sortWithinPartitions("skey", "doc_id", "tie")
-    dealt = stored(dealt.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "mix-rows")
-    parts = dealt.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
+    own = [F.struct(*keep).alias("own")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("skey"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *own)
+    rows = rows.repartitionByRange("skey", "doc_id", "tie").sortWithinPartitions("skey", "doc_id", "tie").drop("tie")
+    return stored(rows.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "mix-rows")
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Each dealt row with the place of its first word in its source's stream: row, doc_id, source, skey, size, start."""
+    parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("skey", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("skey", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    narrow = dealt.select("row", "doc_id", "source", "skey", "part", "size").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = narrow.join(parts, ["skey", "part"]).select("row", "doc_id", "source", "skey", "size", (F.col("part_start") + F.col("inside")).alias("start"))
-    return out.join(dealt.select("row", *keep), "row") if keep else out
+    narrow = rows.select("row", "doc_id", "source", "skey", "part", "size").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return narrow.join(parts, ["skey", "part"]).select("row", "doc_id", "source", "skey", "size", (F.col("part_start") + F.col("inside")).alias("start"))
 
 
-def plan(places: DataFrame, block: int = BLOCK, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per source: sizes, target, blocks, whole epochs, words of the last epoch, and number of slots."""
+def plan(places: DataFrame, block: int = BLOCK, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per source: sizes, target, blocks, whole epochs, words of the last epoch, numbers of slots and of all shards."""
     sizes = places.groupBy("skey").agg(F.sum("size").alias("source_size"))
     rows = source_targets(sizes, cap, weights).withColumn("take", F.floor("target"))
     size = F.greatest("source_size", F.lit(1))
-    rows = rows.withColumns({"n_full": F.expr(f"source_size div {block}"), "n_blocks": F.ceil(F.col("source_size") / block), "whole": (F.col("take") - F.pmod("take", size)) / size, "rest": F.pmod(F.col("take"), size)})
-    rows = rows.withColumn("whole", F.col("whole").cast("long"))
-    return rows.withColumn("slots", F.col("whole") * F.col("n_blocks") + F.ceil(F.col("rest") / block))
+    rows = rows.withColumns({"n_full": F.expr(f"source_size div {block}"), "n_blocks": F.ceil(F.col("source_size") / block), "whole": F.expr("take div greatest(source_size, 1)"), "rest": F.pmod(F.col("take"), size)})
+    n_shards = F.greatest(F.ceil(F.sum("take").over(Window.partitionBy()) / shard_words), F.lit(1))
+    return rows.withColumns({"slots": F.col("whole") * F.col("n_blocks") + F.ceil(F.col("rest") / block), "n_shards": n_shards})
 
 
-def slots(plans: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+def slots(plans: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The drawn mix: (skey, slot, shard, epoch, block, words) of every slot."""
     used = plans.where("slots > 0")
-    shards = used.agg(F.greatest(F.ceil(F.sum("take") / shard_words), F.lit(1)).alias("n_shards"))
-    runs = used.join(shards).select("skey", "slots", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))).alias("run"))
+    runs = used.select("skey", "slots", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))).alias("run"))
     runs = runs.repartition("skey", "run")
     drawn = runs.select("skey", "n_shards", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "slots") - 1)).alias("j"))
     counts = drawn.groupBy("skey", F.pmod(F.xxhash64(F.lit(seed), "skey", "j"), F.col("n_shards")).alias("shard")).agg(F.count("*").alias("n"))
@@ -128,30 +132,39 @@ def taken_spans(places: DataFrame, drawn: DataFrame, block: int = BLOCK) -> Data
     return met.select("row", "shard", "slot", "epoch", first.alias("first"), last.alias("last")).where("last > first")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, shard_words: int = SHARD_WORDS, seed: int = SEED, keep: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, plans, spans): rows with their place in the streams, one plan per source, and the spans that the mix takes."""
-    places = stored(located(docs, id_col, text_col, source_col, keep), "mix-places")
-    plans = stored(plan(places, block, cap, weights), "mix-plans")
-    return places, plans, taken_spans(places, slots(plans, block, shard_words, seed), block)
+class Mix(NamedTuple):
+    """rows: dealt rows; places: their place in the streams; plans: one row per source; spans: the words that are taken."""
+
+    rows: DataFrame
+    places: DataFrame
+    plans: DataFrame
+    spans: DataFrame
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, shard_words: int = SHARD_WORDS, seed: int = SEED, keep: list[str] = ()) -> Mix:
+    rows = dealt(docs, id_col, text_col, source_col, keep)
+    places = stored(located(rows), "mix-places")
+    plans = stored(plan(places, block, cap, weights, shard_words), "mix-plans")
+    return Mix(rows, places, plans, taken_spans(places, slots(plans, block, seed), block))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    places, plans, spans = mix(docs, **options)
-    taken = spans.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    rows = places.join(plans.select("skey", "source_size", "target"), "skey").join(taken, "row", "left")
+    """One row per document: doc_id, source, size, source_size, target, taken."""
+    made = mix(docs, **options)
+    taken = made.spans.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    rows = made.places.join(made.plans.select("skey", "source_size", "target"), "skey").join(taken, "row", "left")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, columns: list[str], text_col: str = "text", **options) -> DataFrame:
     """The mix as documents: a row for each document and epoch that takes words of it, at most CAP per document.
 
     A document that an epoch takes whole keeps its text; otherwise its text is the words taken, in order, with
     blanks between. Documents of which nothing is taken go.
     """
-    places, _, spans = mix(docs, id_col, text_col, source_col, keep=[F.struct(*columns).alias("own")], **options)
-    epochs = spans.groupBy("row", "epoch").agg(F.sum(F.col("last") - F.col("first")).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
-    rows = places.select("row", "size", "own").join(epochs, "row")
+    made = mix(docs, text_col=text_col, keep=columns, **options)
+    epochs = made.spans.groupBy("row", "epoch").agg(F.sum(F.col("last") - F.col("first")).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
+    rows = made.rows.select("row", "size", "own").join(epochs, "row")
     text = F.col("own")[text_col]
     every = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     parts = F.transform("cuts", lambda s: F.array_join(F.slice(every, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")), " "))

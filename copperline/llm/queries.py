@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperline.llm import decontam, idfiles, langid, mixing, ngram_join, tokens, warc
+from copperline.llm import ann, decontam, idfiles, langid, mixing, ngram_join, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_token_files": op7_token_files,
         "op8_language_id": op8_language_id,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_mixing": op10_mixing,
     }
 
