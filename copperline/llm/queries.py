@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperline.llm import ann, decontam, idfiles, langid, mixing, ngram_join, tokens, warc
+from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, ngram_join, suffix_dedup, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -25,6 +25,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_manifest(manifest, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_warc": op2_warc,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_chat_format": op4_chat_format,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,
         "op7_token_files": op7_token_files,
