@@ -58,10 +58,10 @@ def from_planes(planes: list[bytes], n: int, kind: int) -> np.ndarray:
         for k, plane in enumerate(planes):
             raw[:, k] = np.frombuffer(plane, np.uint8)
         return raw.reshape(-1).view("<u4")
-    bits = np.zeros((32, n), np.uint8)
+    ids = np.zeros(n, "<u4")
     for k, plane in enumerate(planes):
-        bits[k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n)
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view("<u4")
+        ids |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n).astype("<u4") << np.uint32(k)
+    return ids
 
 
 class FileWriter:
@@ -231,5 +231,6 @@ def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), wide.types, strict=True)], schema=wide)
 
-    files = manifest.select("path", "bytes", "start").repartition(F.col("path"))
+    # A file is a task; without a number, adaptive execution would join these few rows into one partition.
+    files = manifest.select("path", "bytes", "start").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

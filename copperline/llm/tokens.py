@@ -122,8 +122,11 @@ class Encoder:
             self.clear()
         base = int(offsets[0])
         own = data[base : int(offsets[-1])]
-        at = np.unique(offsets[:-1][offsets[1:] > offsets[:-1]] - base)
-        starts = np.union1d(at, cut_points(own)) if self.cuttable else at
+        begins = np.zeros(len(own), bool)
+        begins[offsets[:-1][offsets[1:] > offsets[:-1]] - base] = True
+        if self.cuttable:
+            begins[cut_points(own)] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(own))[: len(starts)]
         bounds = np.searchsorted(starts, offsets - base)
         rows = np.zeros(len(starts), np.int64)
