@@ -280,7 +280,7 @@ def read_manifest(manifest: DataFrame, columns: list[str] = _PAGE.names) -> Data
     order = [x.split()[0] for x in ddl.split(", ")]
     if order != list(columns):
         raise ValueError(f"columns must be in the order of {_PAGE.names}")
-    return manifest.select("path", "n_records").repartition(F.col("path")).mapInArrow(read, ddl)
+    return manifest.select("path", "n_records").repartition(max(1, manifest.count()), "path").mapInArrow(read, ddl)
 
 
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
