@@ -89,7 +89,7 @@ def _chip(lines: list[str]) -> tuple[dict[str, str], dict[str, str]]:
     body: dict[str, str] = {}
     marks = [k for k, x in enumerate(lines) if x in ("pin", "body", "end_pin;")]
     kind = ""
-    for start, end in zip(marks, [*marks[1:], len(lines)], strict=True):
+    for start, end in zip(marks, [*marks[1:], len(lines)], strict=False):
         if lines[start] != "end_pin;":
             kind = lines[start]
         elif kind == "pin":
@@ -111,7 +111,7 @@ def chip_rows(text: str) -> list[tuple[str, int, dict[str, str], dict[str, str]]
     """(part_name, chip_ord, pins: name to number, body) of each primitive, in order."""
     lines = [raw.strip(_SPACE) for raw in text.split("\n")]
     heads = [k for k, x in enumerate(lines) if x.startswith("primitive ")]
-    found = [(_PRIMITIVE.search(lines[k]), lines[k + 1 : end]) for k, end in zip(heads, [*heads[1:], len(lines)], strict=True)]
+    found = [(_PRIMITIVE.search(lines[k]), lines[k + 1 : end]) for k, end in zip(heads, [*heads[1:], len(lines)], strict=False)]
     named = [(match[1], *_chip(own)) for match, own in found if match]
     return [(name, k, pins, body) for k, (name, pins, body) in enumerate(named)]
 
