@@ -6,6 +6,7 @@ All run over the projection of the supplied tables; each returns flat rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,15 @@ def _flat(groups: DataFrame) -> DataFrame:
     return groups.select("mpn", "description", "value", F.coalesce("dns", F.lit(False)).alias("dns"), F.array_join("refdes", ",").alias("refdes"), F.col("count").alias("n"))
 
 
+def _settled(spark: SparkSession, sf_dir: str):
+    """The projection with its pins computed once; a traversal reads them many times."""
+    net = projection.netlist(spark, sf_dir)
+    pins = xnet.cut(net.net_pins)
+    nets = xnet.cut(pins.groupBy("design_id", "net").agg(F.min("net_ord").alias("net_ord")))
+    own = pins.select("design_id", "refdes", "pin", F.lit(None).cast("string").alias("pin_name"), "net", "pin_ord")
+    return replace(net, component_pins=own, net_pins=pins, nets=nets)
+
+
 def _starts(spark: SparkSession, sf_dir: str, net) -> DataFrame:
     return net.nets.where((F.col("net_ord") % 50 == 7) & ~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
 
@@ -35,13 +45,13 @@ START_SQL = f"SELECT net AS root FROM nets WHERE net NOT IN ('GND', '+3V3') AND
 
 
 def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = ()):
-    net = projection.netlist(spark, sf_dir)
+    net = _settled(spark, sf_dir)
     seen = xnet.reach(net, _starts(spark, sf_dir, net), skip)
     return net, seen, xnet.circuit_pins(net, seen, skip)
 
 
 def _every_circuit(spark: SparkSession, sf_dir: str):
-    net = projection.netlist(spark, sf_dir)
+    net = _settled(spark, sf_dir)
     seen = xnet.closure_visits(xnet.closures(net))
     return net, seen, xnet.circuit_pins(net, seen)
 
@@ -121,7 +131,7 @@ def xnet_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended nets of pin 1 of each part whose key is divisible by 20 and whose pin is not on ground."""
-    net = projection.netlist(spark, sf_dir)
+    net = _settled(spark, sf_dir)
     chosen = net.components.where(F.col("comp_ord") % 20 == 0).select("design_id", "refdes")
     pins = net.component_pins.where("pin = '1'").join(chosen, ["design_id", "refdes"], "left_semi").where(~exprs.is_ground(F.col("net")))
     seen = xnet.reach(net, pins.select("design_id", F.col("net").alias("root")))
@@ -132,7 +142,7 @@ def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xnet_power_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A start on a power net is expanded, though such nets end a traversal otherwise."""
-    net = projection.netlist(spark, sf_dir)
+    net = _settled(spark, sf_dir)
     seen = xnet.reach(net, xnet.starts_of(spark, [(projection.DESIGN, "+3V3")]))
     return xnet.circuit_pins(net, seen).select("root", "refdes", "pin", "net")
 
@@ -147,7 +157,7 @@ def xnet_skipped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xnet_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xnet.closures(projection.netlist(spark, sf_dir)).select("net", "label")
+    return xnet.closures(_settled(spark, sf_dir)).select("net", "label")
 
 
 def xnet_group_by_mpn(spark: SparkSession, sf_dir: str) -> DataFrame:
