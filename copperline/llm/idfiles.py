@@ -181,7 +181,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
             data, offsets = bytesplit.text_buffer(batch.column(1))
             column = batch.column(0)
             doc_ids, nulls = column.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(column.is_null())
-            for i, j in bytesplit.spans(offsets):
+            for i, j in bytesplit.spans(offsets, min(bytesplit.SPAN_BYTES, file_ids)):
                 ids, lens = encoder(tokenizer_path).encoded(data, offsets[i : j + 1])
                 ids = np.insert(ids, np.cumsum(lens), np.uint32(end_id))
                 if out is None:
