@@ -55,3 +55,21 @@ def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     pin = pin.otherwise(F.when(F.col("low") <= ACTIVE_PINS, F.array(F.col("low").cast("string"))).otherwise(F.array().cast("array<string>")))
     net = F.when(F.col("l_orderkey") % 97 == 0, "GND").when(F.col("l_orderkey") % 89 == 0, "+3V3").otherwise(F.concat(F.lit("N"), F.col("l_orderkey").cast("string")))
     return joined.select(F.lit(DESIGN).alias("design_id"), _refdes(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net.alias("net"), "l_orderkey", "l_partkey")
+
+
+def cadence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection as Cadence text exports, a design per brand: rows (design_id, kind, content)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("refdes", _refdes(F.col("p_type"), F.col("p_partkey")))
+    pins = ranked_pins(spark, sf_dir, part).join(part.select("p_brand", "refdes"), "refdes")
+    lines = lambda values: F.array_join(F.sort_array(F.collect_list(values)), "\n")
+    node = F.concat(F.lit("NODE_NAME "), "refdes", F.lit(" "), "pin")
+    nets = pins.groupBy("p_brand", "net").agg(F.concat(F.lit("NET_NAME\n'"), F.first("net"), F.lit("'\n"), lines(node)).alias("t"))
+    number = F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("MFGR_PN='"), "p_brand", F.lit("-"), F.col("p_size").cast("string"), F.lit("';\n"))).otherwise("")
+    section = F.concat(F.lit("PART_NAME\n "), "refdes", F.lit(" '"), "p_type", F.lit("':;\n"), number, F.lit('DESCR="'), "p_name", F.lit('",'))
+    chip = F.concat(F.lit("primitive '"), "p_type", F.lit("';\npin\n'FIRST':\nPIN_NUMBER='(1)';\nend_pin;\nbody\nVALUE='"), F.lower("p_type"), F.lit("';\nend_body;"))
+    texts = [("pstxnet", nets.select("p_brand", "t")), ("pstxprt", part.select("p_brand", section.alias("t"))), ("pstchip", part.select("p_brand", chip.alias("t")).distinct())]
+    out = None
+    for kind, rows in texts:
+        files = rows.groupBy("p_brand").agg(lines("t").alias("t")).select(F.col("p_brand").alias("design_id"), F.lit(kind).alias("kind"), F.encode("t", "UTF-8").alias("content"))
+        out = files if out is None else out.unionByName(files)
+    return out

@@ -15,6 +15,7 @@ from copperline.functions import exprs
 from copperline.operators import components as parts
 from copperline.operators import geometry, grouping, matching, xnet
 from copperline.plans import oracle, projection
+from copperline.sources import cadence
 
 #: Patterns of the registered searches; the same in Java and RE2.
 NET_SEARCH = "^N1[0-9]*7$"
@@ -209,6 +210,18 @@ def spatial_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("sheet", "a", "b")
 
 
+def cadence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection written as text exports, one design per brand, and parsed and joined again."""
+    net = cadence.netlist(projection.cadence_files(spark, sf_dir))
+    pins = net.component_pins.select("design_id", "refdes", "pin", "pin_name", "net")
+    return net.components.select("design_id", "refdes", "mpn", "description", "value").join(pins, ["design_id", "refdes"], "left")
+
+
+def netlist_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the projection that break the tables' contract."""
+    return projection.netlist(spark, sf_dir).problems()
+
+
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's parts as designs and its orders as data sets, matched one to one by score."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -228,6 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, greedy_assignment,
+        cadence_round_trip, netlist_problems,
     )
     return {f.__name__: f for f in every}
 
@@ -297,6 +311,13 @@ FROM vis v LEFT JOIN t USING (root) GROUP BY v.root""",
         "circuit_hash_all": f"""{every_circuit}
 SELECT root, substr(sha256('[' || string_agg('{{"refdes":"' || refdes || '","mpn":' || coalesce('"' || mpn || '"', 'null') || ',"connections":[' || wiring || ']}}', ',' ORDER BY {oracle.NATURAL}) || ']'), 1, 16) AS circuit_hash
 FROM keyed GROUP BY root""",
+        "cadence_round_trip": f"""{base}
+SELECT p_brand AS design_id, c.refdes, coalesce(mpn, p_type) AS mpn, p_name AS description,
+       CASE WHEN pin IS NOT NULL THEN lower(p_type) END AS value, pin, CASE WHEN pin = '1' THEN 'FIRST' END AS pin_name, net
+FROM part0 c JOIN comp0 USING (refdes) LEFT JOIN pins ON pins.refdes = c.refdes""",
+        "netlist_problems": f"""{base},
+twice AS (SELECT refdes, pin FROM pins GROUP BY refdes, pin HAVING count(*) > 1)
+SELECT 'component_pins' AS "table", 'star' AS design_id, refdes || '.' || pin AS name, 'key is repeated' AS problem FROM twice""",
         "spatial_connect": """
 WITH b AS (
   SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS sheet, l_orderkey || '-' || l_partkey || '-' || l_linenumber AS idx,
