@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; longer texts are taken whole, alone.
-SPAN_BYTES = 2 << 20
+#: Bytes of text that are worked on at once, some fifty bytes of arrays each; longer texts are taken whole, alone.
+SPAN_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20260101))
 _SYMBOL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -27,15 +27,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/copperline/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``scratch`` receives the path, for ``drop`` once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that ``stored`` wrote; what was made of them must itself be stored or checkpointed."""
+    for path in scratch:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    scratch.clear()
+
+
+#: Bytes of an Arrow batch between Spark and its Python workers.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are bounded by bytes too, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a query; queries run with bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

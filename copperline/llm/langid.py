@@ -34,7 +34,7 @@ SAMPLE_BYTES = 32 << 10
 #: A context of the sample is kept if it occurs so often in some language.
 LEAST_COUNT = 2
 #: Positions that are scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
