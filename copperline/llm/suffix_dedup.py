@@ -113,7 +113,7 @@ def contexts(texts: DataFrame, kept: DataFrame, min_words: int, gram: int) -> Da
                     yield _suffixes(rows)
 
     places = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "anchor")).alias("places"))
-    return texts.join(places.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(run, _SUFFIX_DDL).distinct()
+    return texts.join(places.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(run, _SUFFIX_DDL)
 
 
 _TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -203,6 +203,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     texts = _ids(docs, id_col, text_col)
     found = stored(anchors(texts, min_words, gram), "suffix-anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = stored(shared, "suffix-shared")  # a plain exchange on either side of the join lets a hot anchor be split
     kept = found.join(shared, "anchor", "left_semi").select("doc_id", "pos", "anchor")
     suffixes = contexts(texts, kept, min_words, gram)
     order = ["anchor", "right", "left", "doc_id", "pos"]
