@@ -182,11 +182,11 @@ def _streamed(batches: Iterator[pa.RecordBatch], min_words: int, gram: int, edge
 
 
 def _ends(rows: list[tuple], first: bool) -> list[tuple]:
-    """The rows of the first or last NEIGHBOURS runs of one document and context, one row or two of each."""
+    """All rows of the first or last NEIGHBOURS runs of one document and context."""
     picked: list[list[tuple]] = []
     for r in rows if first else reversed(rows):
         if picked and picked[-1][0][:4] == r[:4]:
-            picked[-1] = [picked[-1][0], r]
+            picked[-1].append(r)
         elif len(picked) == NEIGHBOURS:
             break
         else:
