@@ -9,11 +9,16 @@ row occur in two documents or more.
 2. Minimisers whose n-gram occurs in one document only go. The others are suffixes with their context: the
    words that follow, up to MIN_WORDS, and those before, up to MIN_WORDS - GRAM, as 32-bit hashes.
 3. Spark sorts the suffixes by n-gram and following words, range-partitioned over the whole key down to document and
-   position, so that a passage in a third of all documents spans many partitions. Each suffix is compared with
-   its ``NEIGHBOURS`` neighbours on either side that are not of the same document and context, to the right and
-   to the left. A match of MIN_WORDS words or more marks its span in both documents. The first and last suffixes
-   of each partition are compared again across the boundaries.
-4. Spans of a document that touch become one. Longer passages hold a minimiser at least every MIN_WORDS words, so
+   position. Each suffix is compared with its ``NEIGHBOURS`` neighbours on either side, to the right and to the
+   left. A match of MIN_WORDS words or more marks its span in both documents. The first and last suffixes of each
+   partition are compared again across the boundaries. N-grams of up to NEIGHBOURS + 1 suffixes go this way: each
+   of their suffixes meets every other.
+4. In larger groups a partner may stand anywhere, as a match that needs words to the left is not adjacent in that
+   order. Each such minimiser gives the windows of MIN_WORDS words whose minimiser it is, as 64-bit hashes. They go
+   through the same sort, with no context, by hash, document and position, so that a passage in a third of all
+   documents spans many partitions; a window that stands in two documents marks its span in all. Runs that meet the
+   boundary of a partition are settled apart.
+5. Spans of a document that touch become one. Longer passages hold a minimiser at least every MIN_WORDS words, so
    their spans join up.
 
 Defined results: null or empty texts, or texts under MIN_WORDS words, have no spans. Rows that share an id are
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,13 +56,26 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def minimisers(codes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least code (the first, on ties) of each window of consecutive codes."""
+def owners(codes: np.ndarray, window: int) -> np.ndarray:
+    """For each window of consecutive codes the position of its least code (the first, on ties)."""
     if len(codes) < window:
         return np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(codes, window)
-    found = [np.unique(views[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(views)))) for i in range(0, len(views), 65536)]
-    return np.unique(np.concatenate(found))
+    return np.concatenate([views[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)])
+
+
+def minimisers(codes: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least code (the first, on ties) of each window of consecutive codes."""
+    return np.unique(owners(codes, window))
+
+
+def windows(codes: np.ndarray, min_words: int, gram: int) -> np.ndarray:
+    """Hash of each min_words consecutive words, from the hashes of their n-grams."""
+    n = max(len(codes) - (min_words - gram), 0)
+    out = np.full(n, np.uint64(min_words))
+    for i in [*range(0, min_words - gram, gram), min_words - gram]:
+        out = bytesplit.mix(out + codes[i : i + n] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
+    return out
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,7 +109,10 @@ _SUFFIX_DDL = "anchor long, right binary, left binary, doc_id long, pos long"
 
 
 def contexts(texts: DataFrame, kept: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """The suffixes of the kept (doc_id, pos, anchor) with their context: anchor, right, left (outwards), doc_id, pos."""
+    """The suffixes of the kept (doc_id, pos, anchor, wide) with their context: anchor, right, left (outwards), doc_id, pos.
+
+    Wide ones give their windows instead, with the window's hash as anchor, its first word as pos and empty contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,17 +124,27 @@ def contexts(texts: DataFrame, kept: DataFrame, min_words: int, gram: int) -> Da
                 for d in range(i, j):
                     a, b = int(bounds[d - i]), int(bounds[d - i + 1])
                     own, codes, doc = short[a:b], grams(hashes[a:b], gram).view(np.int64), batch.column(0)[d].as_py()
+                    wide = []
                     for place in batch.column(2)[d].as_py():
                         pos = place["pos"]
                         if pos < len(codes) and codes[pos] == place["anchor"]:
+                            if place["wide"]:
+                                wide.append(pos)
+                                continue
                             rows.append((place["anchor"], own[pos : pos + min_words].tobytes(), own[max(0, pos - min_words + gram) : pos][::-1].tobytes(), doc, pos))
                             if len(rows) >= CHUNK:
                                 yield _suffixes(rows)
                                 rows = []
+                    if wide:
+                        codes = codes.view(np.uint64)
+                        at = np.flatnonzero(np.isin(owners(codes, min_words - gram + 1), wide))
+                        found = windows(codes, min_words, gram)[at].view(np.int64)
+                        for k in range(0, len(at), CHUNK):
+                            yield _windows(found[k : k + CHUNK], np.full(len(at[k : k + CHUNK]), doc), at[k : k + CHUNK])
                 if rows:
                     yield _suffixes(rows)
 
-    places = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "anchor")).alias("places"))
+    places = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "anchor", "wide")).alias("places"))
     return texts.join(places.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(run, _SUFFIX_DDL)
 
 
@@ -123,6 +155,11 @@ def _suffixes(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=["anchor", "right", "left", "doc_id", "pos"])
 
 
+def _windows(hashes: np.ndarray, docs: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    none = pa.array([b""] * len(first), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), none, none, pa.array(docs, pa.int64()), pa.array(first, pa.int64())], names=["anchor", "right", "left", "doc_id", "pos"])
+
+
 def _words(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, padded to width, and lengths)."""
     lens = np.fromiter((len(x) // 4 for x in column), np.int64, len(column))
@@ -163,22 +200,25 @@ def compare(rows: list[tuple], min_words: int, gram: int, reach: int = NEIGHBOUR
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], min_words: int, gram: int, edges: list | None = None) -> Iterator[list[tuple[int, int, int]]]:
-    """Spans of a sorted stream, chunk by chunk; ``edges`` receives its first and last suffixes."""
+    """Spans of a sorted stream, chunk by chunk, or none after a batch that fills no chunk; ``edges`` receives its first and last suffixes."""
     held: list[tuple] = []
     began = False
     for batch in batches:
         held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        if len(held) >= CHUNK:
-            yield compare(held, min_words, gram)
-            if edges is not None and not began:
-                edges += _ends(held, first=True)
-                began = True
-            held = _ends(held, first=False)
+        if len(held) < CHUNK:
+            yield []
+            continue
+        yield compare(held, min_words, gram)
+        if edges is not None and not began:
+            edges += _ends(held, first=True)
+            began = True
+        held = _ends(held, first=False)
     if held:
         yield compare(held, min_words, gram)
         if edges is not None:
             edges += [] if began else _ends(held, first=True)
-            edges += _ends(held, first=False)
+            told = set(edges)
+            edges += [r for r in _ends(held, first=False) if r not in told]
 
 
 def _ends(rows: list[tuple], first: bool) -> list[tuple]:
@@ -195,6 +235,39 @@ def _ends(rows: list[tuple], first: bool) -> list[tuple]:
     return out if first else out[::-1]
 
 
+class Shared:
+    """Of windows sorted by hash, document and position, batch by batch, the (document, position) of those that stand in two documents.
+
+    ``edges`` holds rows of the first run of one hash, and ``held`` of the last, that tell what the runs' parts in
+    other partitions need: all rows while only one document was met, else one of the first and one of the last.
+    """
+
+    def __init__(self) -> None:
+        self.edges: np.ndarray | None = None
+        self.held = np.zeros((0, 3), np.int64)
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        rows = np.concatenate([self.held, rows])
+        if not len(rows):
+            return rows[:, 1:]
+        begin = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        end = np.r_[begin[1:], len(rows)]
+        many = rows[begin, 1] != rows[end - 1, 1]
+        brief = lambda k: rows[[begin[k], end[k] - 1]] if many[k] else rows[begin[k] : end[k]]
+        if len(begin) > 1 and self.edges is None:
+            self.edges = brief(0)
+        self.held = brief(-1)
+        return rows[np.repeat(many, end - begin), 1:]
+
+    def ends(self) -> np.ndarray:
+        return self.held if self.edges is None else np.concatenate([self.edges, self.held])
+
+
+def _table(batch: pa.RecordBatch) -> np.ndarray:
+    """(anchor, doc_id, pos) of a batch of windows."""
+    return np.stack([batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos")], axis=1)
+
+
 _SPAN = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
@@ -202,23 +275,37 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     """(doc_id, first_word, last_word, n_words) of each repeated passage; last_word is one past its end."""
     texts = _ids(docs, id_col, text_col)
     found = stored(anchors(texts, min_words, gram), "suffix-anchors")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    shared = shared.select("anchor", (F.col("n") > NEIGHBOURS + 1).alias("wide"))
     shared = stored(shared, "suffix-shared")  # a plain exchange on either side of the join lets a hot anchor be split
-    kept = found.join(shared, "anchor", "left_semi").select("doc_id", "pos", "anchor")
+    kept = found.join(shared, "anchor").select("doc_id", "pos", "anchor", "wide")
     suffixes = contexts(texts, kept, min_words, gram)
     order = ["anchor", "right", "left", "doc_id", "pos"]
     dealt = suffixes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, edges = TaskContext.get().partitionId(), []
-        for spans in _streamed(batches, min_words, gram, edges):
+        part, edges, seen = TaskContext.get().partitionId(), [], Shared()
+
+        def marked(doc: pa.Array, first: pa.Array, last: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc, first, last, *(pa.nulls(len(doc), t) for t in (*_TYPES, pa.int32(), pa.int32()))], names=names)
+
+        def suffixes() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                window = pc.equal(pc.binary_length(batch.column(1)), 0)
+                hits.append(seen.add(_table(batch.filter(window))))
+                yield batch.filter(pc.invert(window))
+
+        hits: list[np.ndarray] = []
+        for spans in _streamed(suffixes(), min_words, gram, edges):
+            while hits:
+                at = hits.pop()
+                yield marked(pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(at[:, 1] + min_words))
             if spans:
-                columns = [pa.array(x, pa.int64()) for x in zip(*spans, strict=True)]
-                empty = [pa.array([None] * len(spans), t) for t in (*_TYPES, pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, *empty], names=names)
+                yield marked(*(pa.array(x, pa.int64()) for x in zip(*spans, strict=True)))
+        edges += [(h, b"", b"", d, p) for h, d, p in seen.ends().tolist()]
         if edges:
             columns = [pa.array(x, t) for x, t in zip(zip(*edges, strict=True), _TYPES, strict=True)]
-            blank = [pa.array([None] * len(edges), pa.int64()) for _ in range(3)]
+            blank = [pa.nulls(len(edges), pa.int64()) for _ in range(3)]
             yield pa.RecordBatch.from_arrays([*blank, *columns, pa.array([part] * len(edges), pa.int32()), pa.array(range(len(edges)), pa.int32())], names=names)
 
     names = ["doc", "first", "last", *order, "part", "seq"]
@@ -230,9 +317,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*spans, strict=True)], schema=_SPAN)
 
     # A few suffixes of each partition: the ends that meet at its boundaries.
-    ends = made.where("part IS NOT NULL").select(*order, "part", "seq").repartition(1).sortWithinPartitions("part", "seq")
+    ends = made.where("part IS NOT NULL AND octet_length(right) > 0").select(*order, "part", "seq").repartition(1).sortWithinPartitions("part", "seq")
     ends = ends.mapInArrow(across, "doc_id long, first long, last long")
-    spans = made.where("part IS NULL").select(F.col("doc").alias("doc_id"), "first", "last").union(ends).distinct()
+    # The windows whose run meets a boundary.
+    cut = made.where("part IS NOT NULL AND octet_length(right) = 0").select("anchor", "doc_id", "pos")
+    both = cut.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    cut = cut.join(both, "anchor", "left_semi").select("doc_id", F.col("pos").alias("first"), (F.col("pos") + min_words).alias("last"))
+    spans = made.where("part IS NULL").select(F.col("doc").alias("doc_id"), "first", "last").union(ends).union(cut).distinct()
 
     inside = Window.partitionBy("doc_id").orderBy("first", "last")
     reached = F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1))

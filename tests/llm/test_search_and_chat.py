@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from copperline.llm import ann, chat, suffix_dedup
+from copperline.llm import ann, bytesplit, chat, suffix_dedup
 
 
 def covered(rows, least):
@@ -48,6 +49,39 @@ def test_repeated_spans(spark, monkeypatch, chunk):
     assert 402 not in {r.doc_id for r in got} and 302 not in {r.doc_id for r in got}
 
 
+def test_passages_that_end_in_a_stock_sentence(spark):
+    """50 shared words whose only minimiser lies in a sentence of 1000 other documents; each goes on differently."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def least(words):
+        data, offsets = bytesplit.text_buffer(pa.array([" ".join(words)]))
+        return suffix_dedup.grams(bytesplit.word_hashes(data, offsets)[0], suffix_dedup.GRAM).min()
+
+    stock = min((some(12) for _ in range(2000)), key=least)
+    rows = [(k, " ".join(some(60) + stock + some(60))) for k in range(1000)]
+    for k in range(20):
+        rare = some(38)
+        rows += [(2000 + 2 * k + i, " ".join(some(60) + rare + stock + some(60))) for i in range(2)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, p) for r in got for p in range(r.first_word, r.last_word)} == covered(rows, 50)
+    assert {r.doc_id for r in got} == set(range(2000, 2040))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_shared_windows_wherever_the_stream_is_cut(seed):
+    rng = np.random.default_rng(seed)
+    rows = np.unique(np.stack([rng.integers(0, 12, 150), rng.integers(0, 6, 150), rng.integers(0, 40, 150)], axis=1), axis=0)
+    found, ends = set(), []
+    for part in np.split(rows, np.sort(rng.integers(0, len(rows), 6))):
+        seen = suffix_dedup.Shared()
+        for batch in np.split(part, np.sort(rng.integers(0, len(part) + 1, 3))):
+            found |= set(map(tuple, seen.add(batch).tolist()))
+        ends += seen.ends().tolist()
+    found |= {(d, p) for h, d, p in ends if len({e[1] for e in ends if e[0] == h}) > 1}
+    assert found == {(d, p) for h, d, p in rows.tolist() if len({r[1] for r in rows.tolist() if r[0] == h}) > 1}
+
+
 def test_repeated_spans_of_nothing(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
