@@ -193,9 +193,9 @@ def circuit_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.circuit_hash(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"]).select("root", "circuit_hash")
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boxes(spark: SparkSession, sf_dir: str, suppliers: str = "true") -> DataFrame:
     """A sheet per supplier, a wire or point per line of its orders, laid out by keys."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey <= 40").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(suppliers).select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
     x = (F.col("l_orderkey") % 300) * 1000
     y = (F.col("l_partkey") % 200) * 1000
     far = F.when(F.col("l_linenumber") % 2 == 0, x + 4000).otherwise(x)
@@ -206,6 +206,12 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets of suppliers 1 to 40 only; ``spatial_connect_all`` joins every sheet."""
+    edges = geometry.touching(_boxes(spark, sf_dir, "l_suppkey <= 40"), ["sheet"])
+    return edges.select("sheet", "a", "b")
+
+
+def spatial_connect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = geometry.touching(_boxes(spark, sf_dir), ["sheet"])
     return edges.select("sheet", "a", "b")
 
@@ -240,8 +246,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         list_components_r, list_components_with_dns, list_nets, search_nets, search_components_by_refdes, search_components_by_mpn,
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
-        xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, greedy_assignment,
-        cadence_round_trip, netlist_problems,
+        xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, spatial_connect_all,
+        greedy_assignment, cadence_round_trip, netlist_problems,
     )
     return {f.__name__: f for f in every}
 
@@ -264,7 +270,7 @@ own AS (SELECT net AS root FROM label0 WHERE net = label),
 shown1 AS (SELECT shown.* FROM shown JOIN own USING (root))"""
     every_circuit = roots + oracle.CIRCUIT.replace("FROM shown GROUP", "FROM shown1 GROUP")
     wiring = oracle.CIRCUIT
-    return {
+    sql = {
         "list_components_r": oracle.grouped("starts_with(upper(refdes), 'R')"),
         "list_components_with_dns": oracle.grouped("starts_with(upper(refdes), 'R')", "true"),
         "list_nets": f"{base} SELECT net FROM nets",
@@ -329,3 +335,5 @@ SELECT DISTINCT a.sheet, a.idx AS a, c.idx AS b FROM b a JOIN b c ON a.sheet = c
 WHERE (a.x1 BETWEEN c.x1 AND c.x2 AND a.y1 BETWEEN c.y1 AND c.y2) OR (a.x2 BETWEEN c.x1 AND c.x2 AND a.y2 BETWEEN c.y1 AND c.y2)
    OR (c.x1 BETWEEN a.x1 AND a.x2 AND c.y1 BETWEEN a.y1 AND a.y2) OR (c.x2 BETWEEN a.x1 AND a.x2 AND c.y2 BETWEEN a.y1 AND a.y2)""",
     }
+    sql["spatial_connect_all"] = sql["spatial_connect"].replace(" WHERE l_suppkey <= 40", "")
+    return sql
