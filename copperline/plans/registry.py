@@ -39,15 +39,23 @@ def _settled(spark: SparkSession, sf_dir: str):
 
 
 def _starts(spark: SparkSession, sf_dir: str, net) -> DataFrame:
+    """One net in fifty that is not on ground; the queries named ..._all start from every one."""
     return net.nets.where((F.col("net_ord") % 50 == 7) & ~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
 
 
 START_SQL = f"SELECT net AS root FROM nets WHERE net NOT IN ('GND', '+3V3') AND CAST(substr(net, 2) AS BIGINT) % 50 = 7 AND NOT {oracle.GROUND}"
 
 
-def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = ()):
+def _all_starts(spark: SparkSession, sf_dir: str, net) -> DataFrame:
+    return net.nets.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
+
+
+ALL_START_SQL = f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}"
+
+
+def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = (), starts: Callable = _starts):
     net = _settled(spark, sf_dir)
-    seen = xnet.reach(net, _starts(spark, sf_dir, net), skip)
+    seen = xnet.reach(net, starts(spark, sf_dir, net), skip)
     return net, seen, xnet.circuit_pins(net, seen, skip)
 
 
@@ -126,10 +134,18 @@ def xnet_from_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir)[2].select("root", "refdes", "pin", "net")
 
 
+def xnet_from_net_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _circuit(spark, sf_dir, starts=_all_starts)[2].select("root", "refdes", "pin", "net")
+
+
 def xnet_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir)[1].select("root", "net", "expanded")
 
 
+def xnet_visited_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _circuit(spark, sf_dir, starts=_all_starts)[1].select("root", "net", "expanded")
+
+
 def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended nets of pin 1 of each part whose key is divisible by 20 and whose pin is not on ground."""
     net = _settled(spark, sf_dir)
@@ -152,21 +168,33 @@ def xnet_skip_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir, SKIP)[2].select("root", "refdes", "pin", "net")
 
 
-def xnet_skipped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net, seen, _ = _circuit(spark, sf_dir, SKIP)
+def xnet_skip_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _circuit(spark, sf_dir, SKIP, _all_starts)[2].select("root", "refdes", "pin", "net")
+
+
+def xnet_skipped_counts(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
+    net, seen, _ = _circuit(spark, sf_dir, SKIP, starts)
     return xnet.skipped_counts(net, seen, SKIP).select("root", "skip_type", "n")
 
 
+def xnet_skipped_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xnet_skipped_counts(spark, sf_dir, _all_starts)
+
+
 def xnet_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xnet.closures(_settled(spark, sf_dir)).select("net", "label")
 
 
-def xnet_group_by_mpn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net, _, pins = _circuit(spark, sf_dir)
+def xnet_group_by_mpn(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
+    net, _, pins = _circuit(spark, sf_dir, starts=starts)
     rows = grouping.aggregate_circuits(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"])
     return rows.select("root", "mpn", "description", "value", "total_count", F.size("orientations").cast("long").alias("n_orientations"), F.col("net_signature").alias("nets"))
 
 
+def xnet_group_by_mpn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xnet_group_by_mpn(spark, sf_dir, _all_starts)
+
+
 def xnet_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every extended net's groups, an orientation a row, numbered in order."""
     _, _, pins = _every_circuit(spark, sf_dir)
@@ -176,9 +204,9 @@ def xnet_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("root", "mpn", F.col("place").cast("long").alias("place"), F.col("o.count").alias("n"), F.array_join("o.refdes", ",").alias("refdes"), way.alias("wiring"))
 
 
-def xnet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+def xnet_envelope(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
     """Totals of each answer: components, distinct configurations, visited nets."""
-    _, seen, pins = _circuit(spark, sf_dir)
+    _, seen, pins = _circuit(spark, sf_dir, starts=starts)
     made = grouping.circuit_components(pins, ["design_id", "root"])
     configurations = grouping.aggregate_circuits(made, ["design_id", "root"]).groupBy("design_id", "root").agg(F.count("*").alias("unique_configurations"))
     totals = made.groupBy("design_id", "root").agg(F.count("*").alias("total_components"))
@@ -188,6 +216,10 @@ def xnet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("root", zero("total_components"), zero("unique_configurations"), "n_visited")
 
 
+def xnet_envelope_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xnet_envelope(spark, sf_dir, _all_starts)
+
+
 def circuit_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, pins = _every_circuit(spark, sf_dir)
     return grouping.circuit_hash(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"]).select("root", "circuit_hash")
@@ -237,8 +269,8 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extended net of one net, rolled up by part number."""
-    return xnet_group_by_mpn(spark, sf_dir).orderBy(F.desc("total_count"), "root")
+    """The extended net of every net, rolled up by part number."""
+    return xnet_group_by_mpn_all(spark, sf_dir).orderBy(F.desc("total_count"), "root")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -247,7 +279,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, spatial_connect_all,
-        greedy_assignment, cadence_round_trip, netlist_problems,
+        greedy_assignment, cadence_round_trip, netlist_problems, xnet_from_net_all, xnet_visited_all, xnet_skip_types_all,
+        xnet_skipped_counts_all, xnet_group_by_mpn_all, xnet_envelope_all,
     )
     return {f.__name__: f for f in every}
 
@@ -336,4 +369,6 @@ WHERE (a.x1 BETWEEN c.x1 AND c.x2 AND a.y1 BETWEEN c.y1 AND c.y2) OR (a.x2 BETWE
    OR (c.x1 BETWEEN a.x1 AND a.x2 AND c.y1 BETWEEN a.y1 AND a.y2) OR (c.x2 BETWEEN a.x1 AND a.x2 AND c.y2 BETWEEN a.y1 AND a.y2)""",
     }
     sql["spatial_connect_all"] = sql["spatial_connect"].replace(" WHERE l_suppkey <= 40", "")
+    for name in ("from_net", "visited", "skip_types", "skipped_counts", "group_by_mpn", "envelope"):
+        sql[f"xnet_{name}_all"] = sql[f"xnet_{name}"].replace(START_SQL, ALL_START_SQL)
     return sql

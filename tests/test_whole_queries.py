@@ -1,6 +1,19 @@
 """Registered queries answer for all of their input, against brute force on small tables."""
 
-from copperline.plans import registry
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from copperline.functions import exprs
+from copperline.plans import projection, registry
+
+DATA = "/root/testdata/sf0.001"
+supplied = pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+
+
+def off_ground(rows):
+    return rows.where(~exprs.is_ground(F.col("net")))
 
 
 def test_every_sheet_is_joined(spark, tmp_path):
@@ -22,3 +35,15 @@ def test_every_sheet_is_joined(spark, tmp_path):
                 want.add((str(s), first, second))
     got = [tuple(r) for r in registry.queries()["spatial_connect_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {s for s, *_ in want} == {"3", "40", "41", "977"}
+
+
+@supplied
+def test_every_net_off_ground_is_traced(spark):
+    nets = {r.net for r in off_ground(projection.netlist(spark, DATA).nets).collect()}
+    for name in ("xnet_visited_all", "xnet_envelope_all"):
+        assert {r.root for r in registry.queries()[name](spark, DATA).select("root").distinct().collect()} == nets
+    assert {r.root for r in registry.flagship(spark, DATA).select("root").distinct().collect()} == {
+        r.root for r in registry.queries()["xnet_from_net_all"](spark, DATA).select("root").distinct().collect()
+    }
+    sql = registry.oracle_sql()
+    assert all(v != sql.get(k.removesuffix("_all")) for k, v in sql.items() if k.endswith("_all"))
