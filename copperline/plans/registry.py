@@ -147,7 +147,10 @@ def xnet_visited_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extended nets of pin 1 of each part whose key is divisible by 20 and whose pin is not on ground."""
+    """Extended nets of pin 1 of each part whose key is divisible by 20 and whose pin is not on ground.
+
+    ``xnet_from_pin_all`` asks every pin.
+    """
     net = _settled(spark, sf_dir)
     chosen = net.components.where(F.col("comp_ord") % 20 == 0).select("design_id", "refdes")
     pins = net.component_pins.where("pin = '1'").join(chosen, ["design_id", "refdes"], "left_semi").where(~exprs.is_ground(F.col("net")))
@@ -157,6 +160,15 @@ def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.join(asked, ["design_id", "root"]).select("start_refdes", "root", "part", "pin", "net")
 
 
+def xnet_from_pin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extended nets of every component pin that is not on ground; each distinct net is traced once."""
+    net = _settled(spark, sf_dir)
+    asked = net.component_pins.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("refdes").alias("start_refdes"), F.col("pin").alias("start_pin"), F.col("net").alias("root"))
+    seen = xnet.reach(net, asked.select("design_id", "root"))
+    shown = xnet.circuit_pins(net, seen).select("design_id", "root", F.col("refdes").alias("part"), "pin", "net")
+    return shown.join(asked, ["design_id", "root"]).select("start_refdes", "start_pin", "root", "part", "pin", "net")
+
+
 def xnet_power_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A start on a power net is expanded, though such nets end a traversal otherwise."""
     net = _settled(spark, sf_dir)
@@ -280,7 +292,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, spatial_connect_all,
         greedy_assignment, cadence_round_trip, netlist_problems, xnet_from_net_all, xnet_visited_all, xnet_skip_types_all,
-        xnet_skipped_counts_all, xnet_group_by_mpn_all, xnet_envelope_all,
+        xnet_skipped_counts_all, xnet_group_by_mpn_all, xnet_envelope_all, xnet_from_pin_all,
     )
     return {f.__name__: f for f in every}
 
@@ -371,4 +383,7 @@ WHERE (a.x1 BETWEEN c.x1 AND c.x2 AND a.y1 BETWEEN c.y1 AND c.y2) OR (a.x2 BETWE
     sql["spatial_connect_all"] = sql["spatial_connect"].replace(" WHERE l_suppkey <= 40", "")
     for name in ("from_net", "visited", "skip_types", "skipped_counts", "group_by_mpn", "envelope"):
         sql[f"xnet_{name}_all"] = sql[f"xnet_{name}"].replace(START_SQL, ALL_START_SQL)
+    sql["xnet_from_pin_all"] = oracle.traversal(f"SELECT DISTINCT net AS root FROM pins WHERE NOT {oracle.GROUND}") + f"""
+SELECT a.refdes AS start_refdes, a.pin AS start_pin, s.root, s.refdes AS part, s.pin, s.net FROM shown s
+JOIN (SELECT refdes, pin, net FROM pins WHERE NOT {oracle.GROUND}) a ON a.net = s.root"""
     return sql

@@ -47,3 +47,13 @@ def test_every_net_off_ground_is_traced(spark):
     }
     sql = registry.oracle_sql()
     assert all(v != sql.get(k.removesuffix("_all")) for k, v in sql.items() if k.endswith("_all"))
+
+
+@supplied
+def test_every_pin_off_ground_is_asked(spark):
+    """A part that is stuffed shows itself, whichever of its pins is asked."""
+    net = projection.netlist(spark, DATA)
+    stuffed = {r.refdes for r in registry.dns_flags(spark, DATA).where("not dns").collect()}
+    pins = {(r.refdes, r.pin, r.net) for r in off_ground(net.component_pins).collect() if r.refdes in stuffed}
+    got = registry.queries()["xnet_from_pin_all"](spark, DATA).where("start_refdes = part").select("start_refdes", "start_pin", "root").distinct().collect()
+    assert pins and pins <= {tuple(r) for r in got}
