@@ -106,13 +106,19 @@ def hierarchy(rows: DataFrame) -> DataFrame:
     return rows.join(own, [*SHEET, "owner"], "left").withColumn("is_root", F.col("owner").isNull())
 
 
-def flattened(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """Records with ``path``, the idx of each record from their root down: its order is the depth-first order."""
-    out = rows.withColumns({"path": F.array("idx"), "up": F.col("owner")})
-    above = rows.select(*SHEET, F.col("idx").alias("up"), F.col("owner").alias("further"))
-    for _ in range(depth):
-        out = out.join(above, [*SHEET, "up"], "left").withColumn("path", F.when(F.col("up").isNotNull(), F.concat(F.array("up"), "path")).otherwise(F.col("path")))
-        out = out.withColumn("up", F.col("further")).drop("further")
+def flattened(rows: DataFrame) -> DataFrame:
+    """Records with ``path``, the idx of each record from their root down: its order is the depth-first order.
+
+    Each round puts the path of the topmost record met so far before one's own, so depth doubles. A cycle of owners
+    raises ValueError.
+    """
+    out = cut(rows.withColumns({"path": F.array("idx"), "up": F.col("owner")}))
+    while not out.where(F.col("up").isNotNull()).isEmpty():
+        above = out.select(*SHEET, F.col("idx").alias("up"), F.col("path").alias("upper"), F.col("up").alias("further"))
+        path = F.when(F.col("up").isNotNull(), F.concat(F.coalesce("upper", F.array("up")), "path")).otherwise(F.col("path"))
+        out = cut(out.join(above, [*SHEET, "up"], "left").withColumn("path", path).withColumn("up", F.col("further")).drop("upper", "further"))
+        if not out.where(F.size("path") > F.size(F.array_distinct("path"))).isEmpty():
+            raise ValueError("records own one another in a cycle")
     return out.drop("up")
 
 

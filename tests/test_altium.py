@@ -150,3 +150,12 @@ def test_projects(spark, tmp_path):
     assert answer["total_components"] == 2
     assert api.list_nets(spark, str(tmp_path / "none" / "empty.PrjPcb"))["error"] == f"No schematic documents found for project {tmp_path}/none/empty.PrjPcb"
     assert [d["name"] for d in api.list_designs(spark, str(tmp_path))] == ["empty", "main", "only"]
+
+
+def test_flattening_has_no_depth_limit(spark):
+    ddl = "design_id string, sheet string, idx int, owner int"
+    rows = spark.createDataFrame([("d", "s", k, k - 1 if k else None) for k in range(30)] + [("d", "s", 40, 3)], ddl)
+    got = {r.idx: r.path for r in altium.flattened(rows).collect()}
+    assert got == {k: list(range(k + 1)) for k in range(30)} | {40: [0, 1, 2, 3, 40]}
+    with pytest.raises(ValueError, match="cycle"):
+        altium.flattened(spark.createDataFrame([("d", "s", 1, 3), ("d", "s", 2, 1), ("d", "s", 3, 2), ("d", "s", 4, 1)], ddl))
