@@ -31,6 +31,8 @@ ORDER = 3
 #: Bound of the training sample: documents of each language, and bytes of a document that is taken.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 32 << 10
+#: Documents, the shortest, that are taken whole of a language that the sample would leave out.
+LONG_DOCS = 4
 #: A context of the sample is kept if it occurs so often in some language.
 LEAST_COUNT = 2
 #: Positions that are scored at once.
@@ -148,19 +150,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on at most ``sample_docs`` documents a language, of those that are not held out; None without any.
 
     The sample takes the smallest hashes of ids, so it is the same each time; documents over SAMPLE_BYTES are
-    left to others. Only ids are sorted; texts are read for the chosen ids alone.
+    left to others, and only where that leaves a language without any its LONG_DOCS shortest are taken whole. Only
+    ids are sorted; texts are read for the chosen ids alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     short = rows.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = [r.doc_id for r in short.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("doc_id").collect()]
-    if not chosen:
-        return None
     samples: dict[str, list[bytes]] = {}
-    for r in rows.where(F.col("doc_id").isin(chosen) & (F.octet_length("text") <= SAMPLE_BYTES)).collect():
+    for r in rows.where(F.col("doc_id").isin(chosen) & (F.octet_length("text") <= SAMPLE_BYTES)).collect() if chosen else ():
         if has_letter(r.text):
             samples.setdefault(r.lang, []).append(r.text.encode())
+    missing = [r.lang for r in rows.select("lang").distinct().collect() if r.lang not in samples]
+    if missing:
+        size = F.octet_length("text")
+        long = rows.where(F.col("lang").isin(missing) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", size.alias("size"))
+        least = F.row_number().over(Window.partitionBy("lang").orderBy("size", F.xxhash64("doc_id"), "doc_id"))
+        for c in long.withColumn("rank", least).where(F.col("rank") <= LONG_DOCS).select("doc_id", "lang", "size").distinct().collect():
+            for r in rows.where((F.col("doc_id") == c.doc_id) & (F.col("lang") == c.lang) & (size == c.size)).limit(1).collect():
+                samples.setdefault(r.lang, []).append(r.text.encode())
     return train({k: sorted(v) for k, v in samples.items()}) if samples else None
 
 

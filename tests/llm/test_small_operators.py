@@ -180,6 +180,17 @@ def test_language_id_on_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_with_long_documents_only_are_learned(spark):
+    short, long = "some text here to learn from ", "andere worte hier zum lernen " * 1200
+    assert len(long) > langid.SAMPLE_BYTES
+    rows = [(k, short, "a") for k in range(20)] + [(20 + k, long, "b") for k in range(20)] + [(50, "123", "c"), (51, "456", "c"), (52, "789", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert sorted(model.languages) == ["a", "b"]
+    assert {r.lang_pred for r in langid.predict(docs.where("lang = 'b'"), model).collect()} == {"b"}
+    assert {r.lang_pred for r in langid.identify(docs.where("lang = 'b'")).collect()} == {"b"}
+
+
 def test_language_id_without_letters_or_labels(spark):
     rows = [(0, None, "en"), (1, "12 !?", "en"), (3, "some text", "en"), (4, "more text of it", None), (None, "text", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
