@@ -1,7 +1,9 @@
 """Vectorised splitting and hashing of whole Arrow batches of UTF-8 text.
 
 A batch's texts lie end to end in one Arrow buffer. Words (or token pieces) are found with byte tables and
-hashed with one polynomial per piece, so that Python runs per batch and not per word.
+hashed with one polynomial per piece, so that Python runs per batch and not per word. Whatever needs arrays of
+several entries a byte works on ``SPAN_BYTES`` at a time, also within one long text or word, so that a text of
+any length costs its own bytes and a few entries a word.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once, some fifty bytes of arrays each; longer texts are taken whole, alone.
+#: Bytes of text that are worked on at once, some fifty bytes of arrays each.
 SPAN_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20260101))
@@ -57,14 +59,37 @@ def spans(offsets: np.ndarray, most: int = SPAN_BYTES) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The polynomial of each data[start : start + len]."""
+    begin = np.cumsum(lens) - lens
+    at = np.repeat(starts - begin, lens) + np.arange(int(lens.sum()))
+    return np.add.reduceat(_SYMBOL[data[at]] * powers(int(lens.max()))[at - np.repeat(starts, lens)], begin)
+
+
+def _long_sum(data: np.ndarray, start: int, size: int) -> np.uint64:
+    """The polynomial of one long piece, part by part."""
+    total = 0
+    for k in range(0, size, SPAN_BYTES):
+        n = min(SPAN_BYTES, size - k)
+        part = int((_SYMBOL[data[start + k : start + k + n]] * powers(n)).sum(dtype=np.uint64))
+        total += part * pow(int(_BASE), k, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def hash_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each data[starts:ends]; pieces don't overlap and none is empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
-    values = _SYMBOL[data[at]] * powers(int(lens.max()))[at - np.repeat(starts, lens)]
-    return mix(np.add.reduceat(values, np.concatenate([[0], np.cumsum(lens)[:-1]])) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums, bytes_to = np.zeros(len(starts), np.uint64), np.cumsum(lens)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(bytes_to, bytes_to[i] - lens[i] + SPAN_BYTES, "right"))
+        if j <= i:
+            j = i + 1
+            sums[i] = _long_sum(data, int(starts[i]), int(lens[i]))
+        else:
+            sums[i:j] = _sums(data, starts[i:j], lens[i:j])
+        i = j
+    return mix(sums + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
@@ -76,20 +101,24 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 def words(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each row and one past the last) of maximal runs of non-white bytes; rows never join."""
-    base = int(offsets[0])
-    own = data[base : int(offsets[-1])]
-    solid = ~white[own]
-    first = np.zeros(len(own) + 1, bool)
-    first[offsets - base] = True
-    before = np.concatenate([[False], solid[:-1]]) if len(own) else solid
-    after = np.concatenate([solid[1:], [False]]) if len(own) else solid
-    starts = np.flatnonzero(solid & (~before | first[:-1]))
-    ends = np.flatnonzero(solid & (~after | first[1:])) + 1
-    return starts + base, ends + base, np.searchsorted(starts, offsets - base)
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    base, end = int(offsets[0]), int(offsets[-1])
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(base, end, SPAN_BYTES):
+        b = min(a + SPAN_BYTES, end)
+        solid = np.zeros(b - a + 2, bool)  # with the byte before and the byte after
+        low, high = max(a - 1, base), min(b + 1, end)
+        solid[low - a + 1 : high - a + 1] = ~white[data[low:high]]
+        first = np.zeros(b - a + 1, bool)
+        first[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        own = solid[1:-1]
+        starts.append(np.flatnonzero(own & (~solid[:-2] | first[:-1])) + a)
+        ends.append(np.flatnonzero(own & (~solid[2:] | first[1:])) + a + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, word bounds of each row)."""
-    starts, ends, bounds = words(data, offsets)
+    starts, ends, bounds = words(data, offsets, white)
     base = int(offsets[0])
     return hash_pieces(LOWER[data[base : int(offsets[-1])]], starts - base, ends - base), bounds

@@ -1,23 +1,28 @@
 """Benchmark decontamination with one Aho-Corasick automaton (operator 6).
 
-Test items are normalised to words; every window of ``window`` consecutive words (a shorter item is one
-window) becomes a pattern with a blank on either side. Documents are normalised by byte tables, a whole Arrow
-batch at once, and scanned once; an array maps each normalised byte to its byte in the original, so hits are
-known as words and as byte spans of the original text.
+Test items and documents are normalised to words by byte tables. Every window of ``window`` consecutive item words
+(a shorter item is one window) is a pattern over words. The automaton of all patterns is a few flat arrays: its
+states are the patterns' prefixes, numbered level by level in the order of (parent, word), so that the array of
+these keys is sorted and a transition is a binary search; each state has its failure link and the nearest state at
+which a pattern ends. Tasks build it from the benchmark and write it to the shared folder; Python workers load it.
 
-Benchmarks of up to ``AUTOMATON_BYTES`` of text make one automaton, which each Python worker builds from a
-broadcast of the item texts. Larger ones are dealt by hash into so many parts of that size at most on average;
-the documents then pass one part after the other, each pass written to the shared folder, and the marks of
-all passes are united before anything is counted.
+A text is scanned once. Its words become numbers of the benchmark's vocabulary; a run of words in which no two
+neighbours stand together in any pattern can't hold one and is passed over, the rest goes through the automaton
+in lanes that step together, each after a lead of window - 1 words. Hits map to words and to byte spans of the
+original text. Words are known by 64-bit hashes; those of a hit are compared byte by byte.
+
+A benchmark over ``AUTOMATON_BYTES`` of text is dealt into parts of about that size, an automaton each. Documents
+are still read once and never rewritten: a task holds ``GROUP_BYTES`` of them and passes all parts over these.
 
 Defined results: null or empty text has no words and no hits. An item without words, text or id is no item.
 Items that share a window are all reported; item rows with one id are one item. Repeated document rows give
-repeated rows. Without items nothing is contaminated. Extra columns are not looked at.
+repeated rows. Without items nothing is contaminated. Long texts are scanned whole. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,93 +31,263 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copperline.llm import bytesplit
-from copperline.llm.common import stored
+from copperline.llm.common import shared_path, stored
 
 WINDOW = 10
-#: Item text of one automaton. Windows overlap, so its trie has up to ten nodes for each byte.
-AUTOMATON_BYTES = 1 << 20
+#: Item text of one automaton: some forty bytes of arrays for each byte of text.
+AUTOMATON_BYTES = 2 << 20
+#: Bytes of documents that a task passes all parts of a large benchmark over.
+GROUP_BYTES = 64 << 20
+#: Words of a lane.
+LANE = 256
 
-#: Word bytes after lower-casing: digits, a-z and all bytes of non-ASCII characters; the others are blanks.
-_FOLD = bytesplit.LOWER.copy()
-_FOLD[[b for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)]] = 0x20
+#: Bytes that are no part of a word: ASCII but digits and letters.
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return _FOLD[np.frombuffer((text or "").encode(), np.uint8)].tobytes().split()
+def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in an ascending array, -1 for those that are not in it."""
+    if not len(ordered):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return np.where(ordered[at] == wanted, at, -1)
 
 
-def item_windows(text: str | None, window: int) -> set[bytes]:
-    found = item_words(text)
-    return {b" ".join(found[i : i + window]) for i in range(max(len(found) - window, 0) + 1)} if found else set()
+def _gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The bytes of data[start : start + len], end to end."""
+    begin = np.cumsum(lens) - lens
+    return data[np.repeat(starts - begin, lens) + np.arange(int(lens.sum()))]
 
 
 class Automaton:
-    """Patterns of all items; ``owners[k]`` are the items of pattern k."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        import ahocorasick
-
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for pattern in item_windows(text, window):
-                owners.setdefault(pattern, set()).add(item)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.sizes = [len(p) + 2 for p in owners]
-        self.trie = ahocorasick.Automaton()
-        for k, pattern in enumerate(owners):
-            self.trie.add_word(f" {pattern.decode('latin-1')} ", k)
-        if owners:
-            self.trie.make_automaton()
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], list[list[tuple[int, int]]]]:
-        """Of each text: its number of words, hit word spans [first, last], items, and hit byte spans [start, end) of the original."""
-        n, base = len(offsets) - 1, int(offsets[0])
-        own = _FOLD[data[base : int(offsets[-1])]]
-        starts = offsets[:-1] - base
-        marked = np.append(np.insert(own, np.repeat(starts, 3), np.tile(np.array([0x20, 0x0A, 0x20], np.uint8), n)), np.uint8(0x20))
-        keep = np.ones(len(marked), bool)
-        keep[1:] = (marked[1:] != 0x20) | (marked[:-1] != 0x20)
-        to_marked = np.flatnonzero(keep)  # of each normalised byte
-        flat = marked[to_marked]
-        solid = (flat != 0x20) & (flat != 0x0A)
-        word_of = np.cumsum(solid & np.concatenate([[True], flat[:-1] == 0x20])) - 1
-        line = np.flatnonzero(flat == 0x0A)
-        first_word = word_of[line] + 1
-        n_words = np.diff(np.append(first_word, word_of[-1] + 1)) if n else np.zeros(0, np.int64)
-        word_spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        byte_spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        items: list[set[str]] = [set() for _ in range(n)]
-        if self.owners:
-            for end, k in self.trie.iter(flat.tobytes().decode("latin-1")):
-                start = end - self.sizes[k] + 1
-                d = int(np.searchsorted(line, start, "right")) - 1
-                word_spans[d].append((int(word_of[start + 1] - first_word[d]), int(word_of[end - 1] - first_word[d])))
-                shift = 3 * (d + 1) + int(starts[d])
-                byte_spans[d].append((int(to_marked[start + 1]) - shift, int(to_marked[end - 1]) + 1 - shift))
-                items[d].update(self.owners[k])
-        return n_words, word_spans, items, byte_spans
-
-
-def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Union of closed integer spans, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(found)):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+    """Patterns over words; state 0 is the root, state k + 1 has the key keys[k] = parent * words + word."""
+
+    #: Arrays of the automaton: vocabulary (hashes, ascending) with the words' bytes, keys, links, patterns' owners.
+    FIELDS = ("vocabulary", "word_bytes", "word_starts", "keys", "fail", "ends", "depth", "owner_starts", "owners", "items", "pairs", "least")
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        for name in self.FIELDS:
+            setattr(self, name, arrays[name])
+        self.n_words = max(1, len(self.vocabulary))
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str]], window: int) -> Automaton:
+        """The automaton of (item, text) rows."""
+        names, item_of = np.unique(np.array([i for i, _ in items], object).astype(str), return_inverse=True) if items else (np.zeros(0, str), np.zeros(0, np.int64))
+        raw = [t.encode() for _, t in items]
+        data = bytesplit.LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
+        starts, ends, bounds = bytesplit.words(data, offsets, _BETWEEN)
+        vocabulary, at, word = np.unique(bytesplit.hash_pieces(data, starts, ends), return_index=True, return_inverse=True)
+        lens = (ends - starts)[at]
+        n_words = np.diff(bounds)
+        counts = np.where(n_words > 0, np.maximum(n_words - window, 0) + 1, 0)  # windows of each item row
+        owner = np.repeat(item_of, counts)
+        begin = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        size = np.repeat(np.minimum(n_words, window), counts)
+
+        v, state = max(1, len(vocabulary)), np.zeros(len(begin), np.int64)
+        keys, fail, ends_at, depth = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int8)]
+        total = 1
+        for k in range(int(size.max()) if len(size) else 0):
+            alive = np.flatnonzero(size > k)
+            level, of = np.unique(state[alive] * v + word[begin[alive] + k], return_inverse=True)
+            state[alive] = total + of
+            keys.append(level)
+            every, links = np.concatenate(keys), np.concatenate(fail)
+            back, symbol, link = links[level // v], level % v, np.zeros(len(level), np.int64)
+            open_ = np.flatnonzero(level // v != 0)  # states of the first level fall back to the root
+            while len(open_):
+                to = _find(every, back[open_] * v + symbol[open_]) + 1
+                link[open_] = to
+                open_ = open_[(to == 0) & (back[open_] != 0)]
+                back[open_] = links[back[open_]]
+            fail.append(link)
+            here = np.zeros(len(level), bool)
+            here[of[size[alive] == k + 1]] = True
+            ends_at.append(np.where(here, total + np.arange(len(level)), np.concatenate(ends_at)[link]))
+            depth.append(np.full(len(level), k + 1, np.int8))
+            total += len(level)
+        owned = np.unique(np.stack([state, owner], 1), axis=0) if len(state) else np.zeros((0, 2), np.int64)
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        # Neighbours in patterns: words of items that follow one another.
+        follow = np.ones(max(len(word) - 1, 0), bool)
+        follow[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(word))] - 1] = False
+        return cls({
+            "vocabulary": vocabulary, "word_bytes": _gathered(data, starts[at], lens), "word_starts": np.concatenate([[0], np.cumsum(lens)]),
+            "keys": keys, "fail": np.concatenate(fail).astype(np.int32), "ends": np.concatenate(ends_at).astype(np.int32), "depth": np.concatenate(depth),
+            "owner_starts": np.searchsorted(owned[:, 0], np.arange(total + 1)).astype(np.int32), "owners": owned[:, 1].astype(np.int32), "items": names,
+            "pairs": np.unique(word[:-1][follow] * v + word[1:][follow]), "least": np.array([size.min() if len(size) else 0]),
+        })
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{name: getattr(self, name) for name in self.FIELDS})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Automaton:
+        with np.load(io.BytesIO(data)) as arrays:
+            return cls({name: arrays[name] for name in cls.FIELDS})
+
+    def _stepped(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The state of each lane after its word; -1 is a word of no pattern."""
+        state = np.where(word < 0, 0, state)
+        out = np.zeros(len(state), np.int64)
+        open_ = np.flatnonzero(word >= 0)
+        while len(open_):
+            to = _find(self.keys, state[open_] * self.n_words + word[open_]) + 1
+            out[open_] = to
+            open_ = open_[(to == 0) & (state[open_] != 0)]
+            state[open_] = self.fail[state[open_]]
+        return out
+
+    def _run(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, state) of each word of a stream at which patterns end."""
+        lead = int(self.depth.max()) - 1
+        n_lanes = -(-len(words) // LANE)
+        padded = np.full(lead + n_lanes * LANE, -1, np.int64)
+        padded[lead : lead + len(words)] = words
+        first = np.arange(n_lanes) * LANE
+        state, places, states = np.zeros(n_lanes, np.int64), [], []
+        for k in range(lead + LANE):
+            state = self._stepped(state, padded[first + k])
+            if k >= lead and len(hit := np.flatnonzero(self.ends[state])):
+                places.append(first[hit] + k - lead)
+                states.append(self.ends[state[hit]].astype(np.int64))
+        return (np.concatenate(places), np.concatenate(states)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text; occurrences: text, first word, last word, first byte, byte past the last; (text, item) pairs)."""
+        starts, ends, bounds = bytesplit.words(data, offsets, _BETWEEN)
+        n_words = np.diff(bounds)
+        none = np.zeros((0, 5), np.int64), np.zeros((0, 2), np.int64)
+        if not len(self.keys) or not len(starts):
+            return n_words, *none
+        base = int(offsets[0])
+        folded = bytesplit.LOWER[data[base : int(offsets[-1])]]
+        word = _find(self.vocabulary, bytesplit.hash_pieces(folded, starts - base, ends - base))
+        keep = word >= 0
+        if (least := int(self.least[0])) > 1:  # words of runs of neighbours that are long enough for a pattern
+            both = keep[:-1] & keep[1:]
+            begun = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(word))]
+            both[begun - 1] = False
+            at = np.flatnonzero(both)
+            both[at] = _find(self.pairs, word[at] * self.n_words + word[at + 1]) >= 0
+            edge = np.diff(np.concatenate([[0], both.astype(np.int8), [0]]))
+            low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            fits = high - low >= least - 1
+            keep = np.cumsum(np.bincount(low[fits], minlength=len(word) + 1)[: len(word)] - np.concatenate([[0], np.bincount(high[fits], minlength=len(word))[: len(word) - 1]])) > 0
+        at = np.flatnonzero(keep)
+        if not len(at):
+            return n_words, *none
+        # The kept words as one stream, with a break wherever words are missing or a text begins.
+        text = np.searchsorted(bounds, at, "right") - 1
+        gap = np.concatenate([[False], (np.diff(at) > 1) | (np.diff(text) != 0)])
+        spot = np.arange(len(at)) + np.cumsum(gap)
+        stream = np.full(int(spot[-1]) + 1, -1, np.int64)
+        stream[spot] = word[at]
+        place, state = self._run(stream)
+        last = at[np.searchsorted(spot, place)]
+        found = []
+        while len(state):  # the patterns that end there, the longest first
+            found.append((last, state))
+            further = self.ends[self.fail[state]].astype(np.int64)
+            last, state = last[further > 0], further[further > 0]
+        if not found:
+            return n_words, *none
+        last, state = (np.concatenate(x) for x in zip(*found, strict=True))
+        first = last - self.depth[state] + 1
+        last, state, first = (x[self._same(folded, starts - base, ends - base, word, first, last)] for x in (last, state, first))
+        text = np.searchsorted(bounds, first, "right") - 1
+        n_owners = self.owner_starts[state + 1] - self.owner_starts[state]
+        met = np.stack([np.repeat(text, n_owners), _gathered(self.owners, self.owner_starts[state], n_owners)], 1)
+        own = offsets[text]
+        hits = np.stack([text, first - bounds[text], last - bounds[text], starts[first] - own, ends[last] - own], 1)
+        return n_words, hits[np.argsort(text, kind="stable")], np.unique(met, axis=0)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether all words of each occurrence are the pattern's, byte by byte."""
+        edge = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, last + 1, -1)
+        at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        lens, own = ends[at] - starts[at], word[at]
+        good = lens == np.diff(self.word_starts)[own]
+        checked = np.flatnonzero(good)
+        equal = _gathered(data, starts[at[checked]], lens[checked]) == _gathered(self.word_bytes, self.word_starts[own[checked]], lens[checked])
+        if not equal.all():
+            good[checked] = np.logical_and.reduceat(equal, np.cumsum(lens[checked]) - lens[checked])
+        bad = np.zeros(len(starts) + 1, np.int64)
+        bad[at + 1] = ~good
+        bad = np.cumsum(bad)
+        return bad[last + 1] == bad[first]
+
+
+def merged(found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Union of closed word spans (first, last, first byte, byte past the last), in order."""
+    out: list[list[int]] = []
+    for first, last, a, b in found[np.lexsort((found[:, 1], found[:, 0]))].tolist():
+        if out and first <= out[-1][1] + 1:
+            if last > out[-1][1]:
+                out[-1][1], out[-1][3] = last, b
         else:
-            out.append((a, b))
-    return out
+            out.append([first, last, a, b])
+    return [tuple(x) for x in out]
+
+
+_LOADED: dict[str, Automaton] = {}
+
 
+def _automaton(path: str) -> Automaton:
+    """The automaton of a file; a worker keeps the last."""
+    if path not in _LOADED:
+        from pyarrow import fs
 
-_BUILT: dict[str, Automaton] = {}
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            _LOADED.clear()
+            _LOADED[path] = Automaton.unpacked(f.read())
+    return _LOADED[path]
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> Automaton:
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items, window)
-    return _BUILT[key]
+def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, automaton_bytes: int) -> list[str]:
+    """Build the automata of a benchmark in tasks; the paths of their files, one for each ``automaton_bytes`` of text."""
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("words")).where("item IS NOT NULL AND words IS NOT NULL").distinct()
+    size = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = max(1, -(-size // automaton_bytes))
+    folder = shared_path(benchmark.sparkSession, "automata")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        held: dict[int, list[tuple[str, str]]] = {}
+        for batch in batches:
+            for part, item, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.setdefault(part, []).append((item, text))
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for part in sorted(held):
+            name = f"{part:05d}-{uuid.uuid4().hex}"
+            with system.open_output_stream(f"{base}/{name}") as f:
+                f.write(Automaton.of(held.pop(part), window).packed())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    dealt = tests.select(F.pmod(F.xxhash64("item", "words"), F.lit(parts)).cast("int").alias("part"), "item", "words").repartition(parts, "part")
+    return sorted(r.path for r in stored(dealt.mapInArrow(build, "path string"), "decontam-parts").collect())  # a row a part
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -120,38 +295,38 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, keep: list[str] = ()) -> DataFrame:
     """docs' id, text and ``keep`` with n_words, spans (hit words), bytes (hit bytes of the UTF-8 text, last inclusive) and items (sorted ids)."""
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("words")).where("item IS NOT NULL AND words IS NOT NULL")
-    size = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    parts = max(1, -(-size // automaton_bytes))
+    paths = automata(benchmark, item_col, item_text_col, window, automaton_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    own = len(rows.columns)
-    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<first:long,last:long>>"), "bytes": F.array().cast("array<struct<first:long,last:long>>"), "items": F.array().cast("array<string>")})
-    for part in range(parts):
-        chosen = tests if parts == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast(sorted((r.item, r.words) for r in chosen.collect()))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(shared.value, window)
-            for batch in batches:
-                data, offsets = bytesplit.text_buffer(batch.column(1))
-                for i, j in bytesplit.spans(offsets):
-                    piece = batch.slice(i, j - i)
-                    n_words, word_spans, items, byte_spans = machine.scan(data, offsets[i : j + 1])
-                    before = [piece.column(own + k).to_pylist() for k in (1, 2, 3)]
-                    pair = lambda x: [(s["first"], s["last"]) for s in x]
-                    out = [
-                        pa.array(n_words, pa.int64()),
-                        pa.array([merged(pair(a) + b) for a, b in zip(before[0], word_spans, strict=True)], _SPANS),
-                        pa.array([merged(pair(a) + [(s, e - 1) for s, e in b]) for a, b in zip(before[1], byte_spans, strict=True)], _SPANS),
-                        pa.array([sorted({*a, *b}) for a, b in zip(before[2], items, strict=True)], pa.list_(pa.string())),
-                    ]
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:own], *out], names=batch.schema.names)
-
-        rows = rows.mapInArrow(scan, rows.schema)
-        if part + 1 < parts:
-            rows = stored(rows, "decontam-pass")
-    return rows
+    made = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<first:long,last:long>>"), "bytes": F.array().cast("array<struct<first:long,last:long>>"), "items": F.array().cast("array<string>")})
+
+    names = made.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, GROUP_BYTES if len(paths) > 1 else 0):
+            n_words = [np.zeros(b.num_rows, np.int64) for b in group]
+            found: list[dict[int, list[np.ndarray]]] = [{} for _ in group]
+            items: list[dict[int, set[str]]] = [{} for _ in group]
+            for path in paths or [None]:
+                machine = _automaton(path) if path else Automaton.of([], window)
+                for g, batch in enumerate(group):
+                    data, offsets = bytesplit.text_buffer(batch.column(1))
+                    for i, j in bytesplit.spans(offsets, 8 * bytesplit.SPAN_BYTES):
+                        n_words[g][i:j], hits, met = machine.scan(data, offsets[i : j + 1])
+                        for own in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else ():
+                            found[g].setdefault(i + int(own[0, 0]), []).append(own[:, 1:])
+                        for d, item in met.tolist():
+                            items[g].setdefault(i + d, set()).add(str(machine.items[item]))
+            for g, batch in enumerate(group):
+                spans = [merged(np.concatenate(found[g][d])) if d in found[g] else () for d in range(batch.num_rows)]
+                out = [
+                    pa.array(n_words[g], pa.int64()),
+                    pa.array([[(a, b) for a, b, _, _ in x] for x in spans], _SPANS),
+                    pa.array([[(a, b - 1) for _, _, a, b in x] for x in spans], _SPANS),
+                    pa.array([sorted(items[g].get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
+
+    return rows.mapInArrow(scan, made.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -182,7 +182,7 @@ def test_language_id_on_held_out_rows(spark):
 
 def test_languages_with_long_documents_only_are_learned(spark):
     short, long = "some text here to learn from ", "andere worte hier zum lernen " * 1200
-    assert len(long) > langid.SAMPLE_BYTES
+    assert len(long) > langid.SAMPLE_CHARS
     rows = [(k, short, "a") for k in range(20)] + [(20 + k, long, "b") for k in range(20)] + [(50, "123", "c"), (51, "456", "c"), (52, "789", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs)
@@ -272,3 +272,103 @@ def test_words_and_hashes():
     assert found == ["The", "cat sat", "a", "b", "c", "THE"] and bounds.tolist() == [0, 2, 2, 3, 5, 6]
     hashes, _ = bytesplit.word_hashes(data, offsets)
     assert hashes[0] == hashes[5] and len(set(hashes.tolist())) == 5
+
+
+def test_one_automaton_scans_long_texts_in_lanes():
+    rng = random.Random(2)
+    vocabulary = ["a", "b", "Ä", "d7", "of", "the", "x", "yy", "zz", "end"]
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([2, 4, 9, 10, 11, 12, 30, 60, 0])]
+    machine = decontam.Automaton.unpacked(decontam.Automaton.of(items, 10).packed())
+    rows = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (0, 1, 3, 2000, 40, 700)]
+    for k, at in ((7, 3), (6, 5), (5, 4)):
+        own = rows[at].split()
+        own[250:250] = items[k][1].upper().split()
+        rows[at] = ", ".join(own)
+    raw = [t.encode() for t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    n_words, hits, met = machine.scan(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    expected = brute_contamination(list(enumerate(rows)), items)
+    for d, t in enumerate(rows):
+        spans = decontam.merged(hits[hits[:, 0] == d, 1:]) if (hits[:, 0] == d).any() else []
+        owners = sorted(str(machine.items[i]) for i in met[met[:, 0] == d, 1])
+        assert (n_words[d], sum(b - a + 1 for a, b, _, _ in spans), len(owners), hashlib.sha256(",".join(owners).encode()).hexdigest(), bool(spans)) == expected[d]
+        for a, b, first, last in spans:
+            assert words_of(raw[d][first:last].decode()) == words_of(t)[a : b + 1]
+
+
+def test_a_large_benchmark_takes_one_scan_of_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 2000)
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(40))) for k in range(300)]
+    rows = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(50)) + (" " + items[k][1] if k % 5 == 0 else "")) for k in range(60)]
+    made = decontam.decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), automaton_bytes=4000)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    expected = brute_contamination(rows, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in made.collect()} == expected
+
+
+def ppm_bits(samples, text, symbol, n_symbols, order=3, least=2):
+    """Code length of a text under each language by plain prediction by partial matching, method C with exclusion."""
+    trees, seen = {}, {}
+    for name, texts in samples.items():
+        trees[name] = {}
+        for t in texts:
+            own = [0] * order + [symbol[b] for b in t]
+            for i in range(order, len(own)):
+                for k in range(order + 1):
+                    context = tuple(own[i - k : i])
+                    node = trees[name].setdefault(context, {})
+                    node[own[i]] = node.get(own[i], 0) + 1
+        for context, node in trees[name].items():
+            seen[context] = max(seen.get(context, 0), sum(node.values()))
+
+    def chance(tree, context, x):
+        if context and seen.get(context, 0) < least:
+            return chance(tree, context[1:], x)
+        node = tree.get(context, {})
+        lower = (lambda y: chance(tree, context[1:], y)) if context else (lambda y: 1 / n_symbols)
+        total, kinds = sum(node.values()), len(node)
+        if not total:
+            return lower(x)
+        if x in node:
+            return node[x] / (total + kinds)
+        return kinds / (total + kinds) * lower(x) / (1 - sum(lower(y) for y in node))
+
+    own = [0] * order + [symbol[b] for b in text]
+    return [-sum(np.log2(chance(trees[name], tuple(own[i - order : i]), own[i])) for i in range(order, len(own))) for name in sorted(samples)]
+
+
+def test_code_lengths_are_exact(monkeypatch):
+    samples = {"a": [b"the cat sat on the mat, the hat", "ünder thé".encode()], "b": ["für über alle matten".encode(), b"der hat"], "c": [b"x"]}
+    model = langid.train(samples)
+    rows = [b"the matter, Over there", "ça für 12".encode(), b"", b"z", b"a b", b"qqq the the"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
+    symbols = model.bits.shape[1]
+    expected = [ppm_bits(samples, t, model.symbol.tolist(), symbols) for t in rows]
+    for chunk in (langid.CHUNK, 5, 2, 1):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(model.code_lengths(np.frombuffer(b"".join(rows), np.uint8), offsets), expected, rtol=1e-5, atol=1e-5)
+
+
+def test_training_takes_one_of_equal_rows_and_a_part_of_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda samples: taken.update(samples))
+    rows = [(1, "same text", "en")] * 300 + [(k, f"text {k} " + "é" * 500, "fr") for k in range(40)] + [(1, "other text", "en"), (3, None, "de"), (5, "1 2 3", "de"), (None, "x", "de")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=10)
+    assert taken["en"] == [b"other text", b"same text"] and set(taken) == {"en", "fr"}
+    assert len(taken["fr"]) == 10 and all(len(t.decode()) == 50 for t in taken["fr"])
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bytesplit, "SPAN_BYTES", 64)
+    path = tokenizer_file()
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    for t in [" ".join(t for t in texts(7) if t), "x" * 500, "word " * 200 + "é" * 300 + ", end"]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        expected = library.encode(t, add_special_tokens=False).ids
+        ids, lens = encoder.encoded(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == expected and lens.tolist() == encoder.counts(raw, np.array([0, len(raw)])).tolist() == [len(expected)]
