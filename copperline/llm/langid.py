@@ -9,6 +9,9 @@ length; contexts that are not in a tree fall back to their longest suffix that i
 Symbols: ASCII letters without case, every other byte from 0x80 that the sample holds, one symbol for all
 remaining ASCII bytes, one for bytes that the sample has not.
 
+The sample is bounded by ``SAMPLE_DOCS`` documents of each language and ``SAMPLE_CHARS`` characters of a document;
+this bounds training only, predictions take whole texts, part by part.
+
 Defined results: null text, or text without a letter, gives ``und`` with score 0; without any labelled row
 all texts do. A tie goes to the language that sorts first. Repeated rows give repeated rows. Null ids are
 never trained on and are not held out. Extra columns are not looked at.
@@ -28,21 +31,19 @@ from pyspark.sql import functions as F
 from copperline.llm import bytesplit
 
 ORDER = 3
-#: Bound of the training sample: documents of each language, and bytes of a document that is taken.
+#: Bound of the training sample: documents of each language, and characters that a document gives, from its start.
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 32 << 10
-#: Documents, the shortest, that are taken whole of a language that the sample would leave out.
-LONG_DOCS = 4
+SAMPLE_CHARS = 16 << 10
 #: A context of the sample is kept if it occurs so often in some language.
 LEAST_COUNT = 2
 #: Positions that are scored at once.
 CHUNK = 1 << 18
 
-_ASCII_LETTER = re.compile("[A-Za-z]")
+_LETTER = re.compile(r"[^\W\d_]")  # and number signs that are no letters, so each find is asked again
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and (bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text))
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 @dataclass
@@ -54,23 +55,27 @@ class Model:
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[text, language]: bits of each text."""
-        n, a = len(offsets) - 1, self.bits.shape[1]
+        n, width = len(offsets) - 1, self.bits.shape[1]
         out = np.zeros((n, len(self.languages)))
-        lens = np.diff(offsets)
-        blank = int(self.symbol[0x20])
         flat = self.bits.reshape(-1, len(self.languages))
-        padded = np.full(int(lens.sum()) + ORDER * n, blank, np.int32)  # each text follows ORDER blanks
-        first = np.cumsum(lens + ORDER) - lens
-        at = np.repeat(first - (offsets[:-1] - offsets[0]), lens) + np.arange(int(lens.sum()))
-        padded[at] = self.symbol[data[int(offsets[0]) : int(offsets[-1])]]
-        owner = np.repeat(np.arange(n), lens)
-        for k in range(0, len(at), CHUNK):
-            p = at[k : k + CHUNK]
-            context = (padded[p - 3] * a + padded[p - 2]) * a + padded[p - 1]
-            bits = flat[self.row_of[context] * a + padded[p]]
-            own = owner[k : k + CHUNK]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-            out[own[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+        base, end = int(offsets[0]), int(offsets[-1])
+        for a in range(base, end, CHUNK):
+            b = min(a + CHUNK, end)
+            own = np.full(b - a + ORDER, self.symbol[0x20], np.int32)  # the chunk after the symbols before it
+            before = self.symbol[data[max(base, a - ORDER) : b]]
+            own[len(own) - len(before) :] = before
+            begun = offsets[np.searchsorted(offsets, a - ORDER, "right") : np.searchsorted(offsets, b)]
+            context = np.zeros(b - a, np.int64)
+            for back in range(ORDER, 0, -1):  # each text follows ORDER blanks
+                symbols = own[ORDER - back : len(own) - back].copy()
+                for k in range(back):
+                    at = begun + k - a
+                    symbols[at[(at >= 0) & (at < b - a)]] = self.symbol[0x20]
+                context = context * width + symbols
+            bits = flat[self.row_of[context] * width + own[ORDER:]]
+            rows = np.arange(np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b))
+            rows = rows[np.minimum(offsets[rows + 1], b) > np.maximum(offsets[rows], a)]
+            out[rows] += np.add.reduceat(bits, np.maximum(offsets[rows] - a, 0), axis=0, dtype=np.float64)
         return out
 
 
@@ -147,36 +152,32 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Train on at most ``sample_docs`` documents a language, of those that are not held out; None without any.
+    """Train on at most ``sample_docs`` different documents a language, of those that are not held out; None without any.
 
-    The sample takes the smallest hashes of ids, so it is the same each time; documents over SAMPLE_BYTES are
-    left to others, and only where that leaves a language without any its LONG_DOCS shortest are taken whole. Only
-    ids are sorted; texts are read for the chosen ids alone.
+    The sample takes the smallest hashes of ids, so it is the same each time; of a long document it takes the first
+    SAMPLE_CHARS characters. Only narrow rows (language, id, hash of the text) are sorted; the texts of the chosen
+    rows are then read, one of equal ones.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    short = rows.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = [r.doc_id for r in short.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("doc_id").collect()]
+    start = F.substring("text", 1, SAMPLE_CHARS)
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & start.rlike(r"\p{L}"))
+    keys = ["lang", "doc_id", "hash"]
+    narrow = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
+    chosen = narrow.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select(*keys).distinct()
+    parts = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), start.alias("text"))
+    taken = parts.join(chosen.hint("broadcast"), keys, "left_semi").groupBy(*keys).agg(F.min("text").alias("text"))  # sample_docs rows a language
     samples: dict[str, list[bytes]] = {}
-    for r in rows.where(F.col("doc_id").isin(chosen) & (F.octet_length("text") <= SAMPLE_BYTES)).collect() if chosen else ():
+    for r in taken.collect():
         if has_letter(r.text):
             samples.setdefault(r.lang, []).append(r.text.encode())
-    missing = [r.lang for r in rows.select("lang").distinct().collect() if r.lang not in samples]
-    if missing:
-        size = F.octet_length("text")
-        long = rows.where(F.col("lang").isin(missing) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", size.alias("size"))
-        least = F.row_number().over(Window.partitionBy("lang").orderBy("size", F.xxhash64("doc_id"), "doc_id"))
-        for c in long.withColumn("rank", least).where(F.col("rank") <= LONG_DOCS).select("doc_id", "lang", "size").distinct().collect():
-            for r in rows.where((F.col("doc_id") == c.doc_id) & (F.col("lang") == c.lang) & (size == c.size)).limit(1).collect():
-                samples.setdefault(r.lang, []).append(r.text.encode())
     return train({k: sorted(v) for k, v in samples.items()}) if samples else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) of each row, and the columns of ``keep``; score is the posterior of the best."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: some 60 bytes a context, symbol and language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
