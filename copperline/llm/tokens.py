@@ -11,7 +11,8 @@ special token holds white space. So a text is cut before a blank or a line feed
 other than white space, and before such punctuation after a letter. Other tokenizers get whole texts.
 
 Defined results: null and empty text count 0 tokens and 0 bytes; repeated rows give repeated rows; an empty
-table gives an empty result; other columns of the input are not looked at, whatever their names.
+table gives an empty result; other columns of the input are not looked at, whatever their names. Long texts are
+encoded whole, in parts that end at safe boundaries.
 """
 
 from __future__ import annotations
@@ -143,14 +144,37 @@ class Encoder:
             rows[rest] = known[inverse]
         return rows, bounds
 
+    def _parts(self, data: np.ndarray, a: int, b: int) -> Iterator[np.ndarray]:
+        """Offsets of parts of one text, of about SPAN_BYTES, that end at safe boundaries."""
+        while b - a > bytesplit.SPAN_BYTES and self.cuttable:
+            size = bytesplit.SPAN_BYTES
+            while not len(cuts := cut_points(data[a : min(a + size, b)])) and a + size < b:
+                size *= 2
+            if not len(cuts):
+                break
+            yield np.array([a, a + int(cuts[-1])])
+            a += int(cuts[-1])
+        yield np.array([a, b])
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
+        if len(offsets) == 2 and offsets[1] - offsets[0] > bytesplit.SPAN_BYTES:
+            return sum(self._counts(data, part) for part in self._parts(data, *offsets.tolist()))
+        return self._counts(data, offsets)
+
+    def _counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, bounds = self.rows_of(data, offsets)
         sums = np.concatenate([[0], np.cumsum(self.lens[rows])])
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, tokens of each text)."""
+        if len(offsets) == 2 and offsets[1] - offsets[0] > bytesplit.SPAN_BYTES:
+            parts = [self._encoded(data, part)[0] for part in self._parts(data, *offsets.tolist())]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self._encoded(data, offsets)
+
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, bounds = self.rows_of(data, offsets)
         lens = self.lens[rows]
         sums = np.concatenate([[0], np.cumsum(lens)])
