@@ -16,12 +16,13 @@ and its excess goes to the rest by weight until none is above. Sorted by cap ove
 this ends is the largest of (words left) / (weight left) over the sorted sources.
 
 Scale: only rows (id, source, size) are range-partitioned by (source, id), so a source that holds a third of
-all rows spans many partitions; prefix sums take two levels (parts of a source, then rows of a part). Windows
-that see one partition hold one row per source, or per source and shard.
+all rows spans many partitions, as does one repeated row; prefix sums take two levels (parts of a source, then rows
+of a part). Windows that see one partition hold one row per source, or per source and shard. Slots are numbered and
+permuted in partitions of ``TASK_SLOTS``, counted from the plan.
 
 Defined results: null or empty text has size 0 and is taken 0 times. Sources order by code point, null last.
 Rows with equal ids order by a hash of their text; equal rows are told apart by their place, so each has its
-own result. An empty table gives no rows. Extra columns are not looked at, whatever their names.
+own result. An empty table gives no rows. Long texts count whole. Extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SEED = 20260101
 ROUNDS = 24
 #: Slots of a source that are numbered in one row's explode.
 RUN = 4096
+#: Slots of a partition.
+TASK_SLOTS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,8 +82,14 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     source = F.col(source_col).cast("string")
     own = [F.struct(*keep).alias("own")] if keep else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("skey"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *own)
-    rows = rows.repartitionByRange("skey", "doc_id", "tie").sortWithinPartitions("skey", "doc_id", "tie").drop("tie")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("skey"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"), *(own or [n_words(text).alias("size")]))
+    if not keep:  # words are counted once, not again for the bounds of the ranges
+        rows = stored(rows, "mix-sizes")
+    order = ["skey", "doc_id", "tie", "place"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "place")
+    if keep:
+        rows = rows.withColumn("size", n_words(F.col("own")[text_col]))
     return stored(rows.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "mix-rows")
 
 
@@ -107,13 +116,14 @@ def plan(places: DataFrame, block: int = BLOCK, cap: int = CAP, weights: tuple[i
 def slots(plans: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The drawn mix: (skey, slot, shard, epoch, block, words) of every slot."""
     used = plans.where("slots > 0")
+    n_tasks = max(1, -(-(used.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS))
     runs = used.select("skey", "slots", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {RUN}"))).alias("run"))
-    runs = runs.repartition("skey", "run")
+    runs = runs.repartition(n_tasks, "skey", "run")
     drawn = runs.select("skey", "n_shards", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "slots") - 1)).alias("j"))
     counts = drawn.groupBy("skey", F.pmod(F.xxhash64(F.lit(seed), "skey", "j"), F.col("n_shards")).alias("shard")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    pieces = first.select("skey", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run"), "first", "n").repartition("skey", "shard", "run")
+    pieces = first.select("skey", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run"), "first", "n").repartition(n_tasks, "skey", "shard", "run")
     numbered = pieces.select("skey", "shard", F.explode(F.sequence(F.col("first") + F.col("run") * RUN, F.col("first") + F.least(F.col("run") * RUN + RUN, "n") - 1)).alias("slot"))
     rows = numbered.join(used, "skey").withColumns({"epoch": F.expr("slot div n_blocks"), "place": F.pmod("slot", "n_blocks")})
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "skey", "epoch"))
