@@ -13,8 +13,8 @@ the driver, which sees at most two rows a partition, chooses the states at the b
 finds its own part of the cheapest path on roles only. Texts are rendered by DataFrame functions.
 
 Defined results: role names are compared without case and outer blanks; aliases map to the three roles. Null text is
-empty. Null conversation ids are one conversation, null turns come first; equal turns order by role, then text.
-Repeated rows are repeated turns. An empty table gives no rows. Extra columns are not looked at. In texts ``<|`` is
+empty. Null conversation ids are one conversation, null turns come first; equal turns order by role, then a hash of
+their text, then as the input has them. Repeated rows are repeated turns. Long texts are rendered whole. An empty table gives no rows. Extra columns are not looked at. In texts ``<|`` is
 rendered as ``< |``, so that no text can open or close a turn.
 """
 
@@ -144,13 +144,16 @@ def ordered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     name = F.trim(F.lower(F.col(role_col).cast("string")))
     code = F.coalesce(*[F.when(name.isin([k for k, v in ALIASES.items() if v == r]), F.lit(r)) for r in PREFERRED], F.lit(START))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), code.alias("code"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("conv_id", "turn", "code", F.xxhash64("text")).sortWithinPartitions("conv_id", "turn", "code", F.xxhash64("text"))
+    order = ["conv_id", "turn", "code", "tie", "place"]  # the place lets one repeated turn fill many partitions
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "place")
     return stored(rows.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "chat-turns")
 
 
 def decisions(rows: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """(row, new_code, merged, inserted_before, is_first, is_last) of each turn of ``ordered``."""
-    narrow = rows.select("part", "row", "conv_id", "code").repartition("part").sortWithinPartitions("part", "row")
+    n_parts = (rows.agg(F.max("part")).first()[0] or 0) + 1  # a task for each; adaptive execution would join these narrow rows
+    narrow = rows.select("part", "row", "conv_id", "code").repartition(n_parts, "part").sortWithinPartitions("part", "row")
     kind = rows.schema["conv_id"].dataType
     arrow = pa.from_numpy_dtype("int64") if kind.simpleString() in ("bigint", "int") else pa.string()
     ddl = "bigint" if arrow == pa.int64() else "string"
