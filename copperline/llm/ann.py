@@ -1,19 +1,25 @@
 """Nearest neighbours by inner product through shifted space-filling curves (operator 9).
 
 Vectors get one more component, sqrt(M**2 - |x|**2) with M the largest norm, and queries are scaled to norm M, so
-that the largest inner product is the least distance. ``ORDERINGS`` different projections, each with a random
+that the largest inner product is the least distance. Up to ``ORDERINGS`` different projections, each with a random
 shift, map them to cells of a grid; the Hilbert curve through the grid orders them. Spark range-partitions and
 sorts each ordering; tasks pack it into blocks of ``BLOCK`` vectors, with the queries where they fall. A query
-searches the blocks up to ``w`` away from its own in each ordering; candidates are scored on the original
+searches the blocks up to ``reach`` away from its own in each ordering; candidates are scored on the original
 vectors in double precision, and the best of all windows merge.
 
-The window is measured, not guessed: ``SAMPLE_QUERIES`` queries are also compared with every row, and ``w`` is the
-least distance in blocks at which ``RECALL`` of their true neighbours are met in some ordering. Vectors with
-structure need a few blocks; vectors without any (isotropic noise) have no ordering that keeps neighbours
-together, and then the windows widen until the recall is reached, at worst over the whole table.
+How many orderings are searched, and how far, is measured and not guessed: ``SAMPLE_QUERIES`` queries are also
+compared with every row, and of all numbers of orderings, each with the least reach at which ``RECALL`` of the true
+neighbours are met, the one with the fewest blocks for a query is taken. Vectors with structure need a few blocks.
+Vectors without any (isotropic noise) have no ordering that keeps neighbours together. Where the windows would hold
+the table or more, one ordering is indexed and its window is the whole table: an exact scan, in blocks, with recall 1.
+A first estimate, by the sampled rows' places, spares the other orderings then.
+
+Search: consecutive blocks make segments; a segment is one task's work, which holds its vectors and streams the
+queries whose windows reach it, a block of them at a time. A query is sent once to a segment and not to each block.
 
 Bounds: the projections are fitted on ``SAMPLE_ROWS`` rows; the driver sees these, the sampled queries with
-their neighbours, and ``w``. Every row is indexed. A task holds one block and the best of the queries it meets.
+their neighbours, and the reach. Every row is indexed. A task holds one segment, ``SEGMENT_BYTES`` at most, and a
+block of queries.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows without id, nor vectors of another length than the table's commonest (the shorter on ties). Rows that
@@ -24,6 +30,7 @@ returns all. An empty table gives no rows. Extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,8 @@ BLOCK = 512
 SAMPLE_ROWS = 4096
 SAMPLE_QUERIES = 64
 RECALL = 0.96
+#: Bytes of a segment's vectors.
+SEGMENT_BYTES = 32 << 20
 SEED = 20260101
 
 
@@ -111,12 +120,12 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 def top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of the k best of each query, its own row left out; equal scores in the order of ids."""
     rough = queries @ vectors.T
-    for q, row in zip(range(len(queries)), rough, strict=True):
-        at = np.flatnonzero(ids != query_ids[q])
-        if len(at) > k:
-            row = row[at]
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            at = at[row >= least - 1e-9 * max(1.0, abs(least))]
+    n = len(ids)
+    least = np.partition(rough, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else np.full(len(queries), -np.inf)  # k + 1: its own row may be among them
+    keep = rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None]
+    for q, row in zip(range(len(queries)), keep, strict=True):
+        at = np.flatnonzero(row)
+        at = at[ids[at] != query_ids[q]]
         scores = (vectors[at] * queries[q]).sum(1)  # one order of summation, so that equal vectors score alike
         best = np.lexsort((ids[at], -scores))[:k]
         yield ids[at][best], scores[best]
@@ -129,7 +138,10 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.forall(vec, sound) & F.exists(vec, lambda x: x != 0))
     width = rows.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").first()
-    return rows.where(F.size("vec") == (width.w if width else 0)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    rows = rows.where(F.size("vec") == (width.w if width else 0))
+    twice = rows.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id")  # narrow rows; vectors of other ids stay where they are
+    one = rows.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.join(twice, "vec_id", "left_anti").unionByName(one)
 
 
 _TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -145,8 +157,12 @@ def _best(found: dict[int, tuple[np.ndarray, np.ndarray]], q: int, ids: np.ndarr
 
 
 def _table(found: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    lens = [len(x[0]) for x in found.values()]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(found), np.int64), lens)), pa.array(np.concatenate([x[0] for x in found.values()])), pa.array(np.concatenate([x[1] for x in found.values()]))], schema=_TOP)
+    return _finds(list(found), list(found.values()))
+
+
+def _finds(queries: list[int], best: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    lens = [len(ids) for ids, _ in best]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(queries, np.int64), lens)), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([scores for _, scores in best]))], schema=_TOP)
 
 
 def brute_force(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -213,8 +229,42 @@ def index(rows: DataFrame, curves: Curves, width: int, every: int, block: int) -
     return blocks.join(numbers, ["ordering", "part", "seq"])
 
 
-def window_of(blocks: DataFrame, truth: list[tuple[int, int]], recall: float) -> int:
-    """The least w at which so many of the (query, neighbour) pairs are within w blocks in some ordering."""
+class Windows(NamedTuple):
+    """How a search goes: so many orderings, so many blocks to either side, of so many in an ordering."""
+
+    orderings: int
+    reach: int
+    n_blocks: int
+
+    @property
+    def share(self) -> float:
+        """Blocks that a query meets at most, as a share of the table's."""
+        return self.orderings * min(2 * self.reach + 1, self.n_blocks) / max(self.n_blocks, 1)
+
+
+def cheapest(away: np.ndarray, recall: float, n_blocks: int) -> Windows:
+    """The windows with the fewest blocks, from the distance in blocks of each (query, neighbour) pair in each ordering.
+
+    If they would hold the whole table, one ordering is searched from end to end.
+    """
+    plans = [Windows(1, n_blocks, n_blocks)]
+    for m in range(1, away.shape[1] + 1):
+        near = np.sort(away[:, :m].min(1))
+        plans.append(Windows(m, int(near[min(len(near) - 1, int(np.ceil(recall * len(near))) - 1)]) if len(near) else 0, n_blocks))
+    return min(plans, key=lambda p: p.share)
+
+
+def estimated(curves: Curves, sample: np.ndarray, queries: np.ndarray, neighbours: np.ndarray, recall: float, n_blocks: int) -> Windows:
+    """The cheapest windows, by the places of (query, neighbour) pairs among the sampled rows."""
+    places = []
+    for own, asked, met in zip(*(curves.keys(x) for x in (curves.lift(sample), curves.lift_queries(queries), curves.lift(neighbours))), strict=True):
+        own = np.sort(own)
+        places.append(np.abs(np.searchsorted(own, asked) - np.searchsorted(own, met)) * n_blocks // len(own))
+    return cheapest(np.stack(places, 1), recall, n_blocks)
+
+
+def measured(blocks: DataFrame, truth: list[tuple[int, int]], recall: float, n_blocks: int) -> Windows:
+    """The cheapest windows, by the blocks where the (query, neighbour) pairs stand."""
     wanted, asked = {v for _, v in truth}, {q for q, _ in truth}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,47 +279,78 @@ def window_of(blocks: DataFrame, truth: list[tuple[int, int]], recall: float) ->
     places: dict[tuple[int, int], dict[int, int]] = {}
     for r in blocks.select("ordering", F.col("block").cast("long"), "ids", "query_ids").mapInArrow(find, "ordering long, block long, vec_id long, kind long").collect():
         places.setdefault((r.kind, r.vec_id), {})[r.ordering] = r.block
-    away = sorted(min(abs(b - places[0, v][o]) for o, b in places[1, q].items()) for q, v in truth)
-    return away[min(len(away) - 1, int(np.ceil(recall * len(away))) - 1)] if away else 0
+    away = [[abs(b - places[0, v][o]) for o, b in sorted(places[1, q].items())] for q, v in truth]
+    return cheapest(np.array(away, np.int64), recall, n_blocks)
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, recall: float = RECALL, orderings: int = ORDERINGS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
     rows = stored(usable(table, id_col, vector_col), "ann-rows")
+    blocks, how, width = indexed(rows, k, every, block, recall, orderings)
+    if blocks is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_cores = max(1, spark.sparkContext.defaultParallelism)
+    size = int(np.clip(how.n_blocks * how.orderings // (4 * n_cores), 1, max(1, SEGMENT_BYTES // (8 * width * block))))  # blocks of a segment
+    reach = how.reach
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        place = ids = vectors = None
+        for batch in batches:
+            for ordering, segment, kind, number, own, data in zip(*batch.columns, strict=True):
+                number, these, x = number.as_py(), np.frombuffer(own.as_py(), np.int64), np.frombuffer(data.as_py(), np.float64).reshape(-1, width)
+                if at != (ordering.as_py(), segment.as_py()):
+                    at, held, place = (ordering.as_py(), segment.as_py()), [], None
+                if kind.as_py() == 0:  # a segment's blocks come before its queries
+                    held.append((np.full(len(these), number), these, x))
+                    continue
+                if held:
+                    place, ids, vectors = (np.concatenate(p) for p in zip(*held, strict=True))
+                    held = []
+                if place is not None:
+                    a, b = np.searchsorted(place, number - reach), np.searchsorted(place, number + reach, "right")
+                    if b > a:
+                        yield _finds(these.tolist(), list(top(x, these, vectors[a:b], ids[a:b], k)))
+
+    lists = blocks.where("n > 0").select("ordering", F.expr(f"block div {size}").alias("segment"), F.lit(0).alias("kind"), "block", "ids", "vectors")
+    last = how.n_blocks // size
+    low, high = F.greatest(F.expr(f"(block - {reach}) div {size}"), F.lit(0).cast("long")), F.least(F.expr(f"(block + {reach}) div {size}"), F.lit(last).cast("long"))
+    asking = blocks.where("n_queries > 0").select("ordering", F.explode(F.sequence(low, high)).alias("segment"), F.lit(1).alias("kind"), "block", F.col("query_ids").alias("ids"), F.col("query_vectors").alias("vectors"))
+    # Small rows and much work: without a number, adaptive execution would join segments into few tasks.
+    n_tasks = min(how.orderings * (last + 1), 1 << 15)
+    dealt = lists.unionByName(asking).repartition(n_tasks, "ordering", "segment").sortWithinPartitions("ordering", "segment", "kind", "block")
+    found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+    merged = found.distinct() if how.orderings > 1 else found
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def indexed(rows: DataFrame, k: int, every: int, block: int, recall: float, orderings: int = ORDERINGS) -> tuple[DataFrame | None, Windows | None, int]:
+    """(blocks of the orderings that are searched, how, width of the vectors); without rows, None."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None, None, 0
     width = len(sample[0].vec)
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    curves = Curves(np.array([r.vec for r in sample]), norm, orderings)
-    blocks = stored(index(rows, curves, width, every, block), "ann-index")
-
+    vectors = np.array([r.vec for r in sample])
+    about = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.count("*").alias("n")).first()
     asked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in brute_force(rows, [(r.vec_id, r.vec) for r in asked], k).collect() if asked else ():
         _best(found, r.query_id, np.array([r.vec_id]), np.array([r.score]), k)
-    w = window_of(blocks, [(q, v) for q, (ids, _) in found.items() for v in ids.tolist()], recall)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        at, ids, vectors = None, np.zeros(0, np.int64), np.zeros((0, width))
-        for batch in batches:
-            for ordering, number, kind, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                these, x = np.frombuffer(own, np.int64), np.frombuffer(data, np.float64).reshape(-1, width)
-                if kind == 0:
-                    at, ids, vectors = (ordering, number), these, x
-                elif at == (ordering, number):
-                    for q, (best, scores) in zip(these.tolist(), top(x, these, vectors, ids, k), strict=True):
-                        _best(met, q, best, scores, k)
-        if met:
-            yield _table(met)
-
-    lists = blocks.where("n > 0").select("ordering", "block", F.lit(0).alias("kind"), F.col("ids"), "vectors")
-    reach = F.explode(F.sequence(F.col("block") - w, F.col("block") + w))
-    asking = blocks.where("n_queries > 0").select("ordering", reach.alias("block"), F.lit(1).alias("kind"), F.col("query_ids").alias("ids"), F.col("query_vectors").alias("vectors"))
-    # A block is one row and meets the queries of 2 w + 1 blocks; neighbouring blocks share a task, which merges their finds.
-    dealt = lists.unionByName(asking).repartitionByRange("ordering", "block").sortWithinPartitions("ordering", "block", "kind")
-    merged = dealt.mapInArrow(scan, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    truth = [(q, v) for q, (ids, _) in found.items() for v in ids.tolist()]
+
+    curves = Curves(vectors, about.norm, orderings)
+    n_blocks = -(-about.n // block)
+    if truth:
+        met = {r.vec_id: r.vec for r in rows.where(F.col("vec_id").isin(sorted({v for _, v in truth}))).collect()}  # SAMPLE_QUERIES times k at most
+        own = {r.vec_id: r.vec for r in asked}
+        guess = estimated(curves, vectors, np.array([own[q] for q, _ in truth]), np.array([met[v] for _, v in truth]), recall, n_blocks)
+        if guess.share >= 1:
+            curves = Curves(vectors, about.norm, 1)
+    blocks = stored(index(rows, curves, width, every, block), "ann-index")
+    n_blocks = blocks.agg(F.max("block")).first()[0] + 1
+    if truth and len(curves.maps) == 1 < orderings:
+        return blocks, Windows(1, n_blocks, n_blocks), width
+    how = measured(blocks, truth, recall, n_blocks) if truth else Windows(1, 0, n_blocks)
+    return blocks.where(F.col("ordering") < how.orderings), how, width

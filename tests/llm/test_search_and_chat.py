@@ -130,6 +130,29 @@ def test_recall(spark, make, block):
         assert [r.rank for r in own] == list(range(1, 11)) and [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
 
 
+def test_windows_of_clusters_are_small_and_those_of_noise_the_table(spark):
+    rng = np.random.default_rng(11)
+    n, d = 6000, 16
+    clusters = rng.standard_normal((150, d))[np.arange(n) % 150] + 0.05 * rng.standard_normal((n, d))
+    for x, small in ((clusters, True), (rng.standard_normal((n, 48)), False)):
+        rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        blocks, how, _ = ann.indexed(df.select("vec_id", df.embedding.alias("vec")), 20, 20, 32, ann.RECALL)
+        assert blocks.select("ordering").distinct().count() == how.orderings
+        got, expected = ann.search(df, k=20, every=20, block=32).collect(), exact(rows, 20, 20)
+        if small:
+            assert how.share < 0.5 and recall(got, expected) >= 0.9
+        else:
+            assert how.share <= 1 and (how.orderings, how.reach) == (1, how.n_blocks) and recall(got, expected) == 1
+
+
+def test_cheapest_windows():
+    away = np.array([[0, 9], [9, 0], [1, 1], [0, 0]])
+    assert ann.cheapest(away, 0.75, 100) == ann.Windows(2, 0, 100)
+    assert ann.cheapest(away, 1, 100) == ann.Windows(2, 1, 100)
+    assert ann.cheapest(away, 1, 3) == ann.Windows(1, 3, 3)
+
+
 def test_ties_and_unusable_vectors(spark):
     v = [0.6, 0.8, 0.0]
     rows = [(k, v) for k in range(45)] + [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 0.0]), (64, [float("nan"), 1.0, 0.0]), (65, [float("inf"), 0.0, 0.0]), (66, [1.0, 2.0]), (None, v), (3, v), (80, [0.1, 0.1, 0.1])]
