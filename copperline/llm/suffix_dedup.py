@@ -10,9 +10,9 @@ row occur in two documents or more.
    words that follow, up to MIN_WORDS, and those before, up to MIN_WORDS - GRAM, as 32-bit hashes.
 3. Spark sorts the suffixes by n-gram and following words, range-partitioned over the whole key down to document and
    position. Each suffix is compared with its ``NEIGHBOURS`` neighbours on either side, to the right and to the
-   left. A match of MIN_WORDS words or more marks its span in both documents. The first and last suffixes of each
-   partition are compared again across the boundaries. N-grams of up to NEIGHBOURS + 1 suffixes go this way: each
-   of their suffixes meets every other.
+   left. A match of MIN_WORDS words or more marks its span in both documents. N-grams of up to NEIGHBOURS + 1
+   suffixes go this way: each of their suffixes meets every other. The first and last suffixes of each partition are
+   dealt by n-gram and compared again, so that an n-gram that a boundary cuts is whole.
 4. In larger groups a partner may stand anywhere, as a match that needs words to the left is not adjacent in that
    order. Each such minimiser gives the windows of MIN_WORDS words whose minimiser it is, as 64-bit hashes. They go
    through the same sort, with no context, by hash, document and position, so that a passage in a third of all
@@ -22,7 +22,8 @@ row occur in two documents or more.
    their spans join up.
 
 Defined results: null or empty texts, or texts under MIN_WORDS words, have no spans. Rows that share an id are
-one document. Rows with a null id take no part. An empty table gives no rows. Extra columns are not looked at.
+one document. Rows with a null id take no part. An empty table gives no rows. Long texts are taken whole; their words
+are hashed part by part. Extra columns are not looked at.
 Repeats within one document alone are not reported.
 """
 
@@ -287,7 +288,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
         part, edges, seen = TaskContext.get().partitionId(), [], Shared()
 
         def marked(doc: pa.Array, first: pa.Array, last: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([doc, first, last, *(pa.nulls(len(doc), t) for t in (*_TYPES, pa.int32(), pa.int32()))], names=names)
+            return pa.RecordBatch.from_arrays([doc, first, last, *(pa.nulls(len(doc), t) for t in (*_TYPES, pa.int32()))], names=names)
 
         def suffixes() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -306,18 +307,18 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
         if edges:
             columns = [pa.array(x, t) for x, t in zip(zip(*edges, strict=True), _TYPES, strict=True)]
             blank = [pa.nulls(len(edges), pa.int64()) for _ in range(3)]
-            yield pa.RecordBatch.from_arrays([*blank, *columns, pa.array([part] * len(edges), pa.int32()), pa.array(range(len(edges)), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*blank, *columns, pa.array([part] * len(edges), pa.int32())], names=names)
 
-    names = ["doc", "first", "last", *order, "part", "seq"]
-    made = stored(dealt.mapInArrow(run, f"doc long, first long, last long, {_SUFFIX_DDL}, part int, seq int"), "suffix-spans")
+    names = ["doc", "first", "last", *order, "part"]
+    made = stored(dealt.mapInArrow(run, f"doc long, first long, last long, {_SUFFIX_DDL}, part int"), "suffix-spans")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for spans in _streamed((b.select(order) for b in batches), min_words, gram):
+        for spans in _streamed(batches, min_words, gram):
             if spans:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*spans, strict=True)], schema=_SPAN)
 
-    # A few suffixes of each partition: the ends that meet at its boundaries.
-    ends = made.where("part IS NOT NULL AND octet_length(right) > 0").select(*order, "part", "seq").repartition(1).sortWithinPartitions("part", "seq")
+    # A few suffixes of each partition: those of n-grams that may go on beyond its boundaries.
+    ends = made.where("part IS NOT NULL AND octet_length(right) > 0").select(*order).repartition("anchor").sortWithinPartitions(*order)
     ends = ends.mapInArrow(across, "doc_id long, first long, last long")
     # The windows whose run meets a boundary.
     cut = made.where("part IS NOT NULL AND octet_length(right) = 0").select("anchor", "doc_id", "pos")
