@@ -6,25 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperline.functions import exprs
+from copperline.functions.patterns import InvalidPattern, java_pattern
 from copperline.operators.grouping import group_by_mpn
 from copperline.plans.netlist import Netlist, with_dns
 
 
-class InvalidPattern(ValueError):
-    """A regular expression that does not compile."""
-
-
 def checked_pattern(spark: SparkSession, pattern: str) -> str:
-    """The pattern for Java's engine: a final unescaped $ means the end of the text, not the last line feed.
-
-    Inline flags such as (?i) and possessive quantifiers are not part of the dialect and are rejected.
-    """
-    java = pattern
-    escaped = (len(pattern) - len(pattern[:-1].rstrip("\\")) - 1) % 2 if pattern.endswith("$") else 1
-    if pattern.endswith("$") and not escaped:
-        java = pattern[:-1] + r"\z"
-    if any(x in pattern for x in ("(?i)", "(?s)", "(?m)", "(?u)", "(?x)", "*+", "++", "?+")):
-        raise InvalidPattern(pattern)
+    """The pattern for Java's engine; raises InvalidPattern for one that does not compile."""
+    java = java_pattern(pattern)
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
     except Exception as e:

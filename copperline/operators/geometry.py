@@ -33,14 +33,34 @@ def touching(devices: DataFrame, key: list[str]) -> DataFrame:
     cells; each end and box meet in one cell only.
     """
     seg = segments(devices, key)
+    ends = seg.select(*key, F.col("idx").alias("tip"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
+    return _held(ends.select(*key, "tip", F.col("e.x").alias("x"), F.col("e.y").alias("y")).distinct(), seg, key).distinct()
+
+
+def _held(ends: DataFrame, seg: DataFrame, key: list[str]) -> DataFrame:
+    """(key, a, b) of ends (key, tip, x, y) that lie in the bounding box of a segment of another device."""
     low_x, high_x, low_y, high_y = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
     boxes = seg.select(*key, F.col("idx").alias("box"), low_x.alias("lx"), high_x.alias("hx"), low_y.alias("ly"), high_y.alias("hy"))
     boxes = boxes.withColumn("cx", F.explode(_cells(F.col("lx"), F.col("hx")))).withColumn("cy", F.explode(_cells(F.col("ly"), F.col("hy"))))
-    ends = seg.select(*key, F.col("idx").alias("tip"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
-    ends = ends.select(*key, "tip", F.col("e.x").alias("x"), F.col("e.y").alias("y")).distinct()
     ends = ends.withColumns({"cx": F.floor(F.col("x") / CELL).cast("long"), "cy": F.floor(F.col("y") / CELL).cast("long")})
     met = ends.join(boxes, [*key, "cx", "cy"]).where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy")) & (F.col("tip") != F.col("box")))
-    return met.select(*key, F.least("tip", "box").alias("a"), F.greatest("tip", "box").alias("b")).distinct()
+    return met.select(*key, F.least("tip", "box").alias("a"), F.greatest("tip", "box").alias("b"))
+
+
+def linked(devices: DataFrame, key: list[str]) -> DataFrame:
+    """(key, a, b): links that connect the same devices as ``touching``, a star for each place where ends lie.
+
+    The first device with an end at a place stands for all of them, so a bus point of n devices gives n links and
+    not n * n; only this one device's end meets the boxes that hold the place.
+    """
+    seg = segments(devices, key)
+    tips = seg.select(*key, "idx", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
+    tips = tips.select(*key, "idx", F.col("e.x").alias("x"), F.col("e.y").alias("y")).distinct()
+    spots = tips.groupBy(*key, "x", "y").agg(F.min("idx").alias("first"))
+    star = tips.join(spots, [*key, "x", "y"]).where("idx <> first").select(*key, F.col("first").alias("a"), F.col("idx").alias("b"))
+    long = seg.where("x1 <> x2 OR y1 <> y2")  # a box of no extent is its own end
+    held = _held(spots.withColumnRenamed("first", "tip"), long, key)
+    return star.unionByName(held).distinct()
 
 
 def same_text(devices: DataFrame, key: list[str]) -> DataFrame:
@@ -51,8 +71,8 @@ def same_text(devices: DataFrame, key: list[str]) -> DataFrame:
 
 
 def neighbours(devices: DataFrame, key: list[str]) -> DataFrame:
-    """(key, idx, other): both directions of all direct connections, by place or by name."""
-    edges = touching(devices, key).unionByName(same_text(devices, key))
+    """(key, idx, other): both directions of links, by place or by name, that connect what is connected."""
+    edges = linked(devices, key).unionByName(same_text(devices, key))
     return edges.select(*key, F.col("a").alias("idx"), F.col("b").alias("other")).union(edges.select(*key, "b", "a")).distinct()
 
 

@@ -22,12 +22,17 @@ MAX_HOPS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's checkpoint folder; sessions without one get a temporary folder."""
+    """Cut the lineage through the session's checkpoint folder; only on a local master a temporary one stands in."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="copperline-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not root:
+            import tempfile
+
+            root = "file://" + tempfile.mkdtemp(prefix="copperline-")
+        sc.setCheckpointDir(root)
     return df.checkpoint()
 
 

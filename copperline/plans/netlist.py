@@ -52,15 +52,16 @@ class Netlist:
         return Netlist(*tables)
 
     def problems(self) -> DataFrame:
-        """(table, design_id, name, problem) of rows that break the contract: missing or repeated keys, pins without a net row."""
+        """(of_table, design_id, name, problem) of rows that break the contract: missing or repeated keys, pins without a net row."""
         found = []
         for table, df, key in (("components", self.components, ["refdes"]), ("component_pins", self.component_pins, ["refdes", "pin"]), ("net_pins", self.net_pins, ["net", "refdes", "pin"]), ("nets", self.nets, ["net"])):
-            name = F.concat_ws(".", *key)
-            missing = df.where(" OR ".join(f"{c} IS NULL" for c in ["design_id", *key])).select(F.lit(table).alias("table"), "design_id", name.alias("name"), F.lit("key is missing").alias("problem"))
-            found.append(missing)
+            name = F.concat_ws(".", *key).alias("name")
+            missing = " OR ".join(f"{c} IS NULL" for c in ["design_id", *key])
+            found.append(df.where(missing).select(F.lit(table).alias("of_table"), "design_id", name, F.lit("key is missing").alias("problem")))
             if table != "net_pins":  # a net may list a pin twice
-                found.append(df.groupBy("design_id", *key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(table), "design_id", name, F.lit("key is repeated")))
-        found.append(self.net_pins.join(self.nets, ["design_id", "net"], "left_anti").select(F.lit("net_pins"), "design_id", F.col("net"), F.lit("no such net")).distinct())
+                found.append(df.where(f"NOT ({missing})").groupBy("design_id", *key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(table), "design_id", name, F.lit("key is repeated")))
+        known = self.net_pins.where("design_id IS NOT NULL AND net IS NOT NULL")
+        found.append(known.join(self.nets, ["design_id", "net"], "left_anti").select(F.lit("net_pins"), "design_id", F.col("net"), F.lit("no such net")).distinct())
         out = found[0]
         for more in found[1:]:
             out = out.union(more)

@@ -15,10 +15,12 @@ from copperline.functions import exprs
 from copperline.operators import components as parts
 from copperline.operators import geometry, grouping, matching, xnet
 from copperline.plans import oracle, projection
+from copperline.plans.netlist import Netlist
 from copperline.sources import cadence
 
 #: Patterns of the registered searches; the same in Java and RE2.
 NET_SEARCH = "^N1[0-9]*7$"
+SIGN_SEARCH = "^[*+][0-9]+V3$|^GN[C-E]$|\\++N|N99$"
 REFDES_SEARCH = "^(u|fb)[0-9]*5"
 MPN_SEARCH = "brand#1[0-9]?-[1-4]"
 DESCRIPTION_SEARCH = "[a-e].*dnp"
@@ -38,24 +40,17 @@ def _settled(spark: SparkSession, sf_dir: str):
     return replace(net, component_pins=own, net_pins=pins, nets=nets)
 
 
-def _starts(spark: SparkSession, sf_dir: str, net) -> DataFrame:
-    """One net in fifty that is not on ground; the queries named ..._all start from every one."""
-    return net.nets.where((F.col("net_ord") % 50 == 7) & ~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
-
-
-START_SQL = f"SELECT net AS root FROM nets WHERE net NOT IN ('GND', '+3V3') AND CAST(substr(net, 2) AS BIGINT) % 50 = 7 AND NOT {oracle.GROUND}"
-
-
-def _all_starts(spark: SparkSession, sf_dir: str, net) -> DataFrame:
+def _starts(net) -> DataFrame:
+    """Every net that is not on ground."""
     return net.nets.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
 
 
-ALL_START_SQL = f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}"
+START_SQL = f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}"
 
 
-def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = (), starts: Callable = _starts):
+def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = ()):
     net = _settled(spark, sf_dir)
-    seen = xnet.reach(net, starts(spark, sf_dir, net), skip)
+    seen = xnet.reach(net, _starts(net), skip)
     return net, seen, xnet.circuit_pins(net, seen, skip)
 
 
@@ -81,6 +76,11 @@ def search_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.search_nets(projection.netlist(spark, sf_dir), parts.checked_pattern(spark, NET_SEARCH)).select("net")
 
 
+def search_nets_by_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern whose quantifier and anchors are escaped, within a class, and in the middle."""
+    return parts.search_nets(projection.netlist(spark, sf_dir), parts.checked_pattern(spark, SIGN_SEARCH)).select("net")
+
+
 def search_components_by_refdes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(parts.search_by_refdes(projection.netlist(spark, sf_dir), parts.checked_pattern(spark, REFDES_SEARCH)))
 
@@ -134,33 +134,11 @@ def xnet_from_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir)[2].select("root", "refdes", "pin", "net")
 
 
-def xnet_from_net_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _circuit(spark, sf_dir, starts=_all_starts)[2].select("root", "refdes", "pin", "net")
-
-
 def xnet_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir)[1].select("root", "net", "expanded")
 
 
-def xnet_visited_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _circuit(spark, sf_dir, starts=_all_starts)[1].select("root", "net", "expanded")
-
-
 def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extended nets of pin 1 of each part whose key is divisible by 20 and whose pin is not on ground.
-
-    ``xnet_from_pin_all`` asks every pin.
-    """
-    net = _settled(spark, sf_dir)
-    chosen = net.components.where(F.col("comp_ord") % 20 == 0).select("design_id", "refdes")
-    pins = net.component_pins.where("pin = '1'").join(chosen, ["design_id", "refdes"], "left_semi").where(~exprs.is_ground(F.col("net")))
-    seen = xnet.reach(net, pins.select("design_id", F.col("net").alias("root")))
-    shown = xnet.circuit_pins(net, seen).select("design_id", "root", F.col("refdes").alias("part"), "pin", "net")
-    asked = pins.select("design_id", F.col("refdes").alias("start_refdes"), F.col("net").alias("root"))
-    return shown.join(asked, ["design_id", "root"]).select("start_refdes", "root", "part", "pin", "net")
-
-
-def xnet_from_pin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended nets of every component pin that is not on ground; each distinct net is traced once."""
     net = _settled(spark, sf_dir)
     asked = net.component_pins.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("refdes").alias("start_refdes"), F.col("pin").alias("start_pin"), F.col("net").alias("root"))
@@ -180,33 +158,21 @@ def xnet_skip_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir, SKIP)[2].select("root", "refdes", "pin", "net")
 
 
-def xnet_skip_types_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _circuit(spark, sf_dir, SKIP, _all_starts)[2].select("root", "refdes", "pin", "net")
-
-
-def xnet_skipped_counts(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
-    net, seen, _ = _circuit(spark, sf_dir, SKIP, starts)
+def xnet_skipped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net, seen, _ = _circuit(spark, sf_dir, SKIP)
     return xnet.skipped_counts(net, seen, SKIP).select("root", "skip_type", "n")
 
 
-def xnet_skipped_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xnet_skipped_counts(spark, sf_dir, _all_starts)
-
-
 def xnet_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xnet.closures(_settled(spark, sf_dir)).select("net", "label")
 
 
-def xnet_group_by_mpn(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
-    net, _, pins = _circuit(spark, sf_dir, starts=starts)
+def xnet_group_by_mpn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, pins = _circuit(spark, sf_dir)
     rows = grouping.aggregate_circuits(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"])
     return rows.select("root", "mpn", "description", "value", "total_count", F.size("orientations").cast("long").alias("n_orientations"), F.col("net_signature").alias("nets"))
 
 
-def xnet_group_by_mpn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xnet_group_by_mpn(spark, sf_dir, _all_starts)
-
-
 def xnet_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every extended net's groups, an orientation a row, numbered in order."""
     _, _, pins = _every_circuit(spark, sf_dir)
@@ -216,9 +182,9 @@ def xnet_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("root", "mpn", F.col("place").cast("long").alias("place"), F.col("o.count").alias("n"), F.array_join("o.refdes", ",").alias("refdes"), way.alias("wiring"))
 
 
-def xnet_envelope(spark: SparkSession, sf_dir: str, starts: Callable = _starts) -> DataFrame:
+def xnet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each answer: components, distinct configurations, visited nets."""
-    _, seen, pins = _circuit(spark, sf_dir, starts=starts)
+    _, seen, pins = _circuit(spark, sf_dir)
     made = grouping.circuit_components(pins, ["design_id", "root"])
     configurations = grouping.aggregate_circuits(made, ["design_id", "root"]).groupBy("design_id", "root").agg(F.count("*").alias("unique_configurations"))
     totals = made.groupBy("design_id", "root").agg(F.count("*").alias("total_components"))
@@ -228,18 +194,14 @@ def xnet_envelope(spark: SparkSession, sf_dir: str, starts: Callable = _starts)
     return joined.select("root", zero("total_components"), zero("unique_configurations"), "n_visited")
 
 
-def xnet_envelope_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xnet_envelope(spark, sf_dir, _all_starts)
-
-
 def circuit_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, pins = _every_circuit(spark, sf_dir)
     return grouping.circuit_hash(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"]).select("root", "circuit_hash")
 
 
-def _boxes(spark: SparkSession, sf_dir: str, suppliers: str = "true") -> DataFrame:
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet per supplier, a wire or point per line of its orders, laid out by keys."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(suppliers).select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
     x = (F.col("l_orderkey") % 300) * 1000
     y = (F.col("l_partkey") % 200) * 1000
     far = F.when(F.col("l_linenumber") % 2 == 0, x + 4000).otherwise(x)
@@ -250,14 +212,15 @@ def _boxes(spark: SparkSession, sf_dir: str, suppliers: str = "true") -> DataFra
 
 
 def spatial_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheets of suppliers 1 to 40 only; ``spatial_connect_all`` joins every sheet."""
-    edges = geometry.touching(_boxes(spark, sf_dir, "l_suppkey <= 40"), ["sheet"])
+    """The pairs of devices that touch, on every sheet."""
+    edges = geometry.touching(_boxes(spark, sf_dir), ["sheet"])
     return edges.select("sheet", "a", "b")
 
 
-def spatial_connect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = geometry.touching(_boxes(spark, sf_dir), ["sheet"])
-    return edges.select("sheet", "a", "b")
+def spatial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connected group of every device of every sheet."""
+    groups = geometry.connected_groups(_boxes(spark, sf_dir).withColumn("label", F.lit(None).cast("string")), ["sheet"], xnet.cut)
+    return groups.select("sheet", "idx", F.col("group").alias("first_of_group"))
 
 
 def cadence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,9 +230,23 @@ def cadence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.components.select("design_id", "refdes", "mpn", "description", "value").join(pins, ["design_id", "refdes"], "left")
 
 
+def broken(net: Netlist) -> Netlist:
+    """The netlist with a flaw of each kind that ``problems`` finds, put in by what the rows say."""
+    comps = net.components.withColumn("refdes", F.when(F.col("description").endswith(" DNP"), None).otherwise(F.col("refdes")))
+    pins = net.component_pins.withColumn("pin", F.when(F.col("net") == "GND", None).otherwise(F.col("pin")))
+    net_pins = net.net_pins.withColumn("net", F.when(F.col("pin") == "8", None).otherwise(F.col("net")))
+    nets = net.nets.where("net <> '+3V3'")
+    return Netlist(
+        comps.union(comps.where("mpn IS NULL")),
+        pins.union(pins.where("net = '+3V3'")),
+        net_pins,
+        nets.union(nets.where("net = 'GND'")).union(nets.where("net = 'GND'").withColumn("net", F.lit(None).cast("string"))),
+    )
+
+
 def netlist_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the projection that break the tables' contract."""
-    return projection.netlist(spark, sf_dir).problems()
+    """What breaks the tables' contract in a projection with flaws of every kind; the projection itself has none."""
+    return broken(projection.netlist(spark, sf_dir)).problems().unionByName(projection.netlist(spark, sf_dir).problems())
 
 
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +259,7 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extended net of every net, rolled up by part number."""
-    return xnet_group_by_mpn_all(spark, sf_dir).orderBy(F.desc("total_count"), "root")
+    return xnet_group_by_mpn(spark, sf_dir).orderBy(F.desc("total_count"), "root")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -290,9 +267,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         list_components_r, list_components_with_dns, list_nets, search_nets, search_components_by_refdes, search_components_by_mpn,
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
-        xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect, spatial_connect_all,
-        greedy_assignment, cadence_round_trip, netlist_problems, xnet_from_net_all, xnet_visited_all, xnet_skip_types_all,
-        xnet_skipped_counts_all, xnet_group_by_mpn_all, xnet_envelope_all, xnet_from_pin_all,
+        xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect,
+        greedy_assignment, cadence_round_trip, netlist_problems, search_nets_by_signs, spatial_groups,
     )
     return {f.__name__: f for f in every}
 
@@ -305,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
     base = f"WITH {oracle.BASE}"
     walk = oracle.traversal(START_SQL)
     skip_walk = oracle.traversal(START_SQL, _skip_sql())
-    pin_starts = f"SELECT DISTINCT net AS root FROM pins WHERE pin = '1' AND comp_ord % 20 = 0 AND NOT {oracle.GROUND}"
+    pin_starts = f"SELECT DISTINCT net AS root FROM pins WHERE NOT {oracle.GROUND}"
     everything = oracle.traversal(f"SELECT net AS root FROM nets WHERE NOT {oracle.STOP}")
     # Every extended net once: the start that is its least net.
     least = everything + f""",
@@ -320,6 +296,7 @@ shown1 AS (SELECT shown.* FROM shown JOIN own USING (root))"""
         "list_components_with_dns": oracle.grouped("starts_with(upper(refdes), 'R')", "true"),
         "list_nets": f"{base} SELECT net FROM nets",
         "search_nets": f"{base} SELECT net FROM nets WHERE regexp_matches(net, '{NET_SEARCH}')",
+        "search_nets_by_signs": f"{base} SELECT net FROM nets WHERE regexp_matches(net, '{SIGN_SEARCH}')",
         "search_components_by_refdes": oracle.grouped(f"regexp_matches(refdes, '{REFDES_SEARCH}', 'i')"),
         "search_components_by_mpn": oracle.grouped(f"mpn IS NOT NULL AND regexp_matches(mpn, '{MPN_SEARCH}', 'i')"),
         "search_components_by_description": oracle.grouped(f"regexp_matches(description, '{DESCRIPTION_SEARCH}', 'i')", "true"),
@@ -338,8 +315,8 @@ SELECT refdes, count(*) AS n_nets, string_agg(p || ':' || net, '|' ORDER BY p0)
         "xnet_from_net": f"{walk} SELECT root, refdes, pin, net FROM shown",
         "xnet_visited": f"{walk} SELECT root, net, expanded FROM vis",
         "xnet_from_pin": oracle.traversal(pin_starts) + f"""
-SELECT a.refdes AS start_refdes, s.root, s.refdes AS part, s.pin, s.net FROM shown s
-JOIN (SELECT refdes, net FROM pins WHERE pin = '1' AND comp_ord % 20 = 0 AND NOT {oracle.GROUND}) a ON a.net = s.root""",
+SELECT a.refdes AS start_refdes, a.pin AS start_pin, s.root, s.refdes AS part, s.pin, s.net FROM shown s
+JOIN (SELECT refdes, pin, net FROM pins WHERE NOT {oracle.GROUND}) a ON a.net = s.root""",
         "xnet_power_start": oracle.traversal("SELECT '+3V3' AS root") + " SELECT root, refdes, pin, net FROM shown",
         "xnet_skip_types": f"{skip_walk} SELECT root, refdes, pin, net FROM shown",
         "xnet_skipped_counts": f"""{skip_walk},
@@ -367,23 +344,33 @@ SELECT p_brand AS design_id, c.refdes, coalesce(mpn, p_type) AS mpn, p_name AS d
        CASE WHEN pin IS NOT NULL THEN lower(p_type) END AS value, pin, CASE WHEN pin = '1' THEN 'FIRST' END AS pin_name, net
 FROM part0 c JOIN comp0 USING (refdes) LEFT JOIN pins ON pins.refdes = c.refdes""",
         "netlist_problems": f"""{base},
-twice AS (SELECT refdes, pin FROM pins GROUP BY refdes, pin HAVING count(*) > 1)
-SELECT 'component_pins' AS "table", 'star' AS design_id, refdes || '.' || pin AS name, 'key is repeated' AS problem FROM twice""",
+c0 AS (SELECT CASE WHEN description NOT LIKE '% DNP' THEN refdes END AS refdes, mpn FROM comp),
+c AS (SELECT refdes FROM c0 UNION ALL SELECT refdes FROM c0 WHERE mpn IS NULL),
+p0 AS (SELECT refdes, CASE WHEN net <> 'GND' THEN pin END AS pin, net FROM pins),
+p AS (SELECT refdes, pin FROM p0 UNION ALL SELECT refdes, pin FROM p0 WHERE net = '+3V3'),
+np AS (SELECT CASE WHEN pin <> '8' THEN net END AS net, refdes, pin FROM pins),
+n AS (SELECT net FROM nets WHERE net <> '+3V3' UNION ALL SELECT net FROM nets WHERE net = 'GND' UNION ALL SELECT NULL FROM nets WHERE net = 'GND')
+SELECT 'components' AS of_table, 'star' AS design_id, '' AS name, 'key is missing' AS problem FROM c WHERE refdes IS NULL
+UNION ALL SELECT 'components', 'star', refdes, 'key is repeated' FROM c WHERE refdes IS NOT NULL GROUP BY refdes HAVING count(*) > 1
+UNION ALL SELECT 'component_pins', 'star', refdes, 'key is missing' FROM p WHERE pin IS NULL
+UNION ALL SELECT 'component_pins', 'star', refdes || '.' || pin, 'key is repeated' FROM p WHERE pin IS NOT NULL GROUP BY refdes, pin HAVING count(*) > 1
+UNION ALL SELECT 'net_pins', 'star', refdes || '.' || pin, 'key is missing' FROM np WHERE net IS NULL
+UNION ALL SELECT DISTINCT 'net_pins', 'star', net, 'no such net' FROM np WHERE net IS NOT NULL AND net NOT IN (SELECT net FROM n WHERE net IS NOT NULL)
+UNION ALL SELECT 'nets', 'star', '', 'key is missing' FROM n WHERE net IS NULL
+UNION ALL SELECT 'nets', 'star', net, 'key is repeated' FROM n WHERE net IS NOT NULL GROUP BY net HAVING count(*) > 1""",
         "spatial_connect": """
 WITH b AS (
   SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS sheet, l_orderkey || '-' || l_partkey || '-' || l_linenumber AS idx,
          (l_orderkey % 300) * 1000 AS x1, (l_partkey % 200) * 1000 AS y1,
          (l_orderkey % 300) * 1000 + CASE WHEN l_linenumber % 2 = 0 THEN 4000 ELSE 0 END AS x2,
          (l_partkey % 200) * 1000 + CASE WHEN l_linenumber % 3 = 0 THEN 15000 ELSE 0 END AS y2
-  FROM lineitem WHERE l_suppkey <= 40)
+  FROM lineitem)
 SELECT DISTINCT a.sheet, a.idx AS a, c.idx AS b FROM b a JOIN b c ON a.sheet = c.sheet AND a.idx < c.idx
 WHERE (a.x1 BETWEEN c.x1 AND c.x2 AND a.y1 BETWEEN c.y1 AND c.y2) OR (a.x2 BETWEEN c.x1 AND c.x2 AND a.y2 BETWEEN c.y1 AND c.y2)
    OR (c.x1 BETWEEN a.x1 AND a.x2 AND c.y1 BETWEEN a.y1 AND a.y2) OR (c.x2 BETWEEN a.x1 AND a.x2 AND c.y2 BETWEEN a.y1 AND a.y2)""",
     }
-    sql["spatial_connect_all"] = sql["spatial_connect"].replace(" WHERE l_suppkey <= 40", "")
-    for name in ("from_net", "visited", "skip_types", "skipped_counts", "group_by_mpn", "envelope"):
-        sql[f"xnet_{name}_all"] = sql[f"xnet_{name}"].replace(START_SQL, ALL_START_SQL)
-    sql["xnet_from_pin_all"] = oracle.traversal(f"SELECT DISTINCT net AS root FROM pins WHERE NOT {oracle.GROUND}") + f"""
-SELECT a.refdes AS start_refdes, a.pin AS start_pin, s.root, s.refdes AS part, s.pin, s.net FROM shown s
-JOIN (SELECT refdes, pin, net FROM pins WHERE NOT {oracle.GROUND}) a ON a.net = s.root"""
+    sql["spatial_groups"] = sql["spatial_connect"].replace("WITH b AS", "WITH RECURSIVE b AS").replace("FROM lineitem)\nSELECT DISTINCT", "FROM lineitem),\ne0 AS (SELECT DISTINCT") + """),
+e AS (SELECT sheet, a, b FROM e0 UNION SELECT sheet, b, a FROM e0),
+r AS (SELECT DISTINCT sheet, idx, idx AS other FROM b UNION SELECT r.sheet, r.idx, e.b FROM r JOIN e ON e.sheet = r.sheet AND e.a = r.other)
+SELECT sheet, idx, min(other) AS first_of_group FROM r GROUP BY sheet, idx"""
     return sql

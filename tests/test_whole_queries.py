@@ -33,20 +33,18 @@ def test_every_sheet_is_joined(spark, tmp_path):
             first, second = ("-".join(map(str, k)) for k in (a, b))
             if s == t and first < second and (holds(box(*a), box(*b)) or holds(box(*b), box(*a))):
                 want.add((str(s), first, second))
-    got = [tuple(r) for r in registry.queries()["spatial_connect_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.queries()["spatial_connect"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {s for s, *_ in want} == {"3", "40", "41", "977"}
 
 
 @supplied
 def test_every_net_off_ground_is_traced(spark):
     nets = {r.net for r in off_ground(projection.netlist(spark, DATA).nets).collect()}
-    for name in ("xnet_visited_all", "xnet_envelope_all"):
+    for name in ("xnet_visited", "xnet_envelope"):
         assert {r.root for r in registry.queries()[name](spark, DATA).select("root").distinct().collect()} == nets
     assert {r.root for r in registry.flagship(spark, DATA).select("root").distinct().collect()} == {
-        r.root for r in registry.queries()["xnet_from_net_all"](spark, DATA).select("root").distinct().collect()
+        r.root for r in registry.queries()["xnet_from_net"](spark, DATA).select("root").distinct().collect()
     }
-    sql = registry.oracle_sql()
-    assert all(v != sql.get(k.removesuffix("_all")) for k, v in sql.items() if k.endswith("_all"))
 
 
 @supplied
@@ -55,5 +53,5 @@ def test_every_pin_off_ground_is_asked(spark):
     net = projection.netlist(spark, DATA)
     stuffed = {r.refdes for r in registry.dns_flags(spark, DATA).where("not dns").collect()}
     pins = {(r.refdes, r.pin, r.net) for r in off_ground(net.component_pins).collect() if r.refdes in stuffed}
-    got = registry.queries()["xnet_from_pin_all"](spark, DATA).where("start_refdes = part").select("start_refdes", "start_pin", "root").distinct().collect()
+    got = registry.queries()["xnet_from_pin"](spark, DATA).where("start_refdes = part").select("start_refdes", "start_pin", "root").distinct().collect()
     assert pins and pins <= {tuple(r) for r in got}
