@@ -26,42 +26,44 @@ class Format:
 
     name: str
     extensions: tuple[str, ...]
-    discover: Callable[[SparkSession, DataFrame], DataFrame]
+    discover: Callable[[DataFrame], DataFrame]
     load: Callable[[SparkSession, list[str]], Netlist]
 
     def handles(self, path: str) -> bool:
         return extension(path) in self.extensions
 
 
+def _named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The given design files as rows of a listing."""
+    return spark.createDataFrame([(p, posixpath.dirname(p), posixpath.basename(p), posixpath.splitext(posixpath.basename(p))[0], extension(p)) for p in paths], listing.LISTING)
+
+
 def _load_cadence(spark: SparkSession, paths: list[str]) -> Netlist:
-    """Each design with the best data set below its own folder."""
-    rows = []
+    """Each design with the best data set below its own folder: one listing and one join for all designs."""
+    files = listing.listing(spark, *{posixpath.dirname(p) for p in paths})
+    best = {r.path: r for r in listing.best_dat_set(files, _named(spark, paths)).collect()}  # a row for each path that was asked for
     for path in paths:
-        files = listing.listing(spark, posixpath.dirname(path))
-        design = spark.createDataFrame([(path, posixpath.dirname(path), posixpath.splitext(posixpath.basename(path))[0])], "path string, dir string, stem string")
-        best = listing.best_dat_set(files, design).first()
-        if best is None:
+        if path not in best:
             raise DesignError(f"Missing netlist files for {posixpath.basename(path)}. Run export_cadence_netlist to generate them.")
-        rows += [(path, kind, best[kind]) for kind in ("pstxnet", "pstxprt", "pstchip")]
+    rows = [(path, kind, r[kind]) for path, r in best.items() for kind in ("pstxnet", "pstxprt", "pstchip")]
     wanted = spark.createDataFrame(rows, "design_id string, kind string, path string")
-    return cadence.netlist(wanted.join(listing.contents(spark, sorted({r[2] for r in rows})), "path"))
+    return cadence.netlist(wanted.join(listing.contents(wanted), "path"))
 
 
 def _load_altium(spark: SparkSession, paths: list[str]) -> Netlist:
-    rows = []
+    """Each project with its sheets: one listing and one join for all projects."""
+    files = listing.listing(spark, *{posixpath.dirname(p) for p in paths}).where(~F.col("ext").isin(listing.ALTIUM_EXTENSIONS))
+    found = {r.path: r.sheets for r in listing.altium_designs(files.union(_named(spark, paths))).collect()}  # a row for each path
     for path in paths:
-        project = spark.createDataFrame([(path, posixpath.dirname(path), posixpath.basename(path), posixpath.splitext(posixpath.basename(path))[0], extension(path))], listing.LISTING)
-        others = listing.listing(spark, posixpath.dirname(path)).where(F.col("path") != path).where(~F.col("ext").isin(listing.ALTIUM_EXTENSIONS))
-        sheets = listing.altium_designs(spark, project.union(others)).first().sheets
-        if not sheets:
+        if not found.get(path):
             raise DesignError(f"No schematic documents found for project {path}")
-        rows += [(path, sheet, k) for k, sheet in enumerate(sheets)]
-    wanted = spark.createDataFrame(rows, "design_id string, sheet string, sheet_ord int")
-    return altium.netlist(wanted.join(listing.contents(spark, sorted({r[1] for r in rows})).withColumnRenamed("path", "sheet"), "sheet"))
+    rows = [(path, sheet, k) for path, sheets in found.items() for k, sheet in enumerate(sheets)]
+    wanted = spark.createDataFrame(rows, "design_id string, path string, sheet_ord int")
+    return altium.netlist(wanted.join(listing.contents(wanted), "path").withColumnRenamed("path", "sheet"))
 
 
 FORMATS = [
-    Format("cadence", tuple(listing.CADENCE_EXTENSIONS), lambda spark, files: listing.cadence_designs(files), _load_cadence),
+    Format("cadence", tuple(listing.CADENCE_EXTENSIONS), listing.cadence_designs, _load_cadence),
     Format("altium", tuple(listing.ALTIUM_EXTENSIONS), listing.altium_designs, _load_altium),
 ]
 
@@ -77,7 +79,7 @@ def find_format(path: str) -> Format | None:
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(name, format, path, error) of all designs below root, in collated order of their names."""
     files = listing.listing(spark, root)
-    found = [f.discover(spark, files).select("name", "format", "path", "error") for f in FORMATS]
+    found = [f.discover(files).select("name", "format", "path", "error") for f in FORMATS]
     return reduce(DataFrame.unionByName, found).orderBy(collated(F.col("name")), "path")
 
 

@@ -1,7 +1,7 @@
 """Finding designs: one listing of files, then joins.
 
 A listing has path, dir, name, stem and ext (lower case, with its dot). The driver walks the tree as Spark's own
-file index does; file contents are only read by tasks.
+file index does, folders of other file systems through Hadoop's; file contents are only read by tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import errno
 import os
 import posixpath
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +41,42 @@ def extension(path: str) -> str:
     return posixpath.splitext(name)[1].lower()
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """All files below root. Folders that may not be read are passed over, other errors are raised."""
-    base = posixpath.abspath(normal_path(root)).rstrip("/") or "/"
-    rows = []
+def _walked(base: str) -> Iterator[str]:
+    """Files below a folder; folders that may not be read are passed over, other errors are raised."""
 
     def refuse(error: OSError) -> None:
         if error.errno != errno.EACCES:
             raise error
 
     for folder, _, names in os.walk(base, onerror=refuse):
-        for name in names:
-            if os.path.isfile(path := posixpath.join(folder, name)):
-                rows.append((path, folder, name, posixpath.splitext(name)[0], extension(name)))
-    return spark.createDataFrame(rows, LISTING)
+        yield from (path for name in names if os.path.isfile(path := posixpath.join(folder, name)))
+
+
+def _listed(spark: SparkSession, base: str) -> Iterator[str]:
+    """Files below a folder that has a scheme, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    system = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo = [jvm.org.apache.hadoop.fs.Path(base)]
+    while todo:
+        try:
+            found = list(system.listStatus(todo.pop()))
+        except Exception as e:
+            if "AccessControlException" in str(e):
+                continue
+            raise
+        for status in found:
+            if status.isDirectory():
+                todo.append(status.getPath())
+            else:
+                yield status.getPath().toString()
+
+
+def listing(spark: SparkSession, *roots: str) -> DataFrame:
+    """All files below the roots, each once. Folders that may not be read are passed over, other errors are raised."""
+    bases = {r.rstrip("/") if "://" in r else posixpath.abspath(normal_path(r)).rstrip("/") or "/" for r in roots}
+    inside = lambda b: any(b != c and b.startswith(c.rstrip("/") + "/") for c in bases)
+    paths = [p for b in sorted(bases) if not inside(b) for p in (_listed(spark, b) if "://" in b else _walked(b))]
+    return spark.createDataFrame([(p, posixpath.dirname(p), (name := posixpath.basename(p)), posixpath.splitext(name)[0], extension(p)) for p in paths], LISTING)
 
 
 def dat_sets(files: DataFrame) -> DataFrame:
@@ -99,13 +123,26 @@ def best_dat_set(files: DataFrame, designs: DataFrame) -> DataFrame:
     return rows.withColumn("n", first).where("n = 1").select("path", "dat_dir", "pstxnet", "pstxprt", "pstchip")
 
 
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of files, read by tasks."""
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(["file://" + p.replace("%", "%25") if p.startswith("/") else p for p in paths])
-    plain = F.regexp_replace("path", "^file:(//)?(?=/)", "")
-    return rows.select(F.try_url_decode(F.regexp_replace(plain, r"\+", "%2B")).alias("path"), "content")
+def contents(paths: DataFrame, size: int | None = None) -> DataFrame:
+    """(path, content) of the files that ``paths`` (path) names, or of their first ``size`` bytes; missing ones give no row.
+
+    Tasks open the files, so nothing is listed, loaded or read twice for them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                try:
+                    with system.open_input_file(name) as f:
+                        content = f.read(size)
+                except (FileNotFoundError, IsADirectoryError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    return paths.select("path").distinct().mapInArrow(run, "path string, content binary")
 
 
 def document_paths(project: str, content: bytes) -> list[str]:
@@ -122,29 +159,39 @@ def document_paths(project: str, content: bytes) -> list[str]:
     return list(out)
 
 
-def project_sheets(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, sheet): the OLE sheets of each project; of one that names none, the only sheet in its folder's tree."""
-    from pyspark.sql import types as T
+def named_sheets(projects: DataFrame) -> DataFrame:
+    """(path, sheet) of project files given as (path, content)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sheets = document_paths(path, content or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(sheets), pa.string()), pa.array(sheets, pa.string())], names=["path", "sheet"])
+
+    return projects.select("path", "content").mapInArrow(run, "path string, sheet string")
+
+
+def project_sheets(files: DataFrame, read: Callable[[DataFrame, int | None], DataFrame] = contents) -> DataFrame:
+    """(path, sheet): the OLE sheets of each project; of one that names none, the only sheet in its folder's tree.
+
+    ``read`` gives the contents of files, or their first bytes. Sheets that a project names may lie outside the listing.
+    """
     projects = files.where(F.col("ext").isin(ALTIUM_EXTENSIONS)).select("path", F.col("dir").alias("project_dir"))
-    paths = [r.path for r in projects.select("path").collect()]  # design files of the listing
-    named = F.udf(document_paths, T.ArrayType(T.StringType()))  # a project file is a row
-    listed = contents(spark, paths).select("path", F.explode(named("path", "content")).alias("sheet"))
+    listed = named_sheets(read(projects, None))
     sheets = files.where(F.col("ext") == SHEET_EXTENSION).select(F.col("path").alias("sheet"))
-    outside = [r.sheet for r in listed.select("sheet").distinct().join(sheets, "sheet", "left_anti").collect() if os.path.isfile(r.sheet)]
-    every = sheets.unionByName(spark.createDataFrame([(p,) for p in outside], "sheet string"))
-    magic = contents(spark, [r.sheet for r in every.collect()]).where(F.substring("content", 1, 8) == F.lit(OLE_MAGIC)).select(F.col("path").alias("sheet"))
+    heads = read(sheets.union(listed.select("sheet")).select(F.col("sheet").alias("path")), len(OLE_MAGIC))
+    magic = heads.where(F.col("content") == F.lit(OLE_MAGIC)).select(F.col("path").alias("sheet"))
     own = listed.join(magic, "sheet").select("path", "sheet").distinct()
     inside = magic.join(sheets, "sheet").select("sheet", F.explode(_ancestors(F.regexp_replace("sheet", "/[^/]*$", ""))).alias("project_dir"))
     alone = projects.join(own, "path", "left_anti").join(inside, "project_dir").groupBy("path").agg(F.count("*").alias("n"), F.first("sheet").alias("sheet")).where("n = 1").select("path", "sheet")
     return own.unionByName(alone)
 
 
-def altium_designs(spark: SparkSession, files: DataFrame) -> DataFrame:
+def altium_designs(files: DataFrame, read: Callable[[DataFrame, int | None], DataFrame] = contents) -> DataFrame:
     """(name, format, path, sheets, error) of every project; sheets in collated order."""
     from copperline.functions.exprs import collated
 
-    sheets = project_sheets(spark, files).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct(collated(F.col("sheet")).alias("k"), "sheet"))), lambda s: s["sheet"]).alias("sheets"))
+    sheets = project_sheets(files, read).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct(collated(F.col("sheet")).alias("k"), "sheet"))), lambda s: s["sheet"]).alias("sheets"))
     rows = files.where(F.col("ext").isin(ALTIUM_EXTENSIONS)).join(sheets, "path", "left")
     error = F.when(F.col("sheets").isNull(), F.concat(F.lit("No schematic documents found for project '"), "stem", F.lit("'.")))
     return rows.select(F.col("stem").alias("name"), F.lit("altium").alias("format"), "path", F.coalesce("sheets", F.array().cast("array<string>")).alias("sheets"), error.alias("error"))

@@ -142,7 +142,7 @@ def test_projects(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "empty.PrjPcb").write_text("")
     assert listing.document_paths("/p/m.PrjPcb", listed.encode()) == ["/p/a.SchDoc", "/p/sub/b.SchDoc", "/p/text.SchDoc"]
-    rows = {r.name: r for r in listing.altium_designs(spark, listing.listing(spark, str(tmp_path))).collect()}
+    rows = {r.name: r for r in listing.altium_designs(listing.listing(spark, str(tmp_path))).collect()}
     assert [s.removeprefix(f"{tmp_path}/") for s in rows["main"].sheets] == ["a.SchDoc", "sub/b.SchDoc"]
     assert [s.removeprefix(f"{tmp_path}/") for s in rows["only"].sheets] == ["sub/b.SchDoc"]
     assert rows["empty"].error == "No schematic documents found for project 'empty'."
