@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from copperline.operators import xnet
 from copperline.plans.netlist import Netlist
 
 DESIGN = "star"
@@ -13,7 +16,7 @@ PREFIXES = {"ECONOMY": "R", "SMALL": "C", "MEDIUM": "L", "PROMO": "FB", "LARGE":
 ACTIVE_PINS = 8
 
 
-def _refdes(kind, key):
+def refdes_of(kind, key):
     prefix = F.lit("J")
     for name, letter in PREFIXES.items():
         prefix = F.when(kind == name, letter).otherwise(prefix)
@@ -26,7 +29,7 @@ def netlist(spark: SparkSession, sf_dir: str) -> Netlist:
     key, size = F.col("p_partkey"), F.col("p_size")
     components = part.select(
         F.lit(DESIGN).alias("design_id"),
-        _refdes(F.col("p_type"), key).alias("refdes"),
+        refdes_of(F.col("p_type"), key).alias("refdes"),
         F.when(size % 10 != 0, F.concat("p_brand", F.lit("-"), size.cast("string"))).alias("mpn"),
         F.lit(True).alias("mpn_present"),
         F.concat("p_name", F.when(key % 17 == 0, " DNP").otherwise("")).alias("description"),
@@ -42,6 +45,15 @@ def netlist(spark: SparkSession, sf_dir: str) -> Netlist:
     return Netlist(components, component_pins, net_pins, nets)
 
 
+def settled(spark: SparkSession, sf_dir: str) -> Netlist:
+    """The netlist with its pins computed once; a traversal reads them many times."""
+    net = netlist(spark, sf_dir)
+    pins = xnet.cut(net.net_pins)
+    nets = xnet.cut(pins.groupBy("design_id", "net").agg(F.min("net_ord").alias("net_ord")))
+    own = pins.select("design_id", "refdes", "pin", F.lit(None).cast("string").alias("pin_name"), "net", "pin_ord")
+    return replace(net, component_pins=own, net_pins=pins, nets=nets)
+
+
 def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     """(design_id, refdes, pin, net, l_orderkey, l_partkey)."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
@@ -54,12 +66,12 @@ def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     pin = F.when(passive, F.filter(F.array(F.when(F.col("low") == 1, F.lit("1")), F.when(F.col("high") == 1, F.lit("2"))), lambda x: x.isNotNull()))
     pin = pin.otherwise(F.when(F.col("low") <= ACTIVE_PINS, F.array(F.col("low").cast("string"))).otherwise(F.array().cast("array<string>")))
     net = F.when(F.col("l_orderkey") % 97 == 0, "GND").when(F.col("l_orderkey") % 89 == 0, "+3V3").otherwise(F.concat(F.lit("N"), F.col("l_orderkey").cast("string")))
-    return joined.select(F.lit(DESIGN).alias("design_id"), _refdes(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net.alias("net"), "l_orderkey", "l_partkey")
+    return joined.select(F.lit(DESIGN).alias("design_id"), refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net.alias("net"), "l_orderkey", "l_partkey")
 
 
 def cadence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection as Cadence text exports, a design per brand: rows (design_id, kind, content)."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("refdes", _refdes(F.col("p_type"), F.col("p_partkey")))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("refdes", refdes_of(F.col("p_type"), F.col("p_partkey")))
     pins = ranked_pins(spark, sf_dir, part).join(part.select("p_brand", "refdes"), "refdes")
     lines = lambda values: F.array_join(F.sort_array(F.collect_list(values)), "\n")
     node = F.concat(F.lit("NODE_NAME "), "refdes", F.lit(" "), "pin")

@@ -6,7 +6,6 @@ All run over the projection of the supplied tables; each returns flat rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from copperline.functions import exprs
 from copperline.operators import components as parts
 from copperline.operators import geometry, grouping, matching, xnet
-from copperline.plans import oracle, projection
+from copperline.plans import fleet, oracle, projection
 from copperline.plans.netlist import Netlist
 from copperline.sources import cadence
 
@@ -31,15 +30,6 @@ def _flat(groups: DataFrame) -> DataFrame:
     return groups.select("mpn", "description", "value", F.coalesce("dns", F.lit(False)).alias("dns"), F.array_join("refdes", ",").alias("refdes"), F.col("count").alias("n"))
 
 
-def _settled(spark: SparkSession, sf_dir: str):
-    """The projection with its pins computed once; a traversal reads them many times."""
-    net = projection.netlist(spark, sf_dir)
-    pins = xnet.cut(net.net_pins)
-    nets = xnet.cut(pins.groupBy("design_id", "net").agg(F.min("net_ord").alias("net_ord")))
-    own = pins.select("design_id", "refdes", "pin", F.lit(None).cast("string").alias("pin_name"), "net", "pin_ord")
-    return replace(net, component_pins=own, net_pins=pins, nets=nets)
-
-
 def _starts(net) -> DataFrame:
     """Every net that is not on ground."""
     return net.nets.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root"))
@@ -49,13 +39,13 @@ START_SQL = f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}"
 
 
 def _circuit(spark: SparkSession, sf_dir: str, skip: list[str] = ()):
-    net = _settled(spark, sf_dir)
+    net = projection.settled(spark, sf_dir)
     seen = xnet.reach(net, _starts(net), skip)
     return net, seen, xnet.circuit_pins(net, seen, skip)
 
 
 def _every_circuit(spark: SparkSession, sf_dir: str):
-    net = _settled(spark, sf_dir)
+    net = projection.settled(spark, sf_dir)
     seen = xnet.closure_visits(xnet.closures(net))
     return net, seen, xnet.circuit_pins(net, seen)
 
@@ -140,7 +130,7 @@ def xnet_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended nets of every component pin that is not on ground; each distinct net is traced once."""
-    net = _settled(spark, sf_dir)
+    net = projection.settled(spark, sf_dir)
     asked = net.component_pins.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("refdes").alias("start_refdes"), F.col("pin").alias("start_pin"), F.col("net").alias("root"))
     seen = xnet.reach(net, asked.select("design_id", "root"))
     shown = xnet.circuit_pins(net, seen).select("design_id", "root", F.col("refdes").alias("part"), "pin", "net")
@@ -149,7 +139,7 @@ def xnet_from_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xnet_power_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A start on a power net is expanded, though such nets end a traversal otherwise."""
-    net = _settled(spark, sf_dir)
+    net = projection.settled(spark, sf_dir)
     seen = xnet.reach(net, xnet.starts_of(spark, [(projection.DESIGN, "+3V3")]))
     return xnet.circuit_pins(net, seen).select("root", "refdes", "pin", "net")
 
@@ -164,7 +154,7 @@ def xnet_skipped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xnet_all_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xnet.closures(_settled(spark, sf_dir)).select("net", "label")
+    return xnet.closures(projection.settled(spark, sf_dir)).select("net", "label")
 
 
 def xnet_group_by_mpn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +260,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect,
         greedy_assignment, cadence_round_trip, netlist_problems, search_nets_by_signs, spatial_groups,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | fleet.queries()
 
 
 def _skip_sql(column: str = "refdes") -> str:
@@ -373,4 +363,16 @@ WHERE (a.x1 BETWEEN c.x1 AND c.x2 AND a.y1 BETWEEN c.y1 AND c.y2) OR (a.x2 BETWE
 e AS (SELECT sheet, a, b FROM e0 UNION SELECT sheet, b, a FROM e0),
 r AS (SELECT DISTINCT sheet, idx, idx AS other FROM b UNION SELECT r.sheet, r.idx, e.b FROM r JOIN e ON e.sheet = r.sheet AND e.a = r.other)
 SELECT sheet, idx, min(other) AS first_of_group FROM r GROUP BY sheet, idx"""
-    return sql
+    sql["greedy_assignment"] = """
+WITH RECURSIVE c AS (
+  SELECT l_suppkey AS root, CAST(l_partkey AS VARCHAR) AS design, CAST(l_orderkey AS VARCHAR) AS data_set, max(CAST(l_quantity AS BIGINT)) AS score
+  FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, design, data_set) AS n FROM c),
+g AS (
+  SELECT root, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS designs, CAST([] AS VARCHAR[]) AS sets, false AS taken FROM (SELECT DISTINCT root FROM c)
+  UNION ALL
+  SELECT root, n, CASE WHEN f THEN list_append(designs, design) ELSE designs END, CASE WHEN f THEN list_append(sets, data_set) ELSE sets END, f
+  FROM (SELECT o.root, o.n, g.designs, g.sets, o.design, o.data_set, NOT list_contains(g.designs, o.design) AND NOT list_contains(g.sets, o.data_set) AS f
+        FROM g JOIN o ON o.root = g.root AND o.n = g.n + 1))
+SELECT CAST(o.root AS VARCHAR) AS root, design, data_set, score FROM o JOIN g USING (root, n) WHERE taken"""
+    return sql | fleet.oracle_sql()
