@@ -177,6 +177,7 @@ def mixed_documents(docs: DataFrame, columns: list[str], text_col: str = "text",
     rows = made.rows.select("row", "size", "own").join(epochs, "row")
     text = F.col("own")[text_col]
     every = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    parts = F.transform("cuts", lambda s: F.array_join(F.slice(every, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")), " "))
-    text = F.when(F.col("n") == F.col("size"), text).otherwise(F.array_join(parts, " "))
+    cut = lambda words: F.array_join(F.flatten(F.transform("cuts", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), " ")
+    taken = F.element_at(F.transform(F.array(every), cut), 1)  # a lambda's variable, so that the words are found once and not for each cut
+    text = F.when(F.col("n") == F.col("size"), text).otherwise(taken)
     return rows.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in columns])
