@@ -2,9 +2,9 @@
 
 For each language a variable-order tree of byte contexts (up to three symbols) holds the counts of a bounded
 training sample. Escape probabilities follow PPM's method C with exclusion. Once trained, the statistics are
-frozen, so the trees compile into one table of code lengths: a row for every context that any language has,
-a column for every symbol, a layer for every language. A text's score under a language is its exact code
-length; contexts that are not in a tree fall back to their longest suffix that is.
+frozen, so the trees compile into a sparse table of code lengths: a row for every pair of a context and a symbol
+that the sample holds, an escape for every context, each with a value for every language. A text's score under a
+language is its exact code length; contexts that are not in a tree fall back to their longest suffix that is.
 
 Symbols: ASCII letters without case, every other byte from 0x80 that the sample holds, one symbol for all
 remaining ASCII bytes, one for bytes that the sample has not.
@@ -48,16 +48,40 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
+    """Code lengths of the (context, symbol) pairs that the sample holds; other symbols cost a context's escape and then what they cost after its suffix."""
+
     languages: list[str]
     symbol: np.ndarray  # of each byte
+    width: int  # symbols
     row_of: np.ndarray  # of each three symbols: the longest context in a tree
-    bits: np.ndarray  # [context, symbol, language]
+    shorter: np.ndarray  # of each context: its suffix
+    escape: np.ndarray  # [context, language], in bits; 0 where the language has no such context
+    marks: np.ndarray  # [context, words]: a bit for each symbol that has a pair
+    before: np.ndarray  # [context, words]: pairs before a word's first
+    pairs: np.ndarray  # [pair, language], in bits
+
+    def lookup(self, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """[position, language]: bits of each symbol after the context of that row."""
+        word = rows * self.marks.shape[1] + (symbols >> 6)
+        bit = np.left_shift(np.uint64(1), (symbols & 63).astype(np.uint64))
+        mark = self.marks.reshape(-1)[word]
+        at = self.before.reshape(-1)[word] + np.bitwise_count(mark & (bit - np.uint64(1)))
+        lost = np.flatnonzero((mark & bit) == 0)
+        at[lost] = 0
+        out = self.pairs[at]
+        if len(lost):  # the empty context has all symbols
+            out[lost] = self.escape[rows[lost]] + self.lookup(self.shorter[rows[lost]], symbols[lost])
+        return out
+
+    @property
+    def bits(self) -> np.ndarray:
+        """[context, symbol, language]: the table in full, for tests of small models."""
+        n = len(self.escape)
+        return self.lookup(np.repeat(np.arange(n), self.width), np.tile(np.arange(self.width), n)).reshape(n, self.width, -1)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[text, language]: bits of each text."""
-        n, width = len(offsets) - 1, self.bits.shape[1]
-        out = np.zeros((n, len(self.languages)))
-        flat = self.bits.reshape(-1, len(self.languages))
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
         base, end = int(offsets[0]), int(offsets[-1])
         for a in range(base, end, CHUNK):
             b = min(a + CHUNK, end)
@@ -71,8 +95,8 @@ class Model:
                 for k in range(back):
                     at = begun + k - a
                     symbols[at[(at >= 0) & (at < b - a)]] = self.symbol[0x20]
-                context = context * width + symbols
-            bits = flat[self.row_of[context] * width + own[ORDER:]]
+                context = context * self.width + symbols
+            bits = self.lookup(self.row_of[context], own[ORDER:])
             rows = np.arange(np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b))
             rows = rows[np.minimum(offsets[rows + 1], b) > np.maximum(offsets[rows], a)]
             out[rows] += np.add.reduceat(bits, np.maximum(offsets[rows] - a, 0), axis=0, dtype=np.float64)
@@ -110,41 +134,48 @@ def train(samples: dict[str, list[bytes]], least_count: int = LEAST_COUNT) -> Mo
                 codes.append(code)
             grams[order][k] = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    contexts = [np.zeros(1, np.int64)]  # of each order, those that the trees have
+    contexts, pairs = [np.zeros(1, np.int64)], [np.arange(a)]  # of each order, those that the trees have; all symbols after nothing
     for order in range(1, ORDER + 1):
         kept = []
         for codes, counts in grams[order].values():
             context, inverse = np.unique(codes // a, return_inverse=True)
             kept.append(context[np.bincount(inverse, counts, len(context)) >= least_count])
         contexts.append(np.unique(np.concatenate(kept)))
+        every = np.unique(np.concatenate([codes for codes, _ in grams[order].values()]))
+        pairs.append(every[np.isin(every // a, contexts[order])])
+    row = [np.searchsorted(c, p // a) for c, p in zip(contexts, pairs, strict=True)]
 
-    bits = []
+    escape, bits = [], []
     for k in languages:
-        below = np.full((1, a), 1 / a)
-        layers = []
+        escapes, layers, here = [], [], np.full(a, 1 / a)
         for order in range(ORDER + 1):
-            if order:
-                suffix = np.searchsorted(contexts[order - 1], contexts[order] % a ** (order - 1))
-                below = below[suffix]
-            counts = np.zeros((len(contexts[order]), a))
+            below = here[np.searchsorted(pairs[order - 1], pairs[order] % a**order)] if order else here
             codes, n_of = grams[order][k]
-            row = np.searchsorted(contexts[order], codes // a)
-            ok = (row < len(contexts[order])) & (contexts[order][np.minimum(row, len(contexts[order]) - 1)] == codes // a) if len(contexts[order]) else np.zeros(len(codes), bool)
-            counts[row[ok], codes[ok] % a] = n_of[ok]
-            total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+            counts = np.zeros(len(pairs[order]))
+            own = np.isin(codes, pairs[order])
+            counts[np.searchsorted(pairs[order], codes[own])] = n_of[own]
+            sums = lambda x, order=order: np.bincount(row[order], x, len(contexts[order]))
+            total, distinct = sums(counts), sums(counts > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = distinct / (total + distinct) / np.maximum(1 - np.where(counts > 0, below, 0).sum(1, keepdims=True), 1e-12)
-                here = np.where(counts > 0, counts / (total + distinct), escape * below)
-            below = np.where(total > 0, here, below)
-            layers.append(below)
-        bits.append(-np.log2(np.concatenate(layers)))
+                free = np.where(total > 0, distinct / (total + distinct) / np.maximum(1 - sums(np.where(counts > 0, below, 0)), 1e-12), 1)
+                here = np.where(counts > 0, counts / (total + distinct)[row[order]], free[row[order]] * below)
+            escapes.append(-np.log2(free))
+            layers.append(-np.log2(here))
+        escape.append(np.concatenate(escapes))
+        bits.append(np.concatenate(layers))
 
     starts = np.cumsum([0] + [len(c) for c in contexts])
-    row_of = np.zeros(1, np.int32)
+    row_of, shorter = np.zeros(1, np.int32), [np.zeros(1, np.int64)]
     for order in range(1, ORDER + 1):
         row_of = np.tile(row_of, a)  # by the suffix that is one symbol shorter
+        shorter.append(row_of[contexts[order]].astype(np.int64))
         row_of[contexts[order]] = starts[order] + np.arange(len(contexts[order]))
-    return Model(languages, symbol, row_of, np.stack(bits, -1).astype(np.float32))
+    marks = np.zeros((int(starts[-1]), -(-a // 64)), np.uint64)
+    for r, p, start in zip(row, pairs, starts, strict=False):
+        np.bitwise_or.at(marks, (r + start, p % a >> 6), np.left_shift(np.uint64(1), (p % a & 63).astype(np.uint64)))
+    held = np.bitwise_count(marks).reshape(-1)
+    before = (np.cumsum(held, dtype=np.int64) - held).reshape(marks.shape)
+    return Model(languages, symbol, a, row_of, np.concatenate(shorter), np.stack(escape, -1).astype(np.float32), marks, before, np.stack(bits, -1).astype(np.float32))
 
 
 def held_out(id_col: str = "doc_id"):

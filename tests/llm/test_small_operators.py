@@ -351,6 +351,21 @@ def test_code_lengths_are_exact(monkeypatch):
         assert np.allclose(model.code_lengths(np.frombuffer(b"".join(rows), np.uint8), offsets), expected, rtol=1e-5, atol=1e-5)
 
 
+def test_code_lengths_are_exact_with_many_symbols_and_languages():
+    letters = ["".join(chr(c) for c in range(lo, lo + 30)) for lo in (0x61, 0xC0, 0x391, 0x410, 0x5D0, 0x905, 0xE01, 0x10D0)]
+    rng = np.random.Generator(np.random.PCG64(5))
+    text = lambda k: "".join(rng.choice(list(letters[k] + "  "), 300)).encode()
+    samples = {f"l{k}": [text(k), text(k)] for k in range(len(letters))}
+    model = langid.train(samples)
+    assert model.width > 64 and model.marks.shape[1] == 2
+    rows = [t[:60] for k in range(len(letters)) for t in (text(k),)] + [b"mixed " + text(3)[:20] + text(6)[:20]]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
+    expected = [ppm_bits(samples, t, model.symbol.tolist(), model.width) for t in rows]
+    assert np.allclose(model.code_lengths(np.frombuffer(b"".join(rows), np.uint8), offsets), expected, rtol=1e-5, atol=1e-4)
+    held = sum(v.nbytes for v in (model.pairs, model.escape, model.marks, model.before))
+    assert held < len(model.escape) * model.width * len(samples) * 4 / 10  # a tenth of the full table
+
+
 def test_training_takes_one_of_equal_rows_and_a_part_of_long_ones(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)
     taken = {}
