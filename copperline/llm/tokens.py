@@ -1,9 +1,8 @@
 """Batch encoding with public tokenizers: token counts (operator 5) and the encoder of operator 7.
 
 Texts are cut at boundaries that the tokenizer's own pre-tokenizer always has, equal pieces of a batch are
-encoded once by the library, and a bounded cache keeps what a Python worker has met. A piece is known by a
-64-bit hash of its bytes; with the cache bounded at ``CACHE_PIECES`` the chance of a false match stays
-under 1e-3 for 10**10 distinct pieces.
+encoded once by the library, and a bounded cache keeps what a Python worker has met. A piece is looked up by a
+64-bit hash and then compared byte by byte with the piece that the cache holds; one that differs is encoded alone.
 
 Safe boundaries exist for byte-level BPE files without a normalizer (``ByteLevel`` pre-tokenizer): no piece
 of its pattern holds a non-space followed by white space, nor a letter followed by one of ``.,;:!?``, and no
@@ -92,7 +91,10 @@ class Encoder:
         self.lens = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.ids = np.zeros(8192, np.uint32)
-        self.n_rows = self.n_ids = 0
+        self.sizes = np.zeros(1024, np.int64)  # of kept pieces, in bytes
+        self.places = np.zeros(1024, np.int64)  # of kept pieces, in kept
+        self.kept = np.zeros(8192, np.uint8)
+        self.n_rows = self.n_ids = self.n_kept = 0
 
     def _add(self, texts: list[str]) -> int:
         """Encode texts, in batches of bounded bytes; the row of the first."""
@@ -117,6 +119,32 @@ class Encoder:
             i = j
         return first
 
+    def _keep(self, row: int, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the bytes of pieces, whose rows begin at ``row``."""
+        lens = ends - starts
+        begin = np.cumsum(lens) - lens
+        total = int(lens.sum())
+        while row + len(lens) > len(self.sizes):
+            self.sizes, self.places = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.places, 2 * len(self.places))
+        while self.n_kept + total > len(self.kept):
+            self.kept = np.resize(self.kept, 2 * len(self.kept))
+        self.sizes[row : row + len(lens)] = lens
+        self.places[row : row + len(lens)] = self.n_kept + begin
+        self.kept[self.n_kept : self.n_kept + total] = own[np.repeat(starts - begin, lens) + np.arange(total)]
+        self.n_kept += total
+
+    def _others(self, rows: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces that are not the kept ones of their rows."""
+        lens = ends - starts
+        other = self.sizes[rows] != lens
+        begin = np.cumsum(lens) - lens
+        at = np.arange(int(lens.sum()))
+        met = own if len(at) == len(own) else own[np.repeat(starts - begin, lens) + at]
+        at += np.repeat(np.where(other, 0, self.places[rows]) - begin, lens)
+        differ = np.flatnonzero(met != self.kept[np.minimum(at, len(self.kept) - 1)])
+        other[np.searchsorted(begin, differ, "right") - 1] = True
+        return np.flatnonzero(other)
+
     def rows_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of each piece, first piece of each text and one past the last)."""
         if self.n_rows > CACHE_PIECES or self.n_ids > 8 * CACHE_PIECES:
@@ -139,9 +167,13 @@ class Encoder:
             keys, first, inverse = np.unique(bytesplit.hash_pieces(own, starts[rest], ends[rest]), return_index=True, return_inverse=True)
             known = np.fromiter((self.rows.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
             if len(new := np.flatnonzero(known < 0)):
-                known[new] = self._add([text(k) for k in rest[first[new]]]) + np.arange(len(new))
+                pieces = rest[first[new]]
+                known[new] = self._add([text(k) for k in pieces]) + np.arange(len(new))
+                self._keep(int(known[new[0]]), own, starts[pieces], ends[pieces])
                 self.rows.update(zip(keys[new].tolist(), known[new].tolist(), strict=True))
             rows[rest] = known[inverse]
+            if len(others := rest[self._others(rows[rest], own, starts[rest], ends[rest])]):  # an equal hash, other bytes
+                rows[others] = self._add([text(k) for k in others]) + np.arange(len(others))
         return rows, bounds
 
     def _parts(self, data: np.ndarray, a: int, b: int) -> Iterator[np.ndarray]:

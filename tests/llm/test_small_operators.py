@@ -351,6 +351,20 @@ def test_code_lengths_are_exact(monkeypatch):
         assert np.allclose(model.code_lengths(np.frombuffer(b"".join(rows), np.uint8), offsets), expected, rtol=1e-5, atol=1e-5)
 
 
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    weak = bytesplit.hash_pieces
+    monkeypatch.setattr(bytesplit, "hash_pieces", lambda *a: weak(*a) % np.uint64(7))
+    encode, _ = tokens.library(tokenizer_file())
+    texts = [t for t in AWKWARD if t] + ["w" * 5000 + " end", "the cat sat on the mat the tac", ""]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    expected = encode(texts)
+    own = tokens.Encoder(tokenizer_file())
+    for _ in range(2):
+        ids, lens = own.encoded(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        assert lens.tolist() == [len(x) for x in expected] and ids.tolist() == [x for e in expected for x in e]
+
+
 def test_code_lengths_are_exact_with_many_symbols_and_languages():
     letters = ["".join(chr(c) for c in range(lo, lo + 30)) for lo in (0x61, 0xC0, 0x391, 0x410, 0x5D0, 0x905, 0xE01, 0x10D0)]
     rng = np.random.Generator(np.random.PCG64(5))
