@@ -20,6 +20,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from copperline.llm import bytesplit
 
 #: Pieces that a worker keeps, with their ids.
 CACHE_PIECES = 1 << 20
+#: Slots of each of the two tables that find a kept piece by its hash; a piece that loses both its slots is encoded again.
+SLOTS = 1 << 21
 #: Longer pieces are encoded each time that they occur.
 LONG_PIECE = 4096
 #: Bytes of new pieces that go to the library at once.
@@ -87,7 +90,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.slots = np.full((2, SLOTS), -1, np.int32)  # row of a kept piece, by the low or the high bits of its hash
+        self.hashes = np.zeros(1024, np.uint64)  # of kept pieces
         self.lens = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.ids = np.zeros(8192, np.uint32)
@@ -113,25 +117,43 @@ class Encoder:
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             self.lens[self.n_rows : self.n_rows + len(got)] = lens
             self.starts[self.n_rows : self.n_rows + len(got)] = self.n_ids + np.cumsum(lens) - lens
-            self.ids[self.n_ids : self.n_ids + total] = np.fromiter((x for ids in got for x in ids), np.uint32, total)
+            self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
             self.n_rows += len(got)
             self.n_ids += total
             i = j
         return first
 
-    def _keep(self, row: int, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Keep the bytes of pieces, whose rows begin at ``row``."""
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (hashes & np.uint64(SLOTS - 1)).astype(np.int64), (hashes >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash's kept piece, or -1."""
+        low, high = self._slots(hashes)
+        rows = self.slots[0][low]
+        lost = np.flatnonzero((rows < 0) | (self.hashes[rows] != hashes))
+        other = self.slots[1][high[lost]]
+        rows[lost] = np.where((other >= 0) & (self.hashes[other] == hashes[lost]), other, -1)
+        return rows.astype(np.int64)
+
+    def _keep(self, row: int, hashes: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keep pieces of different hashes, whose rows begin at ``row``."""
         lens = ends - starts
         begin = np.cumsum(lens) - lens
         total = int(lens.sum())
         while row + len(lens) > len(self.sizes):
-            self.sizes, self.places = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.places, 2 * len(self.places))
+            self.sizes, self.places, self.hashes = (np.resize(x, 2 * len(x)) for x in (self.sizes, self.places, self.hashes))
         while self.n_kept + total > len(self.kept):
             self.kept = np.resize(self.kept, 2 * len(self.kept))
         self.sizes[row : row + len(lens)] = lens
         self.places[row : row + len(lens)] = self.n_kept + begin
         self.kept[self.n_kept : self.n_kept + total] = own[np.repeat(starts - begin, lens) + np.arange(total)]
         self.n_kept += total
+        self.hashes[row : row + len(lens)] = hashes
+        (low, high), rows = self._slots(hashes), np.arange(row, row + len(lens), dtype=np.int32)
+        free = self.slots[0][low] < 0
+        self.slots[0][low[free]] = rows[free]
+        lost = self.slots[0][low] != rows
+        self.slots[1][high[lost]] = rows[lost]
 
     def _others(self, rows: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The pieces that are not the kept ones of their rows."""
@@ -164,14 +186,15 @@ class Encoder:
         if len(few := np.flatnonzero(long)):
             rows[few] = self._add([text(k) for k in few]) + np.arange(len(few))
         if len(rest := np.flatnonzero(~long)):
-            keys, first, inverse = np.unique(bytesplit.hash_pieces(own, starts[rest], ends[rest]), return_index=True, return_inverse=True)
-            known = np.fromiter((self.rows.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-            if len(new := np.flatnonzero(known < 0)):
-                pieces = rest[first[new]]
-                known[new] = self._add([text(k) for k in pieces]) + np.arange(len(new))
-                self._keep(int(known[new[0]]), own, starts[pieces], ends[pieces])
-                self.rows.update(zip(keys[new].tolist(), known[new].tolist(), strict=True))
-            rows[rest] = known[inverse]
+            hashes = bytesplit.hash_pieces(own, starts[rest], ends[rest])
+            found = self._find(hashes)
+            if len(new := np.flatnonzero(found < 0)):
+                keys, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+                pieces = rest[new[first]]
+                row = self._add([text(k) for k in pieces])
+                self._keep(row, keys, own, starts[pieces], ends[pieces])
+                found[new] = row + inverse
+            rows[rest] = found
             if len(others := rest[self._others(rows[rest], own, starts[rest], ends[rest])]):  # an equal hash, other bytes
                 rows[others] = self._add([text(k) for k in others]) + np.arange(len(others))
         return rows, bounds
