@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op6_decontamination": decontam.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op6_decontamination": decontam.ORACLE}

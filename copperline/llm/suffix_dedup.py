@@ -332,3 +332,19 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     runs = starts.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     out = runs.groupBy("doc_id", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"))
     return out.select("doc_id", "first_word", "last_word", (F.col("last_word") - F.col("first_word")).alias("n_words"))
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50)),
+r AS (SELECT g FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT DISTINCT doc_id, s FROM g JOIN r USING (g)),
+b AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS begins FROM p),
+n AS (SELECT doc_id, s, sum(begins) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM b)
+SELECT doc_id, min(s) AS first_word, max(s) + 50 AS last_word, max(s) + 50 - min(s) AS n_words
+FROM n GROUP BY doc_id, run
+"""
