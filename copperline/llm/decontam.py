@@ -6,13 +6,15 @@ states are the patterns' prefixes, numbered level by level in the order of (pare
 these keys is sorted and a transition is a binary search; each state has its failure link and the nearest state at
 which a pattern ends. Tasks build it from the benchmark and write it to the shared folder; Python workers load it.
 
-A text is scanned once. Its words become numbers of the benchmark's vocabulary; a run of words in which no two
-neighbours stand together in any pattern can't hold one and is passed over, the rest goes through the automaton
-in lanes that step together, each after a lead of window - 1 words. Hits map to words and to byte spans of the
-original text. Words are known by 64-bit hashes; those of a hit are compared byte by byte.
+A text is split and scanned once. Words in which no two neighbours stand together in any pattern can't hold one: a
+table of bits over the neighbours of the whole benchmark passes them over, some two to four bytes for each two
+neighbours. The runs that are left become numbers of the vocabulary and go through the automaton in lanes that step
+together, each after a lead of window - 1 words. Hits map to words and to byte spans of the original text. Words are
+known by 64-bit hashes; those of a hit are compared byte by byte.
 
-A benchmark over ``AUTOMATON_BYTES`` of text is dealt into parts of about that size, an automaton each. Documents
-are still read once and never rewritten: a task holds ``GROUP_BYTES`` of them and passes all parts over these.
+The automaton of a benchmark over ``AUTOMATON_BYTES`` of text lies in several files of about that much text each, so
+that a worker needs to hold one at a time. Documents are still read, split and screened once and never rewritten: a
+task holds ``GROUP_BYTES`` of them, and only the runs that the screen left in these go through the files.
 
 Defined results: null or empty text has no words and no hits. An item without words, text or id is no item.
 Items that share a window are all reported; item rows with one id are one item. Repeated document rows give
@@ -24,6 +26,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,14 +63,93 @@ def _gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     return data[np.repeat(starts - begin, lens) + np.arange(int(lens.sum()))]
 
 
+#: Odd factors of the hash of two neighbours.
+_ONE, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@dataclass
+class Runs:
+    """Words of texts that may be part of a pattern, in order."""
+
+    text: np.ndarray  # the word's text
+    place: np.ndarray  # its number among the text's words
+    low: np.ndarray  # its first byte in the text
+    high: np.ndarray  # the byte past its last
+    hashes: np.ndarray
+    data: np.ndarray  # the lower-cased bytes of all these words, end to end
+    starts: np.ndarray  # where each word begins in them, and where the last ends
+
+
+class Screen:
+    """A table of bits over the neighbours in patterns, and the patterns of one word; both may let other words pass."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """Of the (neighbours, singles, least) of each part of the automaton; ``least`` is the shortest of longer patterns."""
+        total = sum(len(neighbours) for neighbours, _, _ in parts)
+        self.shift = np.uint64(64 - max(10, (16 * total).bit_length()))
+        self.table = np.zeros(1 << (61 - int(self.shift)), np.uint8)
+        for neighbours, _, _ in parts:
+            spot = neighbours >> self.shift
+            np.bitwise_or.at(self.table, spot >> np.uint64(3), np.left_shift(1, spot & np.uint64(7)).astype(np.uint8))
+        self.singles = np.unique(np.concatenate([singles for _, singles, _ in parts])) if parts else np.zeros(0, np.uint64)
+        self.least = min((int(least[0]) for _, _, least in parts if least[0]), default=0)
+
+    @staticmethod
+    def neighbours(hashes: np.ndarray) -> np.ndarray:
+        """The hash of each word and the next."""
+        return hashes[:-1] * _ONE + hashes[1:] * _NEXT
+
+    def passed(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The words, of texts with these bounds, that stand in runs of neighbours long enough for a pattern, or are one."""
+        n = len(hashes)
+        keep = np.zeros(n, bool)
+        if self.least:
+            both = np.zeros(n + 1, bool)  # word k and the next
+            for a in range(0, n - 1, bytesplit.SPAN_BYTES):
+                spot = self.neighbours(hashes[a : a + bytesplit.SPAN_BYTES + 1]) >> self.shift
+                both[a : a + len(spot)] = self.table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1
+            begun = bounds[1:-1]
+            both[begun[(begun > 0) & (begun < n)] - 1] = False
+            edges = np.flatnonzero(both[1:] != both[:-1]) + 1
+            edges = np.concatenate([[0], edges]) if both[0] else edges
+            low, high = edges[::2], edges[1::2]
+            long = high - low >= self.least - 1
+            change = np.zeros(n + 1, np.int8)
+            change[low[long]] += 1
+            change[high[long] + 1] -= 1
+            keep = np.cumsum(change[:n], dtype=np.int8) > 0
+        if len(self.singles):
+            keep |= _find(self.singles, hashes) >= 0
+        return np.flatnonzero(keep)
+
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Runs | None]:
+        """(number of words of each text, the words that pass)."""
+        starts, ends, bounds = bytesplit.words(data, offsets, _BETWEEN)
+        n_words, base = np.diff(bounds), int(offsets[0])
+        if not len(starts) or not (self.least or len(self.singles)):
+            return n_words, None
+        folded = bytesplit.LOWER[data[base : int(offsets[-1])]]
+        hashes = bytesplit.hash_pieces(folded, starts - base, ends - base)
+        at = self.passed(hashes, bounds)
+        if not len(at):
+            return n_words, None
+        text = np.searchsorted(bounds, at, "right") - 1
+        lens = ends[at] - starts[at]
+        own = offsets[text]
+        held = _gathered(folded, starts[at] - base, lens)
+        return n_words, Runs(text, at - bounds[text], starts[at] - own, ends[at] - own, hashes[at], held, np.concatenate([[0], np.cumsum(lens)]))
+
+
 class Automaton:
     """Patterns over words; state 0 is the root, state k + 1 has the key keys[k] = parent * words + word."""
 
     #: Arrays of the automaton: vocabulary (hashes, ascending) with the words' bytes, keys, links, patterns' owners.
-    FIELDS = ("vocabulary", "word_bytes", "word_starts", "keys", "fail", "ends", "depth", "owner_starts", "owners", "items", "pairs", "least")
+    FIELDS = ("vocabulary", "word_bytes", "word_starts", "keys", "fail", "ends", "depth", "owner_starts", "owners", "items")
+    #: What the screen of all words is made of.
+    SCREEN = ("neighbours", "singles", "least")
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        for name in self.FIELDS:
+        for name in self.FIELDS + self.SCREEN:
             setattr(self, name, arrays[name])
         self.n_words = max(1, len(self.vocabulary))
 
@@ -79,7 +161,8 @@ class Automaton:
         data = bytesplit.LOWER[np.frombuffer(b"".join(raw), np.uint8)]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw], dtype=np.int64)])
         starts, ends, bounds = bytesplit.words(data, offsets, _BETWEEN)
-        vocabulary, at, word = np.unique(bytesplit.hash_pieces(data, starts, ends), return_index=True, return_inverse=True)
+        hashes = bytesplit.hash_pieces(data, starts, ends)
+        vocabulary, at, word = np.unique(hashes, return_index=True, return_inverse=True)
         lens = (ends - starts)[at]
         n_words = np.diff(bounds)
         counts = np.where(n_words > 0, np.maximum(n_words - window, 0) + 1, 0)  # windows of each item row
@@ -114,22 +197,23 @@ class Automaton:
         # Neighbours in patterns: words of items that follow one another.
         follow = np.ones(max(len(word) - 1, 0), bool)
         follow[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(word))] - 1] = False
+        longer = size[size > 1]
         return cls({
             "vocabulary": vocabulary, "word_bytes": _gathered(data, starts[at], lens), "word_starts": np.concatenate([[0], np.cumsum(lens)]),
             "keys": keys, "fail": np.concatenate(fail).astype(np.int32), "ends": np.concatenate(ends_at).astype(np.int32), "depth": np.concatenate(depth),
             "owner_starts": np.searchsorted(owned[:, 0], np.arange(total + 1)).astype(np.int32), "owners": owned[:, 1].astype(np.int32), "items": names,
-            "pairs": np.unique(word[:-1][follow] * v + word[1:][follow]), "least": np.array([size.min() if len(size) else 0]),
+            "neighbours": np.unique(Screen.neighbours(hashes)[follow]), "singles": np.unique(hashes[begin[size == 1]]), "least": np.array([longer.min() if len(longer) else 0]),
         })
 
-    def packed(self) -> bytes:
+    def packed(self, names: tuple[str, ...] = FIELDS + SCREEN) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{name: getattr(self, name) for name in self.FIELDS})
+        np.savez(out, **{name: getattr(self, name) for name in names})
         return out.getvalue()
 
     @classmethod
     def unpacked(cls, data: bytes) -> Automaton:
         with np.load(io.BytesIO(data)) as arrays:
-            return cls({name: arrays[name] for name in cls.FIELDS})
+            return cls({name: arrays[name] for name in cls.FIELDS + cls.SCREEN})
 
     def _stepped(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The state of each lane after its word; -1 is a word of no pattern."""
@@ -159,53 +243,38 @@ class Automaton:
         return (np.concatenate(places), np.concatenate(states)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words of each text; occurrences: text, first word, last word, first byte, byte past the last; (text, item) pairs)."""
-        starts, ends, bounds = bytesplit.words(data, offsets, _BETWEEN)
-        n_words = np.diff(bounds)
+        """(words of each text, and what ``hits`` gives) of texts that no other part of the automaton sees."""
+        n_words, runs = Screen([(self.neighbours, self.singles, self.least)]).runs(data, offsets)
+        return n_words, *(self.hits(runs) if runs else (np.zeros((0, 5), np.int64), np.zeros((0, 2), np.int64)))
+
+    def hits(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences: text, first word, last word, first byte, byte past the last; (text, item) pairs)."""
         none = np.zeros((0, 5), np.int64), np.zeros((0, 2), np.int64)
-        if not len(self.keys) or not len(starts):
-            return n_words, *none
-        base = int(offsets[0])
-        folded = bytesplit.LOWER[data[base : int(offsets[-1])]]
-        word = _find(self.vocabulary, bytesplit.hash_pieces(folded, starts - base, ends - base))
-        keep = word >= 0
-        if (least := int(self.least[0])) > 1:  # words of runs of neighbours that are long enough for a pattern
-            both = keep[:-1] & keep[1:]
-            begun = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(word))]
-            both[begun - 1] = False
-            at = np.flatnonzero(both)
-            both[at] = _find(self.pairs, word[at] * self.n_words + word[at + 1]) >= 0
-            edge = np.diff(np.concatenate([[0], both.astype(np.int8), [0]]))
-            low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            fits = high - low >= least - 1
-            keep = np.cumsum(np.bincount(low[fits], minlength=len(word) + 1)[: len(word)] - np.concatenate([[0], np.bincount(high[fits], minlength=len(word))[: len(word) - 1]])) > 0
-        at = np.flatnonzero(keep)
-        if not len(at):
-            return n_words, *none
-        # The kept words as one stream, with a break wherever words are missing or a text begins.
-        text = np.searchsorted(bounds, at, "right") - 1
-        gap = np.concatenate([[False], (np.diff(at) > 1) | (np.diff(text) != 0)])
-        spot = np.arange(len(at)) + np.cumsum(gap)
+        if not len(self.keys):
+            return none
+        word = _find(self.vocabulary, runs.hashes)
+        # The words as one stream, with a break wherever words are missing or a text begins.
+        gap = np.concatenate([[False], (np.diff(runs.place) != 1) | (np.diff(runs.text) != 0)])
+        spot = np.arange(len(word)) + np.cumsum(gap)
         stream = np.full(int(spot[-1]) + 1, -1, np.int64)
-        stream[spot] = word[at]
+        stream[spot] = word
         place, state = self._run(stream)
-        last = at[np.searchsorted(spot, place)]
+        last = np.searchsorted(spot, place)
         found = []
         while len(state):  # the patterns that end there, the longest first
             found.append((last, state))
             further = self.ends[self.fail[state]].astype(np.int64)
             last, state = last[further > 0], further[further > 0]
         if not found:
-            return n_words, *none
+            return none
         last, state = (np.concatenate(x) for x in zip(*found, strict=True))
         first = last - self.depth[state] + 1
-        last, state, first = (x[self._same(folded, starts - base, ends - base, word, first, last)] for x in (last, state, first))
-        text = np.searchsorted(bounds, first, "right") - 1
+        last, state, first = (x[self._same(runs.data, runs.starts[:-1], runs.starts[1:], word, first, last)] for x in (last, state, first))
+        text = runs.text[first]
         n_owners = self.owner_starts[state + 1] - self.owner_starts[state]
         met = np.stack([np.repeat(text, n_owners), _gathered(self.owners, self.owner_starts[state], n_owners)], 1)
-        own = offsets[text]
-        hits = np.stack([text, first - bounds[text], last - bounds[text], starts[first] - own, ends[last] - own], 1)
-        return n_words, hits[np.argsort(text, kind="stable")], np.unique(met, axis=0)
+        out = np.stack([text, runs.place[first], runs.place[last], runs.low[first], runs.high[last]], 1)
+        return out[np.argsort(text, kind="stable")], np.unique(met, axis=0)
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Whether all words of each occurrence are the pattern's, byte by byte."""
@@ -238,22 +307,41 @@ def merged(found: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 
 _LOADED: dict[str, Automaton] = {}
+_SCREENS: dict[tuple[str, ...], Screen] = {}
+#: The ending of the file beside a part's that holds what the screen needs of it.
+_BESIDE = "-screen"
+
+
+def _file(path: str) -> bytes:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        return f.read()
 
 
 def _automaton(path: str) -> Automaton:
     """The automaton of a file; a worker keeps the last."""
     if path not in _LOADED:
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_file(name) as f:
-            _LOADED.clear()
-            _LOADED[path] = Automaton.unpacked(f.read())
+        _LOADED.clear()
+        _LOADED[path] = Automaton.unpacked(_file(path))
     return _LOADED[path]
 
 
+def _screen(paths: list[str]) -> Screen:
+    """The screen of all parts; a worker keeps the last."""
+    if tuple(paths) not in _SCREENS:
+        _SCREENS.clear()
+        parts = []
+        for path in paths:
+            with np.load(io.BytesIO(_file(path + _BESIDE))) as arrays:
+                parts.append(tuple(arrays[name] for name in Automaton.SCREEN))
+        _SCREENS[tuple(paths)] = Screen(parts)
+    return _SCREENS[tuple(paths)]
+
+
 def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, automaton_bytes: int) -> list[str]:
-    """Build the automata of a benchmark in tasks; the paths of their files, one for each ``automaton_bytes`` of text."""
+    """Build the automaton of a benchmark in tasks; the paths of its files, one for each ``automaton_bytes`` of text."""
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("words")).where("item IS NOT NULL AND words IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
@@ -270,8 +358,10 @@ def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, au
         system.create_dir(base, recursive=True)
         for part in sorted(held):
             name = f"{part:05d}-{uuid.uuid4().hex}"
-            with system.open_output_stream(f"{base}/{name}") as f:
-                f.write(Automaton.of(held.pop(part), window).packed())
+            machine = Automaton.of(held.pop(part), window)
+            for ending, fields in (("", Automaton.FIELDS + Automaton.SCREEN), (_BESIDE, Automaton.SCREEN)):
+                with system.open_output_stream(f"{base}/{name}{ending}") as f:
+                    f.write(machine.packed(fields))
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
 
     dealt = tests.select(F.pmod(F.xxhash64("item", "words"), F.lit(parts)).cast("int").alias("part"), "item", "words").repartition(parts, "part")
@@ -302,20 +392,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     names = made.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = _screen(paths)
         for group in _grouped(batches, GROUP_BYTES if len(paths) > 1 else 0):
             n_words = [np.zeros(b.num_rows, np.int64) for b in group]
             found: list[dict[int, list[np.ndarray]]] = [{} for _ in group]
             items: list[dict[int, set[str]]] = [{} for _ in group]
-            for path in paths or [None]:
-                machine = _automaton(path) if path else Automaton.of([], window)
-                for g, batch in enumerate(group):
-                    data, offsets = bytesplit.text_buffer(batch.column(1))
-                    for i, j in bytesplit.spans(offsets, 8 * bytesplit.SPAN_BYTES):
-                        n_words[g][i:j], hits, met = machine.scan(data, offsets[i : j + 1])
-                        for own in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else ():
-                            found[g].setdefault(i + int(own[0, 0]), []).append(own[:, 1:])
-                        for d, item in met.tolist():
-                            items[g].setdefault(i + d, set()).add(str(machine.items[item]))
+            left: list[tuple[int, int, Runs]] = []
+            for g, batch in enumerate(group):
+                data, offsets = bytesplit.text_buffer(batch.column(1))
+                for i, j in bytesplit.spans(offsets, 8 * bytesplit.SPAN_BYTES):
+                    n_words[g][i:j], runs = screen.runs(data, offsets[i : j + 1])
+                    if runs:
+                        left.append((g, i, runs))
+            for path in paths if left else ():
+                machine = _automaton(path)
+                for g, i, runs in left:
+                    hits, met = machine.hits(runs)
+                    for own in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else ():
+                        found[g].setdefault(i + int(own[0, 0]), []).append(own[:, 1:])
+                    for d, item in met.tolist():
+                        items[g].setdefault(i + d, set()).add(str(machine.items[item]))
             for g, batch in enumerate(group):
                 spans = [merged(np.concatenate(found[g][d])) if d in found[g] else () for d in range(batch.num_rows)]
                 out = [

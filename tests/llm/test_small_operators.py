@@ -145,6 +145,16 @@ def test_decontamination(spark, size):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == expected[r.doc_id]
 
 
+@pytest.mark.parametrize("size", [1 << 20, 60])
+def test_items_of_one_and_two_words(spark, size):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 60)}"
+    items = [(1, "w7"), (2, "W7 w8"), (3, "w8"), (4, "é"), (5, " ".join(word() for _ in range(30)))]
+    rows = [(k, " ".join(word() for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(60, "w7"), (61, "É é"), (62, "w7, w8"), (63, "w9 " + items[4][1]), (64, "w7w8")]
+    got = decontam.decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), automaton_bytes=size).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute_contamination(rows, items)
+
+
 def test_hit_bytes_point_into_the_original(spark):
     text = "É —  The QUICK,\n\nbrown fox! é"
     docs, tests = docs_of(spark, [(1, text)]), spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")
