@@ -47,6 +47,24 @@ def altium_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.groupBy("design_id", "sheet", "name").agg(F.count("*").alias("n"), F.sum(F.col("is_root").cast("long")).alias("n_roots"), F.max(F.size("path")).cast("long").alias("depth"), F.sum("valid").alias("n_valid"))
 
 
+def flawed(rows: DataFrame) -> DataFrame:
+    """Records with a flaw of each kind that ``record_faults`` finds, put in by what they say."""
+    kind, props = F.col("kind"), F.col("props")
+    without = lambda name: F.map_filter("props", lambda k, v: k != name)
+    text = props["Text"]
+    made = F.when((kind == altium.DESIGNATOR) & text.startswith("J"), without("Text")).when((kind == altium.DESIGNATOR) & text.startswith("U"), F.map_concat("props", F.create_map(F.lit("Name"), F.lit("Comment"))))
+    made = made.when((kind == altium.PARAMETER) & (props["Name"] == "Kind"), without("Name")).when((kind == altium.NET_LABEL) & (text == "+3V3"), without("Text")).when(kind == altium.POWER_PORT, without("Text"))
+    return rows.withColumn("props", made.otherwise(props))
+
+
+def altium_record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks the rules of their types in records with flaws of every kind; the drawn records themselves have none."""
+    rows = altium.records(drawn.altium_sheets(spark, sf_dir))
+    names = F.create_map(*[F.lit(x) for kind in altium.RECORD_NAMES.items() for x in kind])
+    found = altium.record_faults(rows.unionByName(flawed(rows)))
+    return found.groupBy("design_id", "sheet", names[F.col("kind")].alias("name"), "fault").agg(F.count("*").alias("n"))
+
+
 def altium_parts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the drawn sheets, found by a field's value, with the record that designates them."""
     rows = xnet.cut(altium.records(drawn.altium_sheets(spark, sf_dir)))
@@ -117,8 +135,8 @@ def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_parts_list, discover_cadence,
-        best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_component,
+        altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_record_faults, altium_parts_list,
+        discover_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_component,
     )
     return {f.__name__: f for f in every}
 
@@ -163,6 +181,12 @@ rec AS (
 SELECT design_id, sheet, name, count(*) AS n, CASE WHEN name IN ('Pin', 'Designator', 'Parameter') THEN 0 ELSE count(*) END AS n_roots,
        CASE WHEN name IN ('Pin', 'Designator', 'Parameter') THEN 2 ELSE 1 END AS depth, count(*) AS n_valid
 FROM rec WHERE name IS NOT NULL GROUP BY design_id, sheet, name""",
+        "altium_record_faults": f"""{base},
+f AS (
+  SELECT design_id, sheet, 'Parameter' AS name, 'Name is missing' AS fault FROM dp
+  UNION ALL SELECT design_id, sheet, 'Designator', CASE WHEN starts_with(refdes, 'J') THEN 'Text is missing' ELSE 'Name is not Designator' END FROM dp WHERE starts_with(refdes, 'J') OR starts_with(refdes, 'U')
+  UNION ALL SELECT design_id, sheet, CASE WHEN net = 'GND' THEN 'Power Port' ELSE 'Net Label' END, 'Text is missing' FROM dn WHERE net IN ('GND', '+3V3'))
+SELECT design_id, sheet, name, fault, count(*) AS n FROM f GROUP BY ALL""",
         "altium_parts_list": f"{base} SELECT design_id, sheet, refdes, description FROM dp",
     }
 

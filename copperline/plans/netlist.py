@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from copperline.functions import exprs
 
@@ -51,6 +52,22 @@ class Netlist:
             tables.append(df.select(*[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in ddl.split(", ")]))
         return Netlist(*tables)
 
+    def column_faults(self) -> list[str]:
+        """Columns of the contract that a table lacks or has in another type."""
+        out = []
+        for name, df, ddl in (("components", self.components, COMPONENTS), ("component_pins", self.component_pins, COMPONENT_PINS), ("net_pins", self.net_pins, NET_PINS), ("nets", self.nets, NETS)):
+            own = {f.name: f.dataType for f in df.schema}
+            for field in StructType.fromDDL(ddl):
+                if field.name not in own:
+                    out.append(f"{name}.{field.name} is missing")
+                elif own[field.name] != field.dataType:
+                    out.append(f"{name}.{field.name} is {own[field.name].simpleString()} and not {field.dataType.simpleString()}")
+        return out
+
+    def validated(self) -> Netlist | None:
+        """The contract's columns of a netlist that keeps the whole contract, else None."""
+        return None if self.column_faults() or not self.problems().isEmpty() else self.checked()
+
     def problems(self) -> DataFrame:
         """(of_table, design_id, name, problem) of rows that break the contract: missing or repeated keys, pins without a net row."""
         found = []

@@ -137,11 +137,25 @@ def record_view(rows: DataFrame, view: str = "all-hierarchy") -> DataFrame:
     return views.get(view, lambda: hierarchy(rows))()
 
 
+#: The field that records of a type must have, be it empty; other types need only their type.
+REQUIRED = {DESIGNATOR: "Text", PARAMETER: "Name", POWER_PORT: "Text", NET_LABEL: "Text"}
+
+
+def _faults() -> list[Column]:
+    """What a record lacks by its type's rules, null where it is fine."""
+    kind, props = F.col("kind"), F.col("props")
+    missing = [F.when((kind == k) & props[f].isNull(), F.lit(f"{f} is missing")) for k, f in REQUIRED.items()]
+    return [*missing, F.when((kind == DESIGNATOR) & (props["Name"] != "Designator"), F.lit("Name is not Designator"))]
+
+
 def valid_records(rows: DataFrame, kind: str) -> Column:
-    """Whether a record has what its type must have: pins and components their type, named types their text or name."""
-    must = {DESIGNATOR: "Text", PARAMETER: "Name", POWER_PORT: "Text", NET_LABEL: "Text"}
-    fine = F.col("kind") == kind
-    return fine & F.col("props")[must[kind]].isNotNull() if kind in must else fine
+    """Whether a record is of that type and has what the type must have."""
+    return (F.col("kind") == kind) & F.coalesce(*_faults()).isNull()
+
+
+def record_faults(rows: DataFrame) -> DataFrame:
+    """(sheet key, idx, kind, fault): a row for each rule of its type that a record breaks."""
+    return rows.select(*SHEET, "idx", "kind", F.explode(F.array_compact(F.array(*_faults()))).alias("fault"))
 
 
 # --- parts ------------------------------------------------------------------------------------------------------
