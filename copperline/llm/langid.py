@@ -186,16 +186,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on at most ``sample_docs`` different documents a language, of those that are not held out; None without any.
 
     The sample takes the smallest hashes of ids, so it is the same each time; of a long document it takes the first
-    SAMPLE_CHARS characters. Only narrow rows (language, id, hash of the text) are sorted; the texts of the chosen
-    rows are then read, one of equal ones.
+    SAMPLE_CHARS characters. Only narrow rows (language, id, hash of the text) are sorted, those of a language first by
+    the partition that they are read in, so that no task takes all of a language: its first rows are among the first of
+    their partitions. The texts of the chosen rows are then read, one of equal ones.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     start = F.substring("text", 1, SAMPLE_CHARS)
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & start.rlike(r"\p{L}"))
     keys = ["lang", "doc_id", "hash"]
-    narrow = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"))
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
-    chosen = narrow.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select(*keys).distinct()
+    chosen = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
+    for group in (["lang", "part"], ["lang"]):
+        rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select(*keys, "part").distinct()
+    chosen = chosen.select(*keys).distinct()
     parts = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), start.alias("text"))
     taken = parts.join(chosen.hint("broadcast"), keys, "left_semi").groupBy(*keys).agg(F.min("text").alias("text"))  # sample_docs rows a language
     samples: dict[str, list[bytes]] = {}
