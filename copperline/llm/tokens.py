@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from copperline.llm import bytesplit
 
-#: Pieces that a worker keeps, with their ids.
-CACHE_PIECES = 1 << 20
+#: Pieces that a worker keeps, with their ids; with those of one more span they stay under 2**20, where arrays would double.
+CACHE_PIECES = 900_000
+#: Bytes of kept pieces.
+CACHE_BYTES = 1 << 26
 #: Slots of each of the two tables that find a kept piece by its hash; a piece that loses both its slots is encoded again.
 SLOTS = 1 << 21
 #: Longer pieces are encoded each time that they occur.
 LONG_PIECE = 4096
 #: Bytes of new pieces that go to the library at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 16
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
@@ -92,11 +94,11 @@ class Encoder:
     def clear(self) -> None:
         self.slots = np.full((2, SLOTS), -1, np.int32)  # row of a kept piece, by the low or the high bits of its hash
         self.hashes = np.zeros(1024, np.uint64)  # of kept pieces
-        self.lens = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
+        self.lens = np.zeros(1024, np.int32)
+        self.starts = np.zeros(1024, np.int32)
         self.ids = np.zeros(8192, np.uint32)
-        self.sizes = np.zeros(1024, np.int64)  # of kept pieces, in bytes
-        self.places = np.zeros(1024, np.int64)  # of kept pieces, in kept
+        self.sizes = np.zeros(1024, np.int32)  # of kept pieces, in bytes
+        self.places = np.zeros(1024, np.int32)  # of kept pieces, in kept
         self.kept = np.zeros(8192, np.uint8)
         self.n_rows = self.n_ids = self.n_kept = 0
 
@@ -169,7 +171,7 @@ class Encoder:
 
     def rows_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of each piece, first piece of each text and one past the last)."""
-        if self.n_rows > CACHE_PIECES or self.n_ids > 8 * CACHE_PIECES:
+        if self.n_rows > CACHE_PIECES or self.n_ids > 8 * CACHE_PIECES or self.n_kept > CACHE_BYTES:
             self.clear()
         base = int(offsets[0])
         own = data[base : int(offsets[-1])]
