@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, ngram_join, suffix_dedup, tokens, warc
+from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, ngram_join, runs, suffix_dedup, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"), rewrite=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_mixing": op10_mixing,
+        "op12_runs": op12_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op6_decontamination": decontam.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op6_decontamination": decontam.ORACLE, "op12_runs": runs.ORACLE}
