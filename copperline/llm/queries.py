@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, ngram_join, runs, suffix_dedup, tokens, warc
+from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, negatives, ngram_join, runs, suffix_dedup, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -61,6 +62,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(read_table(spark, sf_dir, "documents"), rewrite=True)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table.withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -74,8 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_mixing": op10_mixing,
         "op12_runs": op12_runs,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op6_decontamination": decontam.ORACLE, "op12_runs": runs.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_warc": warc.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op6_decontamination": decontam.ORACLE, "op12_runs": runs.ORACLE, "op13_hard_negatives": negatives.ORACLE}
