@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copperline.llm import ann, chat, decontam, idfiles, langid, mixing, negatives, ngram_join, runs, suffix_dedup, tokens, warc
+from copperline.llm import ann, bilinear, chat, decontam, idfiles, langid, mixing, negatives, ngram_join, runs, suffix_dedup, tokens, warc
 from copperline.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score_texts(read_table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2")
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(read_table(spark, sf_dir, "documents"), rewrite=True)
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_mixing": op10_mixing,
+        "op11_lm_scoring": op11_lm_scoring,
         "op12_runs": op12_runs,
         "op13_hard_negatives": op13_hard_negatives,
     }
