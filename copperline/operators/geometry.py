@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Side of a grid cell, in units of a ten-thousandth.
+from copperline.operators.contraction import star_labels
+
+#: Side of a cell of the finest grid, in units of a ten-thousandth; each level's cells are twice as wide as the last's.
 CELL = 10_000
 
 
@@ -22,15 +24,35 @@ def segments(devices: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "idx", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
-def _cells(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / CELL).cast("long"), F.floor(high / CELL).cast("long"))
+def _level(extent: Column) -> Column:
+    """The grid whose cells are as wide as a box at least, so that it covers two of them a side and four in all at most."""
+    return F.greatest(F.ceil(F.log2(extent / CELL)), F.lit(0)).cast("int")
+
+
+def _cell(place: Column) -> Column:
+    return F.floor(place / (F.pow(F.lit(2.0), F.col("level")) * CELL)).cast("long")
+
+
+def boxes_by_cell(seg: DataFrame, key: list[str]) -> DataFrame:
+    """(key, box, lx, hx, ly, hy, level, cx, cy): bounding boxes of segments, at most four rows each."""
+    rows = seg.select(*key, F.col("idx").alias("box"), F.least("x1", "x2").alias("lx"), F.greatest("x1", "x2").alias("hx"), F.least("y1", "y2").alias("ly"), F.greatest("y1", "y2").alias("hy"))
+    rows = rows.withColumn("level", _level(F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"))))
+    for side, low, high in (("cx", "lx", "hx"), ("cy", "ly", "hy")):
+        rows = rows.withColumn(side, F.explode(F.sequence(_cell(F.col(low)), _cell(F.col(high)))))
+    return rows
+
+
+def ends_by_cell(ends: DataFrame, levels: list[int]) -> DataFrame:
+    """Ends with their cell on each of the levels."""
+    rows = ends.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
+    return rows.withColumns({"cx": _cell(F.col("x")), "cy": _cell(F.col("y"))})
 
 
 def touching(devices: DataFrame, key: list[str]) -> DataFrame:
     """(key, a, b), a < b: pairs of devices that touch.
 
-    Boxes are dealt to the grid cells they cover and segment ends to their one cell, so the join is on equal
-    cells; each end and box meet in one cell only.
+    Boxes are dealt to the cells they cover on the grid of their own size, and segment ends to their one cell on each
+    grid that some box uses, so the join is on equal cells; each end and box meet in one cell only.
     """
     seg = segments(devices, key)
     ends = seg.select(*key, F.col("idx").alias("tip"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
@@ -39,11 +61,10 @@ def touching(devices: DataFrame, key: list[str]) -> DataFrame:
 
 def _held(ends: DataFrame, seg: DataFrame, key: list[str]) -> DataFrame:
     """(key, a, b) of ends (key, tip, x, y) that lie in the bounding box of a segment of another device."""
-    low_x, high_x, low_y, high_y = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
-    boxes = seg.select(*key, F.col("idx").alias("box"), low_x.alias("lx"), high_x.alias("hx"), low_y.alias("ly"), high_y.alias("hy"))
-    boxes = boxes.withColumn("cx", F.explode(_cells(F.col("lx"), F.col("hx")))).withColumn("cy", F.explode(_cells(F.col("ly"), F.col("hy"))))
-    ends = ends.withColumns({"cx": F.floor(F.col("x") / CELL).cast("long"), "cy": F.floor(F.col("y") / CELL).cast("long")})
-    met = ends.join(boxes, [*key, "cx", "cy"]).where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy")) & (F.col("tip") != F.col("box")))
+    boxes = boxes_by_cell(seg, key)
+    levels = sorted(r.level for r in boxes.select("level").where("level IS NOT NULL").distinct().collect())  # a few dozen
+    ends = ends_by_cell(ends, levels) if levels else ends.withColumns({c: F.lit(None).cast(t) for c, t in (("level", "int"), ("cx", "long"), ("cy", "long"))})
+    met = ends.join(boxes, [*key, "level", "cx", "cy"]).where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy")) & (F.col("tip") != F.col("box")))
     return met.select(*key, F.least("tip", "box").alias("a"), F.greatest("tip", "box").alias("b"))
 
 
@@ -70,21 +91,8 @@ def same_text(devices: DataFrame, key: list[str]) -> DataFrame:
     return named.join(first, [*key, "label"]).where("a <> idx").select(*key, "a", F.col("idx").alias("b"))
 
 
-def neighbours(devices: DataFrame, key: list[str]) -> DataFrame:
-    """(key, idx, other): both directions of links, by place or by name, that connect what is connected."""
-    edges = linked(devices, key).unionByName(same_text(devices, key))
-    return edges.select(*key, F.col("a").alias("idx"), F.col("b").alias("other")).union(edges.select(*key, "b", "a")).distinct()
-
-
 def connected_groups(devices: DataFrame, key: list[str], cut) -> DataFrame:
     """(key, idx, group): the smallest idx that each device is connected with, through any number of others."""
-    edges = cut(neighbours(devices, key))
-    labels = cut(devices.select(*key, "idx", F.col("idx").alias("group")))
-    while True:
-        near = edges.join(labels.select(*key, F.col("idx").alias("other"), F.col("group").alias("g")), [*key, "other"]).groupBy(*key, "idx").agg(F.min("g").alias("near"))
-        step = labels.join(near, [*key, "idx"], "left").select(*key, "idx", F.col("group").alias("was"), F.least("group", F.coalesce("near", "group")).alias("group"))
-        jump = step.select(*key, F.col("idx").alias("group"), F.col("group").alias("further"))
-        step = cut(step.join(jump, [*key, "group"], "left").select(*key, "idx", "was", F.least("group", F.coalesce("further", "group")).alias("group")))
-        labels = step.select(*key, "idx", "group")
-        if step.where("was <> group").isEmpty():
-            return labels
+    edges = linked(devices, key).unionByName(same_text(devices, key))
+    labels = star_labels(edges, key, cut).withColumnRenamed("node", "idx")
+    return devices.select(*key, "idx").join(labels, [*key, "idx"], "left").select(*key, "idx", F.coalesce("label", "idx").alias("group"))

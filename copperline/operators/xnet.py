@@ -5,7 +5,7 @@ shows the pins on it; a passive part on it also shows its other pins, and their
 skipped (do-not-stuff unless wanted, then by prefix) show nothing and forward nothing.
 
 Two plans give this. ``reach`` moves a frontier hop by hop, for any set of starts. ``closures`` labels the
-connected components of the passive graph once; the extended net of a start that is no stop net is its label.
+connected components of the passive graph once, by star contraction; the extended net of a start that is no stop net is its label.
 Both go through the bipartite net - part graph, so a part with many pins costs its pins and not their square.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from copperline.functions import exprs
 from copperline.operators.components import described_net_pins
+from copperline.operators.contraction import star_labels
 from copperline.plans.netlist import Netlist, with_dns
 
 MAX_HOPS = 100_000
@@ -110,19 +111,12 @@ def closures(netlist: Netlist, skip_types: list[str] = (), include_dns: bool = F
     """(design_id, net, label): nets that are no stop nets, labelled by the least net name of their extended net."""
     nets = netlist.nets.where(~exprs.is_stop(F.col("net"))).select("design_id", "net")
     steps = passive_pins(netlist, skip_types, include_dns).select("design_id", "refdes", "net").distinct().join(nets, ["design_id", "net"], "left_semi")
-    links = cut(steps)
-    labels = cut(nets.withColumn("label", F.col("net")))
-    for _ in range(MAX_HOPS):
-        # The least label among the nets of a part goes to all of them; then labels jump to the label of their label.
-        by_part = links.join(labels, ["design_id", "net"]).groupBy("design_id", "refdes").agg(F.min("label").alias("label"))
-        near = links.join(by_part, ["design_id", "refdes"]).groupBy("design_id", "net").agg(F.min("label").alias("near"))
-        step = labels.join(near, ["design_id", "net"], "left").select("design_id", "net", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = step.select("design_id", F.col("net").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, ["design_id", "label"], "left").select("design_id", "net", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = step.select("design_id", "net", "label")
-        if step.where("was <> label").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+    # Nodes are nets and parts; nets come first, so that the least node of a component is a net.
+    links = steps.select("design_id", F.concat(F.lit("part "), "refdes").alias("a"), F.concat(F.lit("net "), "net").alias("b"))
+    labels = star_labels(links, ["design_id"], cut)
+    name = lambda c: F.substring(c, len("net ") + 1, 1 << 30)
+    found = labels.where(F.startswith("node", F.lit("net "))).select("design_id", name("node").alias("net"), name("label").alias("label"))
+    return nets.join(found, ["design_id", "net"], "left").select("design_id", "net", F.coalesce("label", "net").alias("label"))
 
 
 def closure_visits(labels: DataFrame) -> DataFrame:
