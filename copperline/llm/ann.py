@@ -80,8 +80,9 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """The projections: of lifted vectors to cells, one grid per ordering."""
 
-    def __init__(self, sample: np.ndarray, norm: float, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, seed: int = SEED):
-        self.norm, self.bits = norm, bits
+    def __init__(self, sample: np.ndarray, norm: float, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, seed: int = SEED, scale: float = 1.0):
+        """``scale``, a power of two, comes before everything else; ``norm`` is the largest of scaled vectors."""
+        self.norm, self.bits, self.scale = norm, bits, scale
         lifted = self.lift(sample)
         self.mean = lifted.mean(0)
         _, spread, axes = np.linalg.svd(lifted - self.mean, full_matrices=False)
@@ -98,9 +99,11 @@ class Curves:
             self.steps.append(step)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.scale
         return np.concatenate([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))[:, None]], 1)
 
     def lift_queries(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.scale
         size = np.sqrt((x * x).sum(1))[:, None]
         return np.concatenate([x * (self.norm / np.maximum(size, 1e-300)), np.zeros((len(x), 1))], 1)
 
@@ -119,14 +122,19 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of the k best of each query, its own row left out; equal scores in the order of ids."""
-    rough = queries @ vectors.T
     n = len(ids)
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries @ vectors.T
+        # However it is summed, a product of these norms is off by less than this; beyond doubles nothing is left out.
+        off = 4 * np.finfo(float).eps * vectors.shape[1] * np.abs(queries).max(1) * vectors.shape[1] * np.abs(vectors).max(initial=0)
     least = np.partition(rough, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else np.full(len(queries), -np.inf)  # k + 1: its own row may be among them
-    keep = rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None]
+    bound = np.where(np.isfinite(least) & np.isfinite(off), least - off, -np.inf)
+    keep = ~(rough < bound[:, None])
     for q, row in zip(range(len(queries)), keep, strict=True):
         at = np.flatnonzero(row)
         at = at[ids[at] != query_ids[q]]
-        scores = (vectors[at] * queries[q]).sum(1)  # one order of summation, so that equal vectors score alike
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (vectors[at] * queries[q]).sum(1)  # one order of summation, so that equal vectors score alike
         best = np.lexsort((ids[at], -scores))[:k]
         yield ids[at][best], scores[best]
 
@@ -333,21 +341,23 @@ def indexed(rows: DataFrame, k: int, every: int, block: int, recall: float, orde
         return None, None, 0
     width = len(sample[0].vec)
     vectors = np.array([r.vec for r in sample])
-    about = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.count("*").alias("n")).first()
+    largest = rows.agg(F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))).first()[0]
+    scale = 2.0 ** -min(max(int(np.frexp(largest)[1]), -1000), 1000)  # squares of scaled vectors are doubles
+    about = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x * scale) * (x * scale)))).alias("norm"), F.count("*").alias("n")).first()
     asked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in brute_force(rows, [(r.vec_id, r.vec) for r in asked], k).collect() if asked else ():
         _best(found, r.query_id, np.array([r.vec_id]), np.array([r.score]), k)
     truth = [(q, v) for q, (ids, _) in found.items() for v in ids.tolist()]
 
-    curves = Curves(vectors, about.norm, orderings)
+    curves = Curves(vectors, about.norm, orderings, scale=scale)
     n_blocks = -(-about.n // block)
     if truth:
         met = {r.vec_id: r.vec for r in rows.where(F.col("vec_id").isin(sorted({v for _, v in truth}))).collect()}  # SAMPLE_QUERIES times k at most
         own = {r.vec_id: r.vec for r in asked}
         guess = estimated(curves, vectors, np.array([own[q] for q, _ in truth]), np.array([met[v] for _, v in truth]), recall, n_blocks)
         if guess.share >= 1:
-            curves = Curves(vectors, about.norm, 1)
+            curves = Curves(vectors, about.norm, 1, scale=scale)
     blocks = stored(index(rows, curves, width, every, block), "ann-index")
     n_blocks = blocks.agg(F.max("block")).first()[0] + 1
     if truth and len(curves.maps) == 1 < orderings:

@@ -40,6 +40,8 @@ def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFr
     df.write.parquet(path)
     if scratch is not None:
         scratch.append(path)
+    # Shuffle files go once the JVM has collected the plan that made them; it would not come to that for long.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,8 @@ through ``pyarrow.fs``, and returns one manifest row per file; the manifest is w
 commit decides which attempt's files count. Files roll at ``FILE_IDS`` ids, at the end of a document.
 
 Defined results: null text counts as empty and gives the end id alone. Null ids come first. Rows with equal
-ids are ordered by their text's first ``TIE_CHARS`` characters, then as the input has them, so that one id may fill
-many partitions; repeated rows are repeated. An empty table gives no rows and no files. Long texts are encoded whole,
+ids are ordered by their text's first ``TIE_CHARS`` characters and then by a hash of the whole text, nulls first, so that one
+id may fill many partitions and files dealt otherwise give the same rows; repeated rows are repeated. An empty table gives no rows and no files. Long texts are encoded whole,
 in parts. Extra columns are not looked at.
 """
 
@@ -201,7 +201,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
             yield pa.RecordBatch.from_pydict({"part": [part] * len(rows), "file": list(range(len(rows))), "path": [f"{folder}/{x}" for x in names], "bytes": list(sizes), "n_docs": list(n_docs), "n_ids": list(n_ids)}, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumns({"tie": F.substring("text", 1, TIE_CHARS), "place": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"tie": F.struct(F.substring("text", 1, TIE_CHARS).alias("begin"), F.xxhash64("text").alias("whole")), "place": F.monotonically_increasing_id()})
     dealt = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").drop("tie", "place")
     manifest = stored(dealt.mapInArrow(write, "part long, file long, path string, bytes long, n_docs long, n_ids long"), "ids-manifest")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

@@ -240,3 +240,26 @@ def test_chats_in_parts_equal_whole_repair(spark):
         assert shape == ["user", "assistant"] * (len(shape) // 2) and shape
         assert text.count("<|end|>\n") == len(turns) and text.endswith("<|end|>\n")
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_vectors_of_any_size_take_part(spark):
+    """Norms whose squares are no doubles any more, and norms so small that theirs are zero."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((80, 6))
+    for size in (1e200, 1e-200):
+        rows = [(i, (base[i] * size).tolist()) for i in range(80)] + [(100 + i, (base[i] / size).tolist()) for i in range(10)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=20, block=8).collect()
+        assert {r.query_id for r in got} == {0, 20, 40, 60, 100} and all(r.rank <= 5 for r in got)
+
+
+def test_scores_far_below_their_norms():
+    """Rows at right angles to the query: an error of the rough product follows the norms, not the score."""
+    rng = np.random.default_rng(12)
+    query = rng.standard_normal(64) * 1e9
+    rows = rng.standard_normal((4000, 64)) * 1e9
+    rows -= np.outer(rows @ query / (query @ query), query)
+    ids = np.arange(4000)
+    scores = (rows * query).sum(1)
+    wanted = np.lexsort((ids, -scores))[:20]
+    (found, _), = ann.top(query[None, :], np.array([-1]), rows, ids, 20)
+    assert found.tolist() == wanted.tolist()

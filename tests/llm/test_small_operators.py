@@ -411,3 +411,13 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
         expected = library.encode(t, add_special_tokens=False).ids
         ids, lens = encoder.encoded(raw, np.array([0, len(raw)]))
         assert ids.tolist() == expected and lens.tolist() == encoder.counts(raw, np.array([0, len(raw)])).tolist() == [len(expected)]
+
+
+def test_files_dealt_otherwise_give_the_same_rows(spark):
+    """Rows of one id whose texts begin alike are ordered by all of their text."""
+    path = tokenizer_file()
+    rows = [(7, "the same beginning " * 8 + f"and end {i}") for i in range(60)] + [(7, None), (7, None), (3, "x")]
+    first = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    second = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)
+    one, two = ([tuple(r) for r in idfiles.read_ids(idfiles.write_ids(d, path)).orderBy("start").collect()] for d in (first, second))
+    assert one == two and len(one) == len(rows)
