@@ -14,8 +14,8 @@ class InvalidPattern(ValueError):
 
 
 # Fixed values of the two dialects.
-_SPACE = r"\s ﻿  -     　"
-_LINE_ENDS = r"\n\r  "
+_SPACE = r"\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LINE_ENDS = r"\n\r\u2028\u2029"
 _SAME = frozenset("dDwWfnrt")
 _GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z_$][\w$]*>)")
 _COUNT = re.compile(r"\{\d+(?:,\d*)?\}")

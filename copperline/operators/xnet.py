@@ -11,6 +11,8 @@ Both go through the bipartite net - part graph, so a part with many pins costs i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ from copperline.plans.netlist import Netlist, with_dns
 MAX_HOPS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's checkpoint folder; only on a local master a temporary one stands in."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; only on a local master a temporary one stands in."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not root:
@@ -34,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
 
             root = "file://" + tempfile.mkdtemp(prefix="copperline-")
         sc.setCheckpointDir(root)
+    return re.sub("^file:/+", "file:///", sc.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

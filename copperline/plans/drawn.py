@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from copperline.operators import xnet
 from copperline.plans.projection import ranked_pins, refdes_of
 from copperline.sources import writer
-from copperline.sources.listing import LISTING, OLE_MAGIC
+from copperline.sources.listing import OLE_MAGIC, as_listing
 
 # Fixed distances of the drawn sheets, in whole units: parts, pins of a part, a pin's length and a wire's reach.
 PART_STEP, PIN_STEP, PIN_LENGTH, WIRE_END = 100, 20, 4, 50
@@ -69,12 +71,25 @@ def altium_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.join(F.broadcast(kinds), "kind").select("design_id", F.concat("design_id", F.lit("/"), "kind", F.lit(".SchDoc")).alias("sheet"), "sheet_ord", "content")
 
 
-def _listed(paths: DataFrame) -> DataFrame:
-    """Rows of a listing from paths."""
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    ext = F.lower(F.regexp_extract(name, r"\.[^.]*$", 0))
-    rows = paths.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), ext.alias("ext"))
-    return rows.select(*[f.split()[0] for f in LISTING.split(", ")])
+def planted(spark: SparkSession, files: DataFrame) -> str:
+    """Write an empty file for each row (path) below a new folder that driver and executors share; the folder."""
+    root = f"{xnet.shared_root(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system.create_dir(base + path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(base + path):
+                    pass
+            yield batch
+
+    if files.select("path").repartition("path").mapInArrow(write, "path string").count() == 0:
+        system_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        system_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(system_path)
+    return root
 
 
 def cadence_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +108,7 @@ def cadence_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [F.concat(home, F.lit(f)) for f in ("/pstxnet.dat", "/PSTXPRT.DAT")]
     files += [F.when(balance <= 8000, F.concat(home, F.lit("/pstchip.dat"))), F.when(balance >= 0, F.concat(folder, F.lit("/"), board, F.lit(".DSN")))]
     files += [F.concat(nation, F.lit("/n"), country, F.lit(".cpm"))]
-    return _listed(supplier.select(F.explode(F.array(*files)).alias("path")).where("path IS NOT NULL").distinct())
+    return as_listing(supplier.select(F.explode(F.array(*files)).alias("path")).where("path IS NOT NULL").distinct())
 
 
 def altium_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -113,4 +128,4 @@ def altium_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     files += [F.when(balance >= 4000, entry(F.concat(F.lit("/pcb/shared/b"), key, F.lit(".SchDoc")), F.when(balance < 8000, magic).otherwise(other)))]
     files += [F.when(balance < 0, entry(F.concat(folder, F.lit("/sub/two.schdoc")), magic))]
     rows = supplier.select(F.explode(F.array(*files)).alias("f")).where("f IS NOT NULL").select("f.path", "f.content")
-    return _listed(rows.select("path")), rows
+    return as_listing(rows.select("path")), rows

@@ -78,6 +78,14 @@ def discover_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.cadence_designs(drawn.cadence_tree(spark, sf_dir))
 
 
+def walk_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet as files of the shared folder, walked by tasks and discovered; paths from the fleet's root on."""
+    root = drawn.planted(spark, drawn.cadence_tree(spark, sf_dir))
+    found = listing.cadence_designs(listing.listing(spark, root))
+    own = lambda c: F.regexp_extract(c, r"/tree-[0-9a-f]{32}(/.*)$", 1)
+    return found.select("name", "format", *[own(c).alias(c) for c in ("path", "pstxnet", "pstxprt", "pstchip")], "error")
+
+
 def best_data_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best data set of each design of the fleet on its own."""
     files = drawn.cadence_tree(spark, sf_dir)
@@ -136,7 +144,7 @@ def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_record_faults, altium_parts_list,
-        discover_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_component,
+        discover_cadence, walk_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_component,
     )
     return {f.__name__: f for f in every}
 
@@ -212,7 +220,7 @@ SELECT {start} AS starting_point, total_components, unique_configurations, circu
 
 
 def oracle_sql() -> dict[str, str]:
-    return _drawn_sql() | _answers_sql() | {
+    sql = _drawn_sql() | _answers_sql() | {
         "discover_cadence": f"""{FLEET},
 top AS (SELECT home || '/' || nation || '.cpm' AS path, nation AS name, min(CASE WHEN bal < 0 THEN dat_dir END) AS dat_dir FROM t GROUP BY home, nation),
 d AS (SELECT *, 'cadence-cis' AS format FROM own UNION ALL SELECT *, 'cadence-hdl' FROM top)
@@ -228,3 +236,4 @@ SELECT name, 'altium' AS format, dir || '/' || name || '.PrjPcb' AS path,
        CASE WHEN bal < 0 THEN '' WHEN bal < 4000 OR bal >= 8000 THEN dir || '/sub/top.SchDoc' ELSE '/pcb/s' || key || '/sub/top.SchDoc,/pcb/shared/b' || key || '.SchDoc' END AS sheets,
        CASE WHEN bal < 0 THEN 'No schematic documents found for project ''' || name || '''.' END AS error FROM p""",
     }
+    return sql | {"walk_cadence": sql["discover_cadence"]}

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperline.operators import xnet
+from copperline.operators.ordering import numbered
 from copperline.plans.netlist import Netlist
 
 DESIGN = "star"
 #: Part type to refdes prefix; the others are J. The first four are passive.
 PREFIXES = {"ECONOMY": "R", "SMALL": "C", "MEDIUM": "L", "PROMO": "FB", "LARGE": "U"}
 ACTIVE_PINS = 8
+#: Lines of a block of a text export.
+BLOCK_LINES = 50_000
 
 
 def refdes_of(kind, key):
@@ -69,19 +72,20 @@ def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     return joined.select(F.lit(DESIGN).alias("design_id"), refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net.alias("net"), "l_orderkey", "l_partkey")
 
 
-def cadence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection as Cadence text exports, a design per brand: rows (design_id, kind, content)."""
+def cadence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection as the lines of text exports, a design per brand, in blocks of bounded size (see ``sources.splits``)."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("refdes", refdes_of(F.col("p_type"), F.col("p_partkey")))
     pins = ranked_pins(spark, sf_dir, part).join(part.select("p_brand", "refdes"), "refdes")
-    lines = lambda values: F.array_join(F.sort_array(F.collect_list(values)), "\n")
-    node = F.concat(F.lit("NODE_NAME "), "refdes", F.lit(" "), "pin")
-    nets = pins.groupBy("p_brand", "net").agg(F.concat(F.lit("NET_NAME\n'"), F.first("net"), F.lit("'\n"), lines(node)).alias("t"))
-    number = F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("MFGR_PN='"), "p_brand", F.lit("-"), F.col("p_size").cast("string"), F.lit("';\n"))).otherwise("")
-    section = F.concat(F.lit("PART_NAME\n "), "refdes", F.lit(" '"), "p_type", F.lit("':;\n"), number, F.lit('DESCR="'), "p_name", F.lit('",'))
-    chip = F.concat(F.lit("primitive '"), "p_type", F.lit("';\npin\n'FIRST':\nPIN_NUMBER='(1)';\nend_pin;\nbody\nVALUE='"), F.lower("p_type"), F.lit("';\nend_body;"))
-    texts = [("pstxnet", nets.select("p_brand", "t")), ("pstxprt", part.select("p_brand", section.alias("t"))), ("pstchip", part.select("p_brand", chip.alias("t")).distinct())]
-    out = None
-    for kind, rows in texts:
-        files = rows.groupBy("p_brand").agg(lines("t").alias("t")).select(F.col("p_brand").alias("design_id"), F.lit(kind).alias("kind"), F.encode("t", "UTF-8").alias("content"))
-        out = files if out is None else out.unionByName(files)
-    return out
+    text = lambda *pieces: F.concat(*[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in pieces])
+    sections = lambda kind, name, lines: (F.lit(kind).alias("kind"), F.col(name).alias("section"), F.posexplode(F.array(*lines)).alias("n", "line"))
+    net = pins.select("p_brand", "net").distinct().select("p_brand", *sections("pstxnet", "net", [F.lit("NET_NAME"), text("='", "net", "='")]))
+    node = pins.select("p_brand", F.lit("pstxnet").alias("kind"), F.col("net").alias("section"), F.lit(2).alias("n"), text("=NODE_NAME ", "refdes", "= ", "pin").alias("line"))
+    number = F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("MFGR_PN='"), "p_brand", F.lit("-"), F.col("p_size").cast("string"), F.lit("';")))
+    component = part.select("p_brand", *sections("pstxprt", "refdes", [F.lit("PART_NAME"), text("refdes", "= '", "p_type", "=':;"), number, text('=DESCR="', "p_name", '=",')])).where("line IS NOT NULL")
+    body = F.concat(F.lit("VALUE='"), F.lower("p_type"), F.lit("';"))
+    fixed = lambda *lines: [F.lit(x) for x in lines]
+    kinds = part.select("p_brand", "p_type").distinct()
+    chip = kinds.select("p_brand", *sections("pstchip", "p_type", [text("=primitive '", "p_type", "=';"), *fixed("pin", "'FIRST':", "PIN_NUMBER='(1)';", "end_pin;", "body"), body, *fixed("end_body;")]))
+    rows = net.unionByName(node).unionByName(component).unionByName(chip).withColumnRenamed("p_brand", "design_id")
+    placed = numbered(rows, ["design_id", "kind"], ["section", "n", "line"], "at", xnet.cut)
+    return placed.select("design_id", "kind", F.expr(f"at div {BLOCK_LINES}").alias("block"), "at", "line")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from copperline.functions import exprs
 from copperline.operators import components as parts
-from copperline.operators import geometry, grouping, matching, xnet
+from copperline.operators import compare, geometry, grouping, matching, xnet
 from copperline.plans import fleet, oracle, projection
 from copperline.plans.netlist import Netlist
 from copperline.sources import cadence
@@ -215,7 +215,7 @@ def spatial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cadence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection written as text exports, one design per brand, and parsed and joined again."""
-    net = cadence.netlist(projection.cadence_files(spark, sf_dir))
+    net = cadence.netlist_of_lines(xnet.cut(projection.cadence_lines(spark, sf_dir)))
     pins = net.component_pins.select("design_id", "refdes", "pin", "pin_name", "net")
     return net.components.select("design_id", "refdes", "mpn", "description", "value").join(pins, ["design_id", "refdes"], "left")
 
@@ -239,6 +239,23 @@ def netlist_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(projection.netlist(spark, sf_dir)).problems().unionByName(projection.netlist(spark, sf_dir).problems())
 
 
+def revised(net: Netlist) -> Netlist:
+    """A later state of the netlist: parts and nets that went, came and changed, by what the rows say."""
+    comps, pins, net_pins = net.components, net.component_pins, net.net_pins
+    comps = comps.where(~F.col("description").endswith(" DNP")).withColumn("value", F.when(F.col("mpn").isNull(), F.concat("value", F.lit("k"))).otherwise(F.col("value")))
+    spare = comps.where(F.startswith("refdes", F.lit("L")) & (F.col("value") == "7")).withColumn("refdes", F.concat(F.lit("X"), "refdes"))
+    pins = pins.withColumn("net", F.when((F.col("net") == "+3V3") & (F.col("pin") == "2"), "GND").otherwise(F.col("net")))
+    more = net_pins.where("net = '+3V3' AND pin = '1'")
+    nets = net.nets.where("net <> '+3V3'").withColumn("net_ord", F.lit(0))
+    return Netlist(comps.unionByName(spare), pins, net_pins.unionByName(more), nets)
+
+
+def compare_netlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the projection and a later state of it."""
+    net = projection.settled(spark, sf_dir)
+    return compare.differences(net, revised(net)).select("of_table", "part_or_net", "name", "change")
+
+
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's parts as designs and its orders as data sets, matched one to one by score."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -258,7 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect,
-        greedy_assignment, cadence_round_trip, netlist_problems, search_nets_by_signs, spatial_groups,
+        greedy_assignment, cadence_round_trip, netlist_problems, compare_netlists, search_nets_by_signs, spatial_groups,
     )
     return {f.__name__: f for f in every} | fleet.queries()
 
@@ -348,6 +365,13 @@ UNION ALL SELECT 'net_pins', 'star', refdes || '.' || pin, 'key is missing' FROM
 UNION ALL SELECT DISTINCT 'net_pins', 'star', net, 'no such net' FROM np WHERE net IS NOT NULL AND net NOT IN (SELECT net FROM n WHERE net IS NOT NULL)
 UNION ALL SELECT 'nets', 'star', '', 'key is missing' FROM n WHERE net IS NULL
 UNION ALL SELECT 'nets', 'star', net, 'key is repeated' FROM n WHERE net IS NOT NULL GROUP BY net HAVING count(*) > 1""",
+        "compare_netlists": f"""{base},
+c AS (SELECT refdes, description LIKE '% DNP' AS gone, mpn IS NULL AS bare, value FROM comp)
+SELECT 'components' AS of_table, refdes AS part_or_net, refdes AS name, CASE WHEN gone THEN 'lost' ELSE 'changed' END AS change FROM c WHERE gone OR bare
+UNION ALL SELECT 'components', 'X' || refdes, 'X' || refdes, 'added' FROM c WHERE NOT gone AND NOT bare AND starts_with(refdes, 'L') AND value = '7'
+UNION ALL SELECT 'component_pins', refdes, refdes || '.2', 'changed' FROM pins WHERE net = '+3V3' AND pin = '2'
+UNION ALL SELECT 'net_pins', net, net || '.' || refdes || '.1#2', 'added' FROM pins WHERE net = '+3V3' AND pin = '1'
+UNION ALL SELECT DISTINCT 'nets', net, net, 'lost' FROM pins WHERE net = '+3V3'""",
         "spatial_connect": """
 WITH b AS (
   SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS sheet, l_orderkey || '-' || l_partkey || '-' || l_linenumber AS idx,

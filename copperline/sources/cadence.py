@@ -1,4 +1,8 @@
-"""Cadence text exports: three files per design become staging rows, joins make them a netlist."""
+"""Cadence text exports: three files per design become staging rows, joins make them a netlist.
+
+The readers here take a file's text as a whole, for contents that are rows already (streams, small files); ``splits`` reads
+files of any size and gives the same rows.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copperline.functions import exprs
+from copperline.operators.ordering import numbered
+from copperline.operators.xnet import cut
 from copperline.plans.netlist import Netlist
+from copperline.sources import splits
 
 #: What the source tools trim: white space of any script and the byte order mark.
-_SPACE = " \t\n\r\x0b\x0c      　﻿" + "".join(map(chr, range(0x2000, 0x200B)))
-_PART_LINE = re.compile(r"(\S+)\s+'([^']+)'")
-_PRIMITIVE = re.compile(r"primitive\s+'([^']+)'")
+_SPACE = " \t\n\r\x0b\x0c\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+_WORDS = re.compile(f"[{_SPACE}]+")
+_PART_LINE = re.compile(f"([^{_SPACE}]+)[{_SPACE}]+'([^']+)'")
+_PRIMITIVE = re.compile(f"primitive[{_SPACE}]+'([^']+)'")
 _PIN_LINE = re.compile(r"'([^']+)':")
 
 
@@ -44,7 +52,7 @@ def net_rows(text: str) -> list[tuple[str, int, str | None, int | None, str | No
         if name is None:
             continue
         nodes: dict[str, list[str]] = {}
-        for words in (x.split() for x in lines if x.startswith("NODE_NAME")):
+        for words in (_WORDS.split(x) for x in lines if x.startswith("NODE_NAME")):
             if len(words) >= 3:
                 nodes.setdefault(words[1], []).append(words[2])
         nets[name] = nodes
@@ -146,32 +154,48 @@ def stage_chips(files: DataFrame) -> DataFrame:
 
 
 def netlist(files: DataFrame) -> Netlist:
-    """The netlist of all designs whose three files are given as rows (design_id, kind, content).
+    """The netlist of all designs whose three files are given as rows (design_id, kind, content), each read by one task."""
+    chips = stage_chips(files)
+    values = chips.withColumn("chip_value", F.col("body")["VALUE"]).where("chip_value <> ''").groupBy("design_id", "part_name").agg(F.max_by("chip_value", "chip_ord").alias("chip_value"))
+    last = chips.groupBy("design_id", "part_name").agg(F.max_by("pins", "chip_ord").alias("pins"))
+    names = last.select("design_id", "part_name", F.posexplode(F.map_entries("pins")).alias("place", "e")).where("e.value <> ''")
+    names = names.groupBy("design_id", "part_name", F.col("e.value").alias("pin")).agg(F.max_by("e.key", "place").alias("pin_name"))
+    return joined(stage_nets(files), stage_parts(files), values, names)
+
+
+def split_netlist(wanted: DataFrame, split: int = splits.SPLIT) -> Netlist:
+    """The netlist of all designs whose three files are named by rows (design_id, kind, path); each file is read in splits."""
+    return netlist_of_lines(splits.read_lines(wanted, split))
+
+
+def netlist_of_lines(lines: DataFrame) -> Netlist:
+    """The netlist of designs whose files are given as lines, as ``splits`` has them."""
+    return joined(splits.nets(lines), splits.parts(lines), *splits.chips(lines))
+
+
+def joined(nets: DataFrame, parts: DataFrame, values: DataFrame, names: DataFrame) -> Netlist:
+    """The netlist of what was read of the three files.
 
     Node references that are no reference designators stay in the nets and make no component. A valid one that
     the part list lacks becomes a component without properties. Pin names come from the part's last definition,
     its VALUE from the last definition that has one, for parts that some net holds.
     """
-    nets, parts, chips = stage_nets(files), stage_parts(files), stage_chips(files)
+    nets = cut(nets)
     nodes = nets.where("refdes IS NOT NULL")
     valid = nodes.where(exprs.is_refdes(F.col("refdes")))
     held = valid.groupBy("design_id", "refdes").agg(F.min(F.struct("net_ord", "ref_ord")).alias("met"))
 
-    values = chips.withColumn("chip_value", F.col("body")["VALUE"]).where("chip_value <> ''").groupBy("design_id", "part_name").agg(F.max_by("chip_value", "chip_ord").alias("chip_value"))
-    joined = parts.withColumn("known", F.lit(True)).join(held, ["design_id", "refdes"], "full_outer").join(values, ["design_id", "part_name"], "left")
-    late = F.struct(F.when(F.col("known"), 0).otherwise(1).alias("c"), F.coalesce("comp_ord", F.col("met.net_ord")).alias("o"), F.coalesce(F.col("met.ref_ord"), F.lit(0)).alias("r"))
-    order = F.row_number().over(Window.partitionBy("design_id").orderBy(late)) - 1
+    rows = parts.withColumn("known", F.lit(True)).join(held, ["design_id", "refdes"], "full_outer").join(values, ["design_id", "part_name"], "left")
+    late = {"o_kind": F.when(F.col("known"), 0).otherwise(1), "o_place": F.coalesce("comp_ord", F.col("met.net_ord")), "o_ref": F.coalesce(F.col("met.ref_ord"), F.lit(0))}
+    rows = numbered(rows.withColumns(late).drop("comp_ord"), ["design_id"], list(late), "comp_ord", cut)
     known = F.coalesce("known", F.lit(False))
-    components = joined.select("design_id", "refdes", "mpn", known.alias("mpn_present"), "description", F.lit(None).cast("string").alias("comment"), F.when(F.col("met").isNotNull(), F.col("chip_value")).alias("value"), order.cast("long").alias("comp_ord"))
+    components = rows.select("design_id", "refdes", "mpn", known.alias("mpn_present"), "description", F.lit(None).cast("string").alias("comment"), F.when(F.col("met").isNotNull(), F.col("chip_value")).alias("value"), "comp_ord")
 
-    last = chips.groupBy("design_id", "part_name").agg(F.max_by("pins", "chip_ord").alias("pins"))
-    names = last.select("design_id", "part_name", F.posexplode(F.map_entries("pins")).alias("place", "e")).where("e.value <> ''")
-    names = names.groupBy("design_id", "part_name", F.col("e.value").alias("pin")).agg(F.max_by("e.key", "place").alias("pin_name"))
     spot = F.struct("net_ord", "ref_ord", "pin_ord")
     pins = valid.groupBy("design_id", "refdes", "pin").agg(F.max_by("net", spot).alias("net"), F.min(spot).alias("first"))
     pins = pins.join(parts.select("design_id", "refdes", "part_name"), ["design_id", "refdes"], "left").join(names, ["design_id", "part_name", "pin"], "left")
-    place = F.row_number().over(Window.partitionBy("design_id", "refdes").orderBy("first")) - 1
-    component_pins = pins.select("design_id", "refdes", "pin", exprs.pin_name(F.col("pin"), F.col("pin_name")).alias("pin_name"), "net", place.cast("long").alias("pin_ord"))
+    pins = numbered(pins, ["design_id", "refdes"], ["first"], "pin_ord", cut)
+    component_pins = pins.select("design_id", "refdes", "pin", exprs.pin_name(F.col("pin"), F.col("pin_name")).alias("pin_name"), "net", "pin_ord")
 
     net_pins = nodes.select("design_id", "net", "refdes", "pin", "net_ord", "ref_ord", "pin_ord")
     return Netlist(components, component_pins, net_pins, nets.select("design_id", "net", "net_ord").distinct()).checked()

@@ -47,7 +47,7 @@ def _load_cadence(spark: SparkSession, paths: list[str]) -> Netlist:
             raise DesignError(f"Missing netlist files for {posixpath.basename(path)}. Run export_cadence_netlist to generate them.")
     rows = [(path, kind, r[kind]) for path, r in best.items() for kind in ("pstxnet", "pstxprt", "pstchip")]
     wanted = spark.createDataFrame(rows, "design_id string, kind string, path string")
-    return cadence.netlist(wanted.join(listing.contents(wanted), "path"))
+    return cadence.split_netlist(wanted)
 
 
 def _load_altium(spark: SparkSession, paths: list[str]) -> Netlist:

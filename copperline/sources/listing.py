@@ -1,7 +1,6 @@
 """Finding designs: one listing of files, then joins.
 
-A listing has path, dir, name, stem and ext (lower case, with its dot). The driver walks the tree as Spark's own
-file index does, folders of other file systems through Hadoop's; file contents are only read by tasks.
+A listing has path, dir, name, stem and ext (lower case, with its dot). Tasks list folders and read files' contents.
 """
 
 from __future__ import annotations
@@ -10,12 +9,14 @@ import errno
 import os
 import posixpath
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperline.operators.matching import greedy
+from copperline.operators.xnet import cut
 
 # File types and the names of a complete data set.
 CADENCE_EXTENSIONS = [".dsn", ".cpm"]
@@ -41,19 +42,52 @@ def extension(path: str) -> str:
     return posixpath.splitext(name)[1].lower()
 
 
-def _walked(base: str) -> Iterator[str]:
-    """Files below a folder; folders that may not be read are passed over, other errors are raised."""
+#: File systems whose folders tasks open by themselves; folders of others are listed through the driver's.
+TASK_SCHEMES = ("", "file", "hdfs", "s3", "s3a", "gs", "abfs")
+#: Entries of a folder that leave a task at once.
+PAGE = 10_000
 
-    def refuse(error: OSError) -> None:
-        if error.errno != errno.EACCES:
-            raise error
+_ENTRIES = "folder string, path string, is_folder boolean"
 
-    for folder, _, names in os.walk(base, onerror=refuse):
-        yield from (path for name in names if os.path.isfile(path := posixpath.join(folder, name)))
 
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder; links to folders are not followed, folders that may not be read are empty."""
+    if "://" in folder:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(folder)
+        root = folder[: len(folder) - len(name)] if folder.endswith(name) else folder.split("://")[0] + "://"
+        for entry in system.get_file_info(fs.FileSelector(name)):
+            yield root + entry.path, entry.type == fs.FileType.Directory
+        return
+    try:
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.path, True
+                elif entry.is_file():
+                    yield entry.path, False
+    except OSError as e:
+        if e.errno != errno.EACCES:
+            raise
+
+
+def _listed_folders(folders: DataFrame) -> DataFrame:
+    """The entries of each folder (path), a page at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                entries = _entries(folder)
+                while page := list(islice(entries, PAGE)):
+                    paths, kinds = zip(*page, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([folder] * len(page), pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.bool_())], names=["folder", "path", "is_folder"])
 
-def _listed(spark: SparkSession, base: str) -> Iterator[str]:
-    """Files below a folder that has a scheme, through Hadoop's file systems."""
+    return folders.select("path").mapInArrow(run, _ENTRIES)
+
+
+def _driver_listed(spark: SparkSession, base: str) -> Iterator[str]:
+    """Files below a folder of a file system that only the JVM opens."""
     jvm = spark.sparkContext._jvm
     system = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     todo = [jvm.org.apache.hadoop.fs.Path(base)]
@@ -71,12 +105,46 @@ def _listed(spark: SparkSession, base: str) -> Iterator[str]:
                 yield status.getPath().toString()
 
 
+def _base(spark: SparkSession, root: str) -> str:
+    """A root with its scheme; one without lies on the session's default file system. Local ones are plain paths."""
+    if "://" not in root:
+        root = posixpath.abspath(normal_path(root))
+        default = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).toString()
+        root = root if default.startswith("file:") else default.rstrip("/") + root
+    if root.startswith("file://"):
+        root = root.removeprefix("file://")
+    return root.rstrip("/") or "/"
+
+
+def as_listing(paths: DataFrame) -> DataFrame:
+    """Rows of a listing from rows (path)."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    dot = F.regexp_extract(name, r"^\.*[^.].*(\.[^.]*)$", 1)  # a name that begins with its only dot has no type
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(dot))
+    return paths.select("path", F.when(folder == "", "/").otherwise(folder).alias("dir"), name.alias("name"), stem.alias("stem"), F.lower(dot).alias("ext"))
+
+
 def listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """All files below the roots, each once. Folders that may not be read are passed over, other errors are raised."""
-    bases = {r.rstrip("/") if "://" in r else posixpath.abspath(normal_path(r)).rstrip("/") or "/" for r in roots}
+    """All files below the roots, each once. Folders that may not be read are passed over, other errors are raised.
+
+    Folders are rows and tasks list them, a round for each level of the tree; every round's entries are cut, so that a
+    lost task lists its own folders again. A folder with very many files leaves its task page by page.
+    """
+    bases = sorted({_base(spark, r) for r in roots})
     inside = lambda b: any(b != c and b.startswith(c.rstrip("/") + "/") for c in bases)
-    paths = [p for b in sorted(bases) if not inside(b) for p in (_listed(spark, b) if "://" in b else _walked(b))]
-    return spark.createDataFrame([(p, posixpath.dirname(p), (name := posixpath.basename(p)), posixpath.splitext(name)[0], extension(p)) for p in paths], LISTING)
+    bases = [b for b in bases if not inside(b)]
+    by_task = [b for b in bases if b.partition("://")[0 if "://" in b else 1] in TASK_SCHEMES]
+    files = spark.createDataFrame([(p,) for b in bases if b not in by_task for p in _driver_listed(spark, b)], "path string")
+    level = spark.createDataFrame([(b,) for b in by_task], "path string")
+    n = len(by_task)
+    while n:
+        # A folder may hold anything: without a number, adaptive execution would join these few rows into one task.
+        entries = cut(_listed_folders(level.repartition(min(n, 1 << 12), "path")))
+        files = files.unionByName(entries.where("NOT is_folder").select("path"))
+        level = entries.where("is_folder").select("path")
+        n = level.count()
+    return as_listing(files)
 
 
 def dat_sets(files: DataFrame) -> DataFrame:
