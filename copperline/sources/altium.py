@@ -7,7 +7,7 @@ Field names come in several casings; ``field`` takes the first that is there, ``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,8 @@ from copperline.functions import exprs
 from copperline.operators import geometry
 from copperline.operators.xnet import cut
 from copperline.plans.netlist import Netlist
-from copperline.sources.ole import OleError, read_stream
+from copperline.sources.files import opened
+from copperline.sources.ole import CompoundFile, OleError
 
 # Record types of the format.
 COMPONENT, PIN, POWER_PORT, NET_LABEL, WIRE, DESIGNATOR, PARAMETER = "1", "2", "17", "25", "27", "34", "41"
@@ -36,22 +37,42 @@ CONNECTABLE = [WIRE, PIN, NET_LABEL, POWER_PORT]
 SCALE = 10_000
 LEAD, TRAIL = 5, 1  # bytes around the records of a stream
 BETWEEN = b"\x00\x00|"  # after the three length bytes of the next record
+#: Records that leave a task at once.
+BATCH_RECORDS = 4096
 
 SHEET = ["design_id", "sheet"]
 RECORDS = "design_id string, sheet string, sheet_ord int, idx long, kind string, owner long, props map<string,string>"
 
 
-def record_fields(stream: bytes) -> list[dict[str, str]]:
+def record_pieces(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The records of a stream that comes in pieces, without the bytes around and between them; the last may be empty."""
+    held, begun = b"", False
+    for chunk in chunks:
+        held += chunk
+        if not begun:
+            if len(held) < LEAD:
+                continue
+            held, begun = held[LEAD:], True
+        # A record ends where the next mark begins; the stream's last bytes may be part of a mark, or trail it.
+        whole = held[: len(held) - TRAIL]
+        *records, rest = whole.split(BETWEEN)
+        for record in records:
+            yield record[:-3]
+        held = rest + held[len(held) - TRAIL :]
+    if begun:
+        yield held[: len(held) - TRAIL]
+
+
+def record_stream(chunks: Iterable[bytes]) -> Iterator[dict[str, str]]:
     """The fields of each record of a stream, headers included; values keep their blanks and may hold =."""
-    body = stream[LEAD : len(stream) - TRAIL]
-    pieces = body.split(BETWEEN)
-    pieces = [p[:-3] for p in pieces[:-1]] + pieces[-1:]
-    out = []
-    for piece in pieces:
+    for piece in record_pieces(chunks):
         pairs = (x.partition("=") for x in piece.decode("utf-8", "replace").split("|"))
         if fields := {k.strip(): v for k, equals, v in pairs if equals and k.strip()}:
-            out.append(fields)
-    return out
+            yield fields
+
+
+def record_fields(stream: bytes) -> list[dict[str, str]]:
+    return list(record_stream([stream]))
 
 
 def _whole(text: str | None) -> int | None:
@@ -64,11 +85,43 @@ def _whole(text: str | None) -> int | None:
     return int(digits[: len(sign) + n]) if n else None
 
 
-def record_rows(stream: bytes) -> list[tuple[int, str, int | None, list[tuple[str, str]]]]:
-    """(idx, kind, owner, props) of each record; owners out of range make a root."""
-    rows = [f for f in record_fields(stream) if "RECORD" in f]
-    owners = [_whole(f.get("OwnerIndex", f.get("OWNERINDEX"))) for f in rows]
-    return [(k, f["RECORD"], o if o is not None and 0 <= o < len(rows) else None, list(f.items())) for k, (f, o) in enumerate(zip(rows, owners, strict=True))]
+Record = tuple[int, str, int | None, list[tuple[str, str]]]
+
+
+def record_batches(chunks: Iterable[bytes]) -> Iterator[list[Record]]:
+    """(idx, kind, owner, props) of each record, in batches; owners out of range make a root.
+
+    A record whose owner stands behind it waits for the number of records, others go on at once.
+    """
+    rows: list[Record] = []
+    waiting: list[Record] = []
+    idx = -1
+    for idx, fields in enumerate(f for f in record_stream(chunks) if "RECORD" in f):
+        owner = _whole(fields.get("OwnerIndex", fields.get("OWNERINDEX")))
+        row = (idx, fields["RECORD"], owner if owner is not None and owner >= 0 else None, list(fields.items()))
+        (waiting if owner is not None and owner > idx else rows).append(row)
+        if len(rows) >= BATCH_RECORDS:
+            yield rows
+            rows = []
+    rows += [(k, kind, owner if owner <= idx else None, props) for k, kind, owner, props in waiting]
+    if rows:
+        yield rows
+
+
+def record_rows(stream: bytes) -> list[Record]:
+    """All records of a stream, in their order."""
+    return sorted((row for rows in record_batches([stream]) for row in rows), key=lambda r: r[0])
+
+
+def _read_records(design: str, sheet: str, order: int, source) -> Iterator[pa.RecordBatch]:
+    try:
+        for rows in record_batches(CompoundFile(source).pieces("FileHeader")):
+            idx, kinds, owners, props = zip(*rows, strict=True)
+            n = len(rows)
+            columns = [pa.array([design] * n, pa.string()), pa.array([sheet] * n, pa.string()), pa.array([order] * n, pa.int32()), pa.array(idx, pa.int64()), pa.array(kinds, pa.string()), pa.array(owners, pa.int64()), pa.array(props, pa.map_(pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in RECORDS.split(", ")])
+    except OleError as e:
+        raise OleError(f"{sheet}: {e}") from e
 
 
 def records(sheets: DataFrame) -> DataFrame:
@@ -77,18 +130,30 @@ def records(sheets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for design, sheet, order, content in zip(*(batch.column(k) for k in range(4)), strict=True):
-                try:
-                    rows = record_rows(read_stream(content.as_py() or b""))
-                except OleError as e:
-                    raise OleError(f"{sheet.as_py()}: {e}") from e
-                if rows:
-                    idx, kinds, owners, props = zip(*rows, strict=True)
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([design.as_py()] * n, pa.string()), pa.array([sheet.as_py()] * n, pa.string()), pa.array([order.as_py()] * n, pa.int32()), pa.array(idx, pa.int64()), pa.array(kinds, pa.string()), pa.array(owners, pa.int64()), pa.array(props, pa.map_(pa.string(), pa.string()))], names=[f.split()[0] for f in RECORDS.split(", ")])
+                yield from _read_records(design.as_py(), sheet.as_py(), order.as_py(), content.as_py() or b"")
 
     return sheets.select("design_id", "sheet", F.col("sheet_ord").cast("int"), "content").mapInArrow(run, RECORDS)
 
 
+def file_records(sheets: DataFrame) -> DataFrame:
+    """Record rows of sheets given as (design_id, sheet, sheet_ord), ``sheet`` being a file's path; missing files give none.
+
+    A task seeks in the file for the sectors of its record stream, so a sheet of any size takes little memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for design, sheet, order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    source = opened(sheet)
+                except (FileNotFoundError, IsADirectoryError):
+                    continue
+                with source:
+                    yield from _read_records(design, sheet, order, source)
+
+    return sheets.select("design_id", "sheet", F.col("sheet_ord").cast("int")).mapInArrow(run, RECORDS)
+
+
 def field(props: str, *names: str) -> Column:
     return F.coalesce(*[F.col(props)[n] for n in names])
 
@@ -290,12 +355,22 @@ def sheet_nets(rows: DataFrame) -> DataFrame:
 
 
 def netlist(sheets: DataFrame) -> Netlist:
-    """The netlist of all designs whose sheets are given as (design_id, sheet, sheet_ord, content).
+    """The netlist of all designs whose sheets are given as (design_id, sheet, sheet_ord, content)."""
+    return netlist_of_records(records(sheets))
+
+
+def file_netlist(sheets: DataFrame) -> Netlist:
+    """The netlist of all designs whose sheets are files, given as (design_id, sheet, sheet_ord)."""
+    return netlist_of_records(file_records(sheets))
+
+
+def netlist_of_records(rows: DataFrame) -> Netlist:
+    """The netlist of all designs whose records are given.
 
     Nets of one name join across the sheets of a design; of a component on several sheets the first counts. Its
     pins name the last of the sheet's nets that holds them.
     """
-    rows = cut(records(sheets))
+    rows = cut(rows)
     parts = components(rows)
     nets = cut(sheet_nets(rows))
     spot = F.struct("sheet_ord", "net_first", "idx")

@@ -58,8 +58,8 @@ def _load_altium(spark: SparkSession, paths: list[str]) -> Netlist:
         if not found.get(path):
             raise DesignError(f"No schematic documents found for project {path}")
     rows = [(path, sheet, k) for path, sheets in found.items() for k, sheet in enumerate(sheets)]
-    wanted = spark.createDataFrame(rows, "design_id string, path string, sheet_ord int")
-    return altium.netlist(wanted.join(listing.contents(wanted), "path").withColumnRenamed("path", "sheet"))
+    wanted = spark.createDataFrame(rows, "design_id string, sheet string, sheet_ord int")
+    return altium.file_netlist(wanted.repartition(min(len(rows), 1 << 12), "sheet"))
 
 
 FORMATS = [

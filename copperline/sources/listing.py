@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from copperline.operators.matching import greedy
 from copperline.operators.xnet import cut
+from copperline.sources.files import opened
 
 # File types and the names of a complete data set.
 CADENCE_EXTENSIONS = [".dsn", ".cpm"]
@@ -198,13 +199,10 @@ def contents(paths: DataFrame, size: int | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                 try:
-                    with system.open_input_file(name) as f:
+                    with opened(path) as f:
                         content = f.read(size)
                 except (FileNotFoundError, IsADirectoryError):
                     continue

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from copperline.functions import exprs
 from copperline.operators.ordering import carried, numbered
 from copperline.operators.xnet import cut
+from copperline.sources.files import opened
 
 #: Bytes of a split, of a read, and lines of a batch.
 SPLIT, READ, BATCH = 64 << 20, 1 << 20, 16_384
@@ -60,12 +61,6 @@ def split_lines(source, size: int, start: int, length: int) -> Iterator[tuple[in
 def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
     """The lines of the files that rows (design_id, kind, path) name, in splits of so many bytes. Missing files give none."""
 
-    def opened(path: str):
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        return system.open_input_file(name)
-
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []

@@ -7,12 +7,12 @@ END, FREE, FAT = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
 
 def stream(records):
     """A record stream: five leading bytes, records behind length, two zeros and a bar, one trailing byte."""
-    out = b"\x00\x00\x00\x00\x00"
+    out = [b"\x00\x00\x00\x00\x00"]
     for k, fields in enumerate(records):
         body = "|".join(f"{a}={b}" if isinstance(b, str) else a for a, b in fields.items())
         raw = b"".join([body.encode()] if "raw" not in fields else [fields["raw"]])
-        out += (b"" if k == 0 else struct.pack("<I", len(raw))[:3] + b"\x00\x00") + b"|" + raw
-    return out + b"\x00"
+        out.append((b"" if k == 0 else struct.pack("<I", len(raw))[:3] + b"\x00\x00") + b"|" + raw)
+    return b"".join(out) + b"\x00"
 
 
 def container(streams, shift=9, cutoff=4096):
