@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from copperline.functions import exprs
 from copperline.operators import components as parts
-from copperline.operators import grouping, xnet
+from copperline.operators import answers, grouping, xnet
 from copperline.operators.components import InvalidPattern
 from copperline.plans.netlist import Netlist
 from copperline.sources import formats
@@ -167,36 +167,15 @@ def query_component(spark: SparkSession, design: str | Netlist, refdes: str) ->
     return out | {k: row[k] for k in ("description", "comment", "value", "dns", "notes") if row[k] is not None}
 
 
-def _connections(connections: list[Row]) -> list[dict]:
-    return [{"net": c.net, "pins": compact(c.pins)} for c in connections]
-
-
-def _aggregated(row: Row) -> dict:
-    out = {"mpn": row.mpn, "total_count": row.total_count}
-    out |= {k: row[k] for k in ("description", "comment", "value", "dns", "notes") if row[k] is not None}
-    ways = [{"count": o["count"], "refdes": compact(o.refdes), "connections": _connections(o.connections)} for o in row.orientations]
-    if len(ways) == 1:
-        del ways[0]["count"]
-        return out | ways[0]
-    return out | {"orientations": ways}
-
-
 def circuit(spark: SparkSession, netlist: Netlist, start: str, skip_types: list[str] = (), include_dns: bool = False) -> dict:
     """What a traversal from a net shows, rolled up."""
     design = netlist.nets.select("design_id").first().design_id
-    seen = xnet.cut(xnet.reach(netlist, xnet.starts_of(spark, [(design, start)]), skip_types, include_dns))
-    key = ["design_id", "root"]
-    made = xnet.cut(grouping.circuit_components(xnet.circuit_pins(netlist, seen, skip_types, include_dns), key))
-    groups = grouping.aggregate_circuits(made, key).orderBy(F.desc("total_count"), "rank").collect()
-    digest = grouping.circuit_hash(made, key).first()
-    out = {
-        "total_components": made.count(),
-        "unique_configurations": len(groups),
-        "components_by_mpn": [_aggregated(g) for g in groups],
-        "visited_nets": [r.net for r in seen.orderBy("hop", "net").collect()],
-        "circuit_hash": digest.circuit_hash if digest else grouping.EMPTY_HASH,
-    }
-    skipped = {r.skip_type: r.n for r in xnet.skipped_counts(netlist, seen, list(skip_types), include_dns).collect()} if skip_types else {}
+    rows = answers.circuits(netlist, xnet.starts_of(spark, [(design, start)]), skip_types, include_dns).collect()  # one answer
+    told = lambda kind: [json.loads(r.body) for r in sorted((r for r in rows if r.kind == kind), key=lambda r: r.place)]
+    totals = next(iter(told("totals")), {"total_components": 0, "unique_configurations": 0, "circuit_hash": grouping.EMPTY_HASH})
+    digest = totals.pop("circuit_hash")
+    out = totals | {"components_by_mpn": told("group"), "visited_nets": told("visited"), "circuit_hash": digest}
+    skipped = {r["skip_type"]: r["n"] for r in told("skipped")}
     return out | ({"skipped": skipped} if skipped else {})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from copperline import api
 from copperline.functions import exprs
 from copperline.operators import components as parts
-from copperline.operators import xnet
+from copperline.operators import answers, xnet
 from copperline.plans import drawn, oracle, projection
 from copperline.sources import altium, listing
 
@@ -134,6 +134,16 @@ def answer_by_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(spark, api.query_xnet_by_pin_name(spark, projection.settled(spark, sf_dir), f"{_first_part(spark, sf_dir).lower()}.1"))
 
 
+def answer_every_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers for all nets off ground, asked at once: totals, groups in their order, and visited nets."""
+    net = projection.settled(spark, sf_dir)
+    rows = answers.circuits(net, net.nets.where(~exprs.is_ground(F.col("net"))).select("design_id", F.col("net").alias("root")))
+    said = lambda *names: F.concat_ws("/", *[F.get_json_object("body", f"$.{n}") for n in names])
+    what = F.when(F.col("kind") == "totals", said("total_components", "unique_configurations", "circuit_hash")).when(F.col("kind") == "group", said("total_count", "mpn", "description", "value"))
+    what = what.otherwise(F.get_json_object(F.concat(F.lit('{"net":'), "body", F.lit("}")), "$.net"))
+    return rows.select("root", "kind", F.when(F.col("kind") != "visited", F.col("place")).alias("place"), what.alias("what"))
+
+
 def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer for a component, a pin a row."""
     answer = api.query_component(spark, projection.netlist(spark, sf_dir), _first_part(spark, sf_dir).lower())
@@ -144,7 +154,7 @@ def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_record_faults, altium_parts_list,
-        discover_cadence, walk_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_component,
+        discover_cadence, walk_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_every_net, answer_component,
     )
     return {f.__name__: f for f in every}
 
@@ -213,7 +223,16 @@ SELECT {start} AS starting_point, total_components, unique_configurations, circu
     by_pin = oracle.traversal("SELECT net AS root FROM first").replace("starts AS (", f"{first},\nstarts AS (", 1)
     return {
         "lookup_pin": f"WITH {oracle.BASE}, {first} SELECT f.refdes, mpn, description, '1' AS pin, f.net FROM first f JOIN comp USING (refdes)",
-        "answer_component": f"WITH {oracle.BASE}, {first} SELECT refdes, mpn, description, value, dns, pin, p.net FROM comp JOIN (SELECT refdes FROM first) USING (refdes) JOIN pins p USING (refdes)",
+        "answer_component": f"WITH {oracle.BASE}, {first.replace(" AS (", " AS MATERIALIZED (", 1)} SELECT refdes, mpn, description, value, dns, pin, p.net FROM comp JOIN (SELECT refdes FROM first) USING (refdes) JOIN pins p USING (refdes)",
+        "answer_every_net": oracle.traversal(f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}") + f"""{oracle.CIRCUIT},
+h AS (SELECT root, substr(sha256('[' || string_agg({part}, ',' ORDER BY {oracle.NATURAL}) || ']'), 1, 16) AS circuit_hash,
+      count(*) AS total_components, count(DISTINCT (k, sig)) AS unique_configurations FROM keyed GROUP BY root),
+g AS (SELECT root, k, sig, mpn, arg_min(description, ({oracle.NATURAL})) AS description, arg_min(value, ({oracle.NATURAL})) AS value, count(*) AS n, min(row(letters, digits)) AS first
+      FROM keyed GROUP BY root, k, mpn, sig)
+SELECT root, 'totals' AS kind, 0 AS place, coalesce(total_components, 0) || '/' || coalesce(unique_configurations, 0) || '/' || coalesce(circuit_hash, '{"0" * 16}') AS what
+FROM (SELECT DISTINCT root FROM vis) LEFT JOIN h USING (root)
+UNION ALL SELECT root, 'group', row_number() OVER (PARTITION BY root ORDER BY n DESC, first, sig) - 1, concat_ws('/', n, mpn, description, value) FROM g
+UNION ALL SELECT root, 'visited', NULL, net FROM vis""",
         "answer_by_net": oracle.traversal("SELECT '+3V3' AS root") + said("'+3V3'"),
         "answer_by_pin": by_pin + said("(SELECT refdes || '.1' FROM first)"),
     }
