@@ -165,7 +165,7 @@ def test_no_rows_and_no_training(spark):
 def test_query_at_the_smallest_size(spark):
     rows = __spark_entry__.queries()["op11_lm_scoring"](spark, "/root/testdata/sf0.001").collect()
     held = [r for r in rows if r.held_out]
-    assert len(rows) == 200 and sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
+    assert len(rows) == 200 and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)  # both are negative
     texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for a, b in zip(sorted(tuple(r)[:6] for r in rows), sorted(plain_base(texts)), strict=True):
         assert all(near(x, y) for x, y in zip(a, b, strict=True)), (a, b)
