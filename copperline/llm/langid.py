@@ -9,8 +9,9 @@ language is its exact code length; contexts that are not in a tree fall back to
 Symbols: ASCII letters without case, every other byte from 0x80 that the sample holds, one symbol for all
 remaining ASCII bytes, one for bytes that the sample has not.
 
-The sample is bounded by ``SAMPLE_DOCS`` documents of each language and ``SAMPLE_CHARS`` characters of a document;
-this bounds training only, predictions take whole texts, part by part.
+The sample is bounded by ``SAMPLE_DOCS`` documents of each language and ``SAMPLE_CHARS`` characters of a document, which
+a longer text gives in ``SAMPLE_PARTS`` parts spread evenly from its start to its end; this bounds training only,
+predictions take whole texts, part by part.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0; without any labelled row
 all texts do. A tie goes to the language that sorts first. Repeated rows give repeated rows. Null ids are
@@ -25,15 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copperline.llm import bytesplit
 
 ORDER = 3
-#: Bound of the training sample: documents of each language, and characters that a document gives, from its start.
+#: Bound of the training sample: documents of each language, and characters that a document gives, in parts from all of it.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 16 << 10
+SAMPLE_PARTS = 16
 #: A context of the sample is kept if it occurs so often in some language.
 LEAST_COUNT = 2
 #: Positions that are scored at once.
@@ -182,29 +184,36 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled(text: Column) -> Column:
+    """The text, or SAMPLE_CHARS characters of a longer one in parts of equal length, the first at its start, the last at its end."""
+    ends = [k * SAMPLE_CHARS // SAMPLE_PARTS for k in range(SAMPLE_PARTS + 1)]
+    chars = F.length(text).cast("long")
+    parts = [F.substring(text, F.floor((chars - (e - b)) * k / (SAMPLE_PARTS - 1)).cast("int") + 1, F.lit(e - b)) for k, (b, e) in enumerate(zip(ends, ends[1:]))]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat(*parts))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Train on at most ``sample_docs`` different documents a language, of those that are not held out; None without any.
 
-    The sample takes the smallest hashes of ids, so it is the same each time; of a long document it takes the first
-    SAMPLE_CHARS characters. Only narrow rows (language, id, hash of the text) are sorted, those of a language first by
+    The sample takes the smallest hashes of ids, so it is the same each time; of a long document it takes parts from
+    all of it. Any letter of a whole text makes it one to learn from. Only narrow rows (language, id, hash of the text) are sorted, those of a language first by
     the partition that they are read in, so that no task takes all of a language: its first rows are among the first of
     their partitions. The texts of the chosen rows are then read, one of equal ones.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    start = F.substring("text", 1, SAMPLE_CHARS)
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & start.rlike(r"\p{L}"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     keys = ["lang", "doc_id", "hash"]
     chosen = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
     for group in (["lang", "part"], ["lang"]):
         rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
         chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select(*keys, "part").distinct()
     chosen = chosen.select(*keys).distinct()
-    parts = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), start.alias("text"))
-    taken = parts.join(chosen.hint("broadcast"), keys, "left_semi").groupBy(*keys).agg(F.min("text").alias("text"))  # sample_docs rows a language
+    whole = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), "text")
+    taken = whole.join(chosen.hint("broadcast"), keys, "left_semi")  # sample_docs rows a language
+    taken = taken.select(*keys, sampled(F.col("text")).alias("text")).groupBy(*keys).agg(F.min("text").alias("text"))
     samples: dict[str, list[bytes]] = {}
     for r in taken.collect():
-        if has_letter(r.text):
-            samples.setdefault(r.lang, []).append(r.text.encode())
+        samples.setdefault(r.lang, []).append(r.text.encode())
     return train({k: sorted(v) for k, v in samples.items()}) if samples else None
 
 

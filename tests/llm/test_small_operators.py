@@ -201,6 +201,25 @@ def test_languages_with_long_documents_only_are_learned(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("lang = 'b'")).collect()} == {"b"}
 
 
+def test_a_text_with_letters_at_its_end_only_is_learned_from_to_its_end(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda samples: taken.update(samples))
+    rows = [(0, "1" * 40_000 + "end of it", "en"), (1, "2" * 40_000, "de"), (3, "begin" + "3" * 40_000 + "middle" + "4" * 40_000, "fr")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(taken) == {"en", "fr"} and taken["en"][0].endswith(b"end of it") and taken["fr"][0].startswith(b"begin3")
+    assert b"3" in taken["fr"][0] and taken["fr"][0].endswith(b"4" * 1024)
+    assert all(len(t[0]) == langid.SAMPLE_CHARS for t in taken.values())
+
+
+def test_extra_columns_of_any_name_and_repeated_rows_leave_predictions_alone(spark):
+    rows = [(k, "some text here to learn from", "en") for k in range(8)] + [(8 + k, "andere worte hier zum lernen", "de") for k in range(8)]
+    docs = spark.createDataFrame(rows + rows[:1] * 2, "doc_id long, text string, lang string")
+    more = docs.selectExpr("*", "'x' AS lang_pred", "0.1 AS score", "7 AS held_out", "'h' AS hash", "3 AS part", "1 AS rank", "9 AS bits_per_byte")
+    plain = sorted(langid.identify(docs).select("doc_id", "lang_pred", "score").collect())
+    assert len(plain) == len(rows) + 2
+    assert sorted(langid.identify(more).select("doc_id", "lang_pred", "score").collect()) == plain
+
+
 def test_language_id_without_letters_or_labels(spark):
     rows = [(0, None, "en"), (1, "12 !?", "en"), (3, "some text", "en"), (4, "more text of it", None), (None, "text", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
