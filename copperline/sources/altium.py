@@ -113,7 +113,8 @@ def record_rows(stream: bytes) -> list[Record]:
     return sorted((row for rows in record_batches([stream]) for row in rows), key=lambda r: r[0])
 
 
-def _read_records(design: str, sheet: str, order: int, source) -> Iterator[pa.RecordBatch]:
+def read_records(design: str, sheet: str, order: int, source) -> Iterator[pa.RecordBatch]:
+    """Record rows of one sheet, in batches."""
     try:
         for rows in record_batches(CompoundFile(source).pieces("FileHeader")):
             idx, kinds, owners, props = zip(*rows, strict=True)
@@ -130,7 +131,7 @@ def records(sheets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for design, sheet, order, content in zip(*(batch.column(k) for k in range(4)), strict=True):
-                yield from _read_records(design.as_py(), sheet.as_py(), order.as_py(), content.as_py() or b"")
+                yield from read_records(design.as_py(), sheet.as_py(), order.as_py(), content.as_py() or b"")
 
     return sheets.select("design_id", "sheet", F.col("sheet_ord").cast("int"), "content").mapInArrow(run, RECORDS)
 
@@ -149,7 +150,7 @@ def file_records(sheets: DataFrame) -> DataFrame:
                 except (FileNotFoundError, IsADirectoryError):
                     continue
                 with source:
-                    yield from _read_records(design, sheet, order, source)
+                    yield from read_records(design, sheet, order, source)
 
     return sheets.select("design_id", "sheet", F.col("sheet_ord").cast("int")).mapInArrow(run, RECORDS)
 

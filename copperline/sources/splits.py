@@ -58,8 +58,8 @@ def split_lines(source, size: int, start: int, length: int) -> Iterator[tuple[in
                 at += len(line) + 1
 
 
-def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The lines of the files that rows (design_id, kind, path) name, in splits of so many bytes. Missing files give none."""
+def ranges(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The rows (path, ...) with the file's size and the start of each of its splits. Missing and empty files give none."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,28 +72,41 @@ def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "size"])
 
+    sized = cut(wanted.select("path").distinct().mapInArrow(sizes, "path string, size long"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
+    return wanted.join(sized.where("size > 0"), "path").select("*", F.explode(starts).alias("start"))
+
+
+def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The lines of the files that rows (design_id, kind, path) name, in splits of so many bytes. Missing files give none."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for design, kind, path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in batches:
+            for design, kind, path, size, start in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 with opened(path) as f:
-                    rows: list[tuple[int, bytes]] = []
-                    for row in split_lines(f, size, start, split):
-                        rows.append(row)
-                        if len(rows) >= BATCH:
-                            yield _batch(design, kind, start // split, rows)
-                            rows = []
-                    if rows:
-                        yield _batch(design, kind, start // split, rows)
+                    for lines in line_batches(f, size, start, split):
+                        yield batch(design, kind, start // split, lines)
 
-    sized = cut(wanted.select("path").distinct().mapInArrow(sizes, "path string, size long"))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
-    ranges = wanted.select("design_id", "kind", "path").join(sized.where("size > 0"), "path").select("design_id", "kind", "path", "size", F.explode(starts).alias("start"))
-    n = sized.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    rows = ranges(wanted.select("design_id", "kind", "path"), split).select("design_id", "kind", "path", "size", "start")
+    n = rows.count()
     # A split is a task; without a number, adaptive execution would join these few rows into one partition.
-    return ranges.repartition(max(1, min(int(n), 1 << 15)), "path", "start").mapInArrow(read, LINES).withColumn("line", exprs.trimmed(F.col("line")))
+    return rows.repartition(max(1, min(n, 1 << 15)), "path", "start").mapInArrow(read, LINES).withColumn("line", exprs.trimmed(F.col("line")))
+
+
+def line_batches(source, size: int, start: int, length: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The lines of ``split_lines``, BATCH at a time."""
+    rows: list[tuple[int, bytes]] = []
+    for row in split_lines(source, size, start, length):
+        rows.append(row)
+        if len(rows) >= BATCH:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
 
 
-def _batch(design: str, kind: str, block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def batch(design: str, kind: str, block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Lines (place, bytes) of a split as rows of LINES."""
     n = len(rows)
     columns = [pa.array([design] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([a for a, _ in rows], pa.int64())]
     return pa.RecordBatch.from_arrays([*columns, pa.array([x.decode("utf-8", "replace") for _, x in rows], pa.string())], names=[f.split()[0] for f in LINES.split(", ")])
