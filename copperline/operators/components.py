@@ -75,7 +75,7 @@ def find_component(netlist: Netlist, refdes: str) -> DataFrame:
 def find_pin(netlist: Netlist, refdes: str, pin: str) -> DataFrame:
     """The first pin of that component with this number, in any case: design_id, refdes, pin, net."""
     owner = find_component(netlist, refdes).select("design_id", "refdes")
-    rows = netlist.component_pins.where(F.lower("pin") == pin.strip().lower()).join(F.broadcast(owner), ["design_id", "refdes"])  # one row a design
+    rows = netlist.component_pins.where(F.lower("pin") == pin.strip().lower()).join(owner, ["design_id", "refdes"])
     order = exprs.map_order(F.col("pin"), F.col("pin_ord"))
     first = F.row_number().over(Window.partitionBy("design_id").orderBy(order))
     return rows.withColumn("n", first).where("n = 1").select("design_id", "refdes", "pin", "net")

@@ -51,8 +51,10 @@ def test_reach(spark, components, start, refs, visited):
 
 
 def test_actives_show_only_the_pins_on_the_net(spark):
-    pins, _ = shown(spark, design(spark, {"U1": {"1": "GND", "2": "VCC", "5": "SIG"}, "R1": {"1": "SIG", "2": "GND"}}), "SIG")
-    assert pins == {("U1", "5", "SIG"), ("R1", "1", "SIG"), ("R1", "2", "GND")}
+    bridge = {"Q3": {"G": "DRIVE", "D": "COIL", "S": "AGND"}, "FB2": {"A": "COIL", "B": "SUPPLY"}, "J8": {"7": "SUPPLY", "8": "DRIVE", "9": "COIL"}}
+    pins, nets = shown(spark, design(spark, bridge), "COIL")
+    assert pins == {("Q3", "D", "COIL"), ("J8", "9", "COIL"), ("FB2", "A", "COIL"), ("FB2", "B", "SUPPLY"), ("J8", "7", "SUPPLY")}
+    assert nets == {"COIL", "SUPPLY"}
 
 
 def test_skipping_and_do_not_stuff(spark):
