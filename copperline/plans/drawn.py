@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from copperline.operators import xnet
 from copperline.plans.projection import ranked_pins, refdes_of
 from copperline.sources import writer
+from copperline.sources.files import located
 from copperline.sources.listing import OLE_MAGIC, as_listing
 
 # Fixed distances of the drawn sheets, in whole units: parts, pins of a part, a pin's length and a wire's reach.
@@ -71,6 +72,107 @@ def altium_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.join(F.broadcast(kinds), "kind").select("design_id", F.concat("design_id", F.lit("/"), "kind", F.lit(".SchDoc")).alias("sheet"), "sheet_ord", "content")
 
 
+#: Keys whose parts of a brand share a varied sheet: sheets grow in number and not in size.
+SHEET_KEYS = 1000
+
+
+def varied_part(at: int, place: int, key: int, size: int, name: str, kind: str, brand: str) -> list[dict]:
+    """Records of a U part and an R part that stand at record ``at`` and in column ``place`` of a varied sheet.
+
+    Odd keys write their fields in upper case. The part number is a parameter or one of two fields, the comment equals the
+    value, names a parameter in another case or one that is not there, or is a text. Every seventh description ends in a byte
+    that is no UTF-8. Wires without a label join pins 10 and 9 of the R part with pin 1 of the U part, and its pins B2 and A10; its
+    pin 77 is alone. Every eleventh part owns a chain of five records.
+    """
+    said = (lambda n: n.upper()) if key % 2 else (lambda n: n)
+    x = place * PART_STEP
+    tip = x + PIN_LENGTH
+
+    def pin(owner: int, number: str, row: int) -> dict[str, str]:
+        spot = {said("Location.X"): str(x), said("Location.Y"): str(row * PIN_STEP), said("PinLength"): str(PIN_LENGTH)}
+        return {"RECORD": "2", said("OwnerIndex"): str(owner), said("Designator"): number, **spot}
+
+    head = {"RECORD": "1", said("CurrentPartId"): "1", **({said("PartNumber"): f"PN{size}"} if key % 3 == 1 else {said("Mpn"): f"MP{size}"} if key % 3 == 2 else {})}
+    text = "|".join(f"{a}={b}" for a, b in head.items()) + f"|{said('Description')}={name}"
+    own = {said("OwnerIndex"): str(at)}
+    told = [("Manufacturer Part Number", f"{brand}-{size}")] if key % 3 == 0 else []
+    told += [("Value", str(size)), ("KIND", kind), ("Comment", (str(size), "=Kind", "=Absent", kind)[size % 4])]
+    rows: list[dict] = [{"raw": text.encode() + (b"\xff" if key % 7 == 0 else b"")}, {"RECORD": "34", **own, said("Text"): f"U{key}"}]
+    rows += [{"RECORD": "41", **own, said("Name"): n, said("Text"): t} for n, t in told]
+    rows += [pin(at, n, row) for n, row in (("1", 3), ("B2", 5), ("A10", 6), ("77", 8))]
+    if key % 11 == 0:
+        rows.append({"RECORD": "44", **own})
+        rows += [{"RECORD": k, said("OwnerIndex"): str(at + len(rows) - 1 + n)} for n, k in enumerate(("45", "46", "47", "48"))]
+    r_at = at + len(rows)
+    rows += [{"RECORD": "1", said("CurrentPartId"): "1"}, {"RECORD": "34", said("OwnerIndex"): str(r_at), said("Text"): f"R{key}"}]
+    rows += [pin(r_at, "10", 1), pin(r_at, "9", 2)]
+    wire = lambda a, b: {"RECORD": "27", "X1": str(tip), "Y1": str(a * PIN_STEP), "X2": str(tip), "Y2": str(b * PIN_STEP)}
+    return [*rows, wire(1, 3), wire(5, 6)]
+
+
+def varied_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of varied parts, a design per brand: (design_id, sheet, sheet_ord, content).
+
+    Every fifth U part is drawn again on the next sheet, with another description and a pin that ends nowhere.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = F.struct(F.col("p_partkey").cast("long").alias("key"), F.col("p_size").cast("int").alias("size"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.lit(False).alias("again"))
+    once = part.select("p_brand", F.expr(f"p_partkey div {SHEET_KEYS}").alias("n"), own.alias("p"))
+    again = once.where("p.key % 5 = 0").select("p_brand", F.col("n") + 1, F.col("p").withField("again", F.lit(True)))
+    rows = once.union(again).groupBy("p_brand", "n").agg(F.array_sort(F.collect_list("p")).alias("parts"))  # SHEET_KEYS and a fifth
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for brand, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records: list[dict] = []
+                for place, p in enumerate(parts):
+                    at = len(records)
+                    if p["again"]:
+                        records += [{"RECORD": "1", "CurrentPartId": "1", "ComponentDescription": "again"}, {"RECORD": "34", "OwnerIndex": str(at), "Text": f"U{p['key']}"}]
+                        records.append({"RECORD": "2", "OwnerIndex": str(at), "Designator": "5", "Location.X": str(place * PART_STEP), "Location.Y": "0", "PinLength": str(PIN_LENGTH)})
+                    else:
+                        records += varied_part(at, place, p["key"], p["size"], p["name"], p["kind"], brand)
+                columns = [pa.array([brand]), pa.array([f"{brand}/{n}.SchDoc"]), pa.array([n], pa.int32()), pa.array([writer.sheet(records)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["design_id", "sheet", "sheet_ord", "content"])
+
+    return rows.mapInArrow(draw, "design_id string, sheet string, sheet_ord int, content binary")
+
+
+def exported(lines: DataFrame) -> DataFrame:
+    """Write each block of lines (design_id, kind, block, at, line) as a file of the shared folder: its range for ``sources.designs``.
+
+    A task that runs again writes under new names; only what the returned rows name is read.
+    """
+    root = f"{xnet.shared_root(lines.sparkSession).rstrip('/')}/exports-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = located(root)
+        system.create_dir(base, recursive=True)
+        key, out, size, name = None, None, 0, ""
+
+        def told() -> pa.RecordBatch:
+            out.close()
+            block = key[2]
+            row = {"design_id": key[0], "kind": key[1], "path": name, "size": size, "block": block, "start": 0, "length": size, "base": block << 40}
+            return pa.RecordBatch.from_pylist([row])
+
+        for batch in batches:
+            for *own, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    if out:
+                        yield told()
+                    key, size, name = own, 0, f"{root}/{uuid.uuid4().hex}.dat"
+                    out = system.open_output_stream(base + name.removeprefix(root))
+                raw = f"{line}\n".encode()
+                out.write(raw)
+                size += len(raw)
+        if out:
+            yield told()
+
+    dealt = lines.repartition("design_id", "kind", "block").sortWithinPartitions("design_id", "kind", "block", "at").select("design_id", "kind", "block", "line")
+    return xnet.cut(dealt.mapInArrow(write, "design_id string, kind string, path string, size long, block long, start long, length long, base long"))
+
+
 def planted(spark: SparkSession, files: DataFrame) -> str:
     """Write an empty file for each row (path) below a new folder that driver and executors share; the folder."""
     root = f"{xnet.shared_root(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from copperline import api
 from copperline.functions import exprs
 from copperline.operators import components as parts
 from copperline.operators import answers, xnet
+from copperline.operators.ordering import numbered
 from copperline.plans import drawn, oracle, projection
-from copperline.sources import altium, listing
+from copperline.sources import altium, cadence, designs, listing
 
 
 def altium_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,52 @@ def altium_parts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(named, ["design_id", "sheet", "idx"]).select("design_id", "sheet", "refdes", F.col("props")["ComponentDescription"].alias("description"))
 
 
+def altium_varied_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the varied sheets: fields in either case, numbers and comments from every place, parts on two sheets, bytes that are no UTF-8."""
+    rows = altium.netlist(drawn.varied_sheets(spark, sf_dir)).components
+    return rows.select("design_id", "refdes", "mpn", "description", "comment", "value")
+
+
+def altium_varied_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins of the varied parts with nets that their least pins name; of a part on two sheets those of the first."""
+    return altium.netlist(drawn.varied_sheets(spark, sf_dir)).normalised().component_pins.select("design_id", "refdes", "pin", "net")
+
+
+def altium_varied_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets of the varied sheets with their place in the collated order of a design's names, and their pins."""
+    net = altium.netlist(drawn.varied_sheets(spark, sf_dir))
+    names = parts.list_nets(net).withColumn("collated", exprs.collated(F.col("net")))
+    placed = numbered(names, ["design_id"], ["collated", "net"], "place", xnet.cut)
+    n = net.net_pins.groupBy("design_id", "net").agg(F.count("*").alias("n_pins"))
+    return placed.join(n, ["design_id", "net"]).select("design_id", "net", "place", "n_pins")
+
+
+def altium_owner_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep the records of the varied parts' chains lie, by sheet."""
+    deep = altium.flattened(xnet.cut(altium.records(drawn.varied_sheets(spark, sf_dir)))).where(F.col("kind").between("44", "48"))
+    return deep.groupBy("design_id", "sheet", "kind", F.size("path").alias("depth")).agg(F.count("*").alias("n"))
+
+
+def design_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection as text exports in files, read through the indexed source: nets of all designs, and of one that is asked for.
+
+    Files name pins with the number 1 twice; a net lists such a pin twice and a part has it once.
+    """
+    lines = projection.cadence_lines(spark, sf_dir).withColumn("at", F.col("at") * 2)
+    twice = lines.where(F.startswith("line", F.lit("NODE_NAME")) & F.endswith("line", F.lit(" 1"))).withColumn("at", F.col("at") + 1)
+    index = designs.index(drawn.exported(lines.unionByName(twice)), f"{xnet.shared_root(spark)}/index-{uuid.uuid4().hex}")
+    least = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_brand")).first()[0]
+    read = designs.export_lines(spark, index)
+
+    def told(asked: str, rows: DataFrame) -> DataFrame:
+        net = cadence.netlist_of_lines(rows)
+        listed = net.net_pins.groupBy("design_id", "net").agg(F.count("*").alias("n_listed"))
+        held = net.component_pins.groupBy("design_id", "net").agg(F.count("*").alias("n_pins"))
+        return listed.join(held, ["design_id", "net"]).select(F.lit(asked).alias("asked"), "design_id", "net", "n_listed", "n_pins")
+
+    return told("all", read).unionByName(told("one", read.where(F.col("design_id") == least)))
+
+
 def discover_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Designs of a listed fleet, each data set given to one."""
     return listing.cadence_designs(drawn.cadence_tree(spark, sf_dir))
@@ -154,6 +202,7 @@ def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_record_faults, altium_parts_list,
+        altium_varied_components, altium_varied_pins, altium_varied_nets, altium_owner_chains, design_source,
         discover_cadence, walk_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_every_net, answer_component,
     )
     return {f.__name__: f for f in every}
@@ -169,6 +218,13 @@ sets AS (SELECT * FROM t WHERE bal <= 8000),
 own AS (SELECT home || '/s' || key || '/board' || key || '.DSN' AS path, 'board' || key AS name, CASE WHEN bal <= 8000 THEN dat_dir END AS dat_dir FROM t WHERE bal >= 0)"""
 
 
+#: Pins of the varied sheets, as ``drawn.varied_part`` joins them.
+VARIED = """
+WITH v AS (
+  SELECT p_brand AS design_id, letter || p_partkey AS refdes, pin, name || p_partkey || least AS net
+  FROM part, (VALUES ('R', '10', 'NetR', '_9'), ('R', '9', 'NetR', '_9'), ('U', '1', 'NetR', '_9'), ('U', 'B2', 'NetU', '_A10'), ('U', 'A10', 'NetU', '_A10'), ('U', '77', NULL, NULL)) p(letter, pin, name, least))"""
+
+
 def _drawn_sql() -> dict[str, str]:
     base = f"""
 WITH {oracle.BASE},
@@ -205,6 +261,22 @@ f AS (
   UNION ALL SELECT design_id, sheet, 'Designator', CASE WHEN starts_with(refdes, 'J') THEN 'Text is missing' ELSE 'Name is not Designator' END FROM dp WHERE starts_with(refdes, 'J') OR starts_with(refdes, 'U')
   UNION ALL SELECT design_id, sheet, CASE WHEN net = 'GND' THEN 'Power Port' ELSE 'Net Label' END, 'Text is missing' FROM dn WHERE net IN ('GND', '+3V3'))
 SELECT design_id, sheet, name, fault, count(*) AS n FROM f GROUP BY ALL""",
+        "altium_varied_components": """
+SELECT p_brand AS design_id, 'U' || p_partkey AS refdes, CASE p_partkey % 3 WHEN 0 THEN p_brand || '-' || p_size WHEN 1 THEN 'PN' || p_size ELSE 'MP' || p_size END AS mpn,
+       p_name || CASE WHEN p_partkey % 7 = 0 THEN chr(65533) ELSE '' END AS description,
+       CASE WHEN p_size % 4 IN (1, 3) THEN p_type END AS comment, CAST(p_size AS VARCHAR) AS value FROM part
+UNION ALL SELECT p_brand, 'R' || p_partkey, NULL, NULL, NULL, NULL FROM part""",
+        "altium_varied_pins": f"{VARIED} SELECT design_id, refdes, pin, coalesce(net, 'NC') AS net FROM v",
+        "altium_varied_nets": f"""{VARIED}
+SELECT design_id, net, row_number() OVER (PARTITION BY design_id ORDER BY replace(net, '_', ' ')) - 1 AS place, count(*) AS n_pins
+FROM v WHERE net IS NOT NULL GROUP BY design_id, net""",
+        "altium_owner_chains": f"""
+SELECT p_brand AS design_id, p_brand || '/' || (p_partkey // {drawn.SHEET_KEYS}) || '.SchDoc' AS sheet, CAST(kind AS VARCHAR) AS kind, CAST(kind - 42 AS INT) AS depth, count(*) AS n
+FROM part, range(44, 49) k(kind) WHERE p_partkey % 11 = 0 GROUP BY ALL""",
+        "design_source": f"""
+WITH {oracle.BASE},
+n AS (SELECT p_brand AS design_id, net, count(*) + count(*) FILTER (pin = '1') AS n_listed, count(*) AS n_pins FROM pins JOIN part0 USING (refdes) GROUP BY ALL)
+SELECT 'all' AS asked, * FROM n UNION ALL SELECT 'one', * FROM n WHERE design_id = (SELECT min(p_brand) FROM part)""",
         "altium_parts_list": f"{base} SELECT design_id, sheet, refdes, description FROM dp",
     }
 
