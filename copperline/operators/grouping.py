@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from copperline.functions import exprs
 from copperline.plans.netlist import with_dns
@@ -96,7 +101,7 @@ def aggregate_circuits(components: DataFrame, key: list[str]) -> DataFrame:
 def circuit_hash(components: DataFrame, key: list[str]) -> DataFrame:
     """(key, circuit_hash): 16 hex digits over refdes, part number and wiring of all components of a circuit.
 
-    The text that is hashed is compact JSON; a part number that the source does not know is left out, one that it
+    The text that is hashed is compact JSON, which a task hands to the digest part by part; a part number that the source does not know is left out, one that it
     knows to be missing is null.
     """
     wiring = F.transform(F.array_sort(F.transform("connections", lambda c: F.struct(c["net"].alias("k"), exprs.naturally_sorted(c["pins"]).alias("pins"), c["net"].alias("net")))), lambda s: F.struct(s["pins"].alias("pins"), s["net"].alias("net")))
@@ -104,9 +109,42 @@ def circuit_hash(components: DataFrame, key: list[str]) -> DataFrame:
     known = F.to_json(F.struct("refdes", "mpn", wiring.alias("connections")), keep)
     unknown = F.to_json(F.struct("refdes", wiring.alias("connections")), keep)
     part = F.when(F.coalesce("mpn_present", F.lit(False)), known).otherwise(unknown)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(exprs.natural_key(F.col("refdes")).alias("k"), F.col("refdes").alias("r"), part.alias("j")))), lambda s: s["j"])
-    text = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
-    return components.groupBy(*key).agg(F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("circuit_hash"))
+    order = [*key, "k", "refdes", "body"]
+    rows = components.select(*key, exprs.natural_key(F.col("refdes")).alias("k"), "refdes", part.alias("body"))
+    return digests(rows.repartition(*key).sortWithinPartitions(*order).select(*key, "body"), key)
+
+
+def digests(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, circuit_hash) of rows (key, body) that stand key by key in their order: a task holds one batch of bodies, whatever a key's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, state = None, None
+        for batch in batches:
+            done = []
+            for *own, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own == owner:
+                    state.update(b",")
+                else:
+                    if state:
+                        done.append([*owner, _ended(state)])
+                    owner, state = own, hashlib.sha256(b"[")
+                state.update(body.encode())
+            if done:
+                yield told(done)
+        if state:
+            yield told([[*owner, _ended(state)]])
+
+    def told(done: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)], names=[*key, "circuit_hash"])
+
+    types = [to_arrow_type(rows.schema[k].dataType) for k in key] + [pa.string()]
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    return rows.select(*key, "body").mapInArrow(run, f"{fields}, circuit_hash string")
+
+
+def _ended(state) -> str:
+    state.update(b"]")
+    return state.hexdigest()[:16]
 
 
 EMPTY_HASH = "0" * 16
