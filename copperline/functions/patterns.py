@@ -16,12 +16,18 @@ class InvalidPattern(ValueError):
 # Fixed values of the two dialects.
 _SPACE = r"\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE_ENDS = r"\n\r\u2028\u2029"
+_NAME = re.compile(r"<([A-Za-z_$][\w$]*)>")
 _SAME = frozenset("dDwWfnrt")
 _GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z_$][\w$]*>)")
 _COUNT = re.compile(r"\{\d+(?:,\d*)?\}")
 _HEX = {"x": re.compile(r"[0-9A-Fa-f]{2}"), "u": re.compile(r"[0-9A-Fa-f]{4}")}
 
 
+def _java_name(name: str) -> str:
+    """A group's name in letters and digits alone, which Java asks for; different names stay different."""
+    return "g" + "".join(c if c.isascii() and c.isalnum() and c != "Z" else f"Z{ord(c):x}Z" for c in name)
+
+
 def _escape(pattern: str, k: int, inside: bool) -> tuple[str, int]:
     """(Java's form of the escape at k, the place after it)."""
     if k + 1 == len(pattern):
@@ -43,8 +49,8 @@ def _escape(pattern: str, k: int, inside: bool) -> tuple[str, int]:
         return f"\\x{ord(pattern[k + 2]) % 32:02x}", k + 3
     if c == "0" and not pattern[k + 2 : k + 3].isdigit():
         return r"\x00", k + 2
-    if c == "k" and not inside and (name := re.compile(r"<([A-Za-z][A-Za-z0-9]*)>").match(pattern, k + 2)):
-        return f"\\k<{name.group(1)}>", name.end()
+    if c == "k" and not inside and (name := _NAME.match(pattern, k + 2)):
+        return f"\\k<{_java_name(name.group(1))}>", name.end()
     if c.isascii() and c.isdigit() and not inside:
         return "\\" + c, k + 2  # a back reference
     return (c if c.isascii() and c.isalnum() or not c.isascii() else "\\" + c), k + 2  # a plain character
@@ -84,6 +90,8 @@ def java_pattern(pattern: str) -> str:
                 raise InvalidPattern(pattern)
             text, atom = (opened.group() if opened else "("), False
             end = k + len(text)
+            if named := _NAME.match(text, 2):
+                text = f"(?<{_java_name(named.group(1))}>"
         elif c in "*+?" or c == "{" and (quantified := _COUNT.match(pattern, k)):
             if not atom:
                 raise InvalidPattern(pattern)

@@ -30,6 +30,8 @@ FOUND = [
     (r"^[\S]+$", ["ab"], ["a b"]),
     (r"\x41B\v\0", ["AB\x0b\x00"], ["AB"]),
     (r"(?<n>a|b)\k<n>", ["aa"], ["ab"]),
+    (r"(?<a_b>x|y)(?<aZ>z)\k<a_b>\k<aZ>", ["xzxz"], ["xzyz"]),
+    (r"(?<$1>a)(?<_>b)\k<_>\k<$1>", ["abba"], ["abab"]),
     (r"(a|b)+?c(?!d)(?=e)", ["abce"], ["abcd"]),
     (r"(?<=a)b(?<!ab)|zz", ["zz"], ["ab"]),
     (r"[\b]|\bend\b", ["\x08", "the end"], ["bender"]),
