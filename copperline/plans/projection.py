@@ -26,6 +26,10 @@ def refdes_of(kind, key):
     return F.concat(prefix, key.cast("string"))
 
 
+def net_of(order):
+    return F.when(order % 97 == 0, "GND").when(order % 89 == 0, "+3V3").otherwise(F.concat(F.lit("N"), order.cast("string")))
+
+
 def netlist(spark: SparkSession, sf_dir: str) -> Netlist:
     """Passives have pin 1 on their cheapest line's order and pin 2 on their dearest one's, actives up to eight pins."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -68,8 +72,16 @@ def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     passive = F.col("p_type").isin(list(PREFIXES)[:4])
     pin = F.when(passive, F.filter(F.array(F.when(F.col("low") == 1, F.lit("1")), F.when(F.col("high") == 1, F.lit("2"))), lambda x: x.isNotNull()))
     pin = pin.otherwise(F.when(F.col("low") <= ACTIVE_PINS, F.array(F.col("low").cast("string"))).otherwise(F.array().cast("array<string>")))
-    net = F.when(F.col("l_orderkey") % 97 == 0, "GND").when(F.col("l_orderkey") % 89 == 0, "+3V3").otherwise(F.concat(F.lit("N"), F.col("l_orderkey").cast("string")))
-    return joined.select(F.lit(DESIGN).alias("design_id"), refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net.alias("net"), "l_orderkey", "l_partkey")
+    return joined.select(F.lit(DESIGN).alias("design_id"), refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.explode(pin).alias("pin"), net_of(F.col("l_orderkey")).alias("net"), "l_orderkey", "l_partkey")
+
+
+def every_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(refdes, pin, net) with each line of a part as a pin, numbered by price: parts of any number of pins."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    placed = numbered(lines, ["l_partkey"], ["l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey"], "place", xnet.cut)
+    joined = placed.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), (F.col("place") + 1).cast("string").alias("pin"), net_of(F.col("l_orderkey")).alias("net"))
 
 
 def cadence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

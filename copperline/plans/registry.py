@@ -120,6 +120,14 @@ def circuit_pin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("refdes", F.size("connections").cast("long").alias("n_nets"), F.array_join(F.transform("connections", lambda c: F.concat(F.array_join(c["pins"], ","), F.lit(":"), c["net"])), "|").alias("wiring"))
 
 
+def whole_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of each part when all of its lines are pins: the pins on each net in natural order, and the parts that the net meets."""
+    pins = projection.every_pin(spark, sf_dir)
+    met = pins.select("net", "refdes").distinct().groupBy("net").agg(F.count("*").alias("n_parts"))
+    held = pins.groupBy("refdes", "net").agg(F.array_join(exprs.naturally_sorted(F.collect_set("pin")), ",").alias("pins"))
+    return held.join(met, "net").select("refdes", "net", "pins", "n_parts")
+
+
 def xnet_from_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circuit(spark, sf_dir)[2].select("root", "refdes", "pin", "net")
 
@@ -275,7 +283,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_components_by_description, query_component, available_prefixes, net_classification, dns_flags, passive_flags, net_degree,
         circuit_pin_groups, xnet_from_net, xnet_visited, xnet_from_pin, xnet_power_start, xnet_skip_types, xnet_skipped_counts,
         xnet_all_components, xnet_group_by_mpn, xnet_orientations, xnet_envelope, circuit_hash_all, spatial_connect,
-        greedy_assignment, cadence_round_trip, netlist_problems, compare_netlists, search_nets_by_signs, spatial_groups,
+        whole_fans, greedy_assignment, cadence_round_trip, netlist_problems, compare_netlists, search_nets_by_signs, spatial_groups,
     )
     return {f.__name__: f for f in every} | fleet.queries()
 
@@ -319,6 +327,13 @@ FROM comp LEFT JOIN p USING (refdes)""",
         "circuit_pin_groups": f"""{base},
 c AS (SELECT refdes, net, string_agg(pin, ',' ORDER BY pin) AS p, min(pin) AS p0 FROM pins GROUP BY refdes, net)
 SELECT refdes, count(*) AS n_nets, string_agg(p || ':' || net, '|' ORDER BY p0) AS wiring FROM c GROUP BY refdes""",
+        "whole_fans": f"""{base},
+e AS (
+  SELECT refdes, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_suppkey) AS pin,
+         CASE WHEN l_orderkey % 97 = 0 THEN 'GND' WHEN l_orderkey % 89 = 0 THEN '+3V3' ELSE 'N' || l_orderkey END AS net
+  FROM lineitem JOIN part0 ON l_partkey = p_partkey)
+SELECT refdes, net, string_agg(CAST(pin AS VARCHAR), ',' ORDER BY pin) AS pins, any_value(n_parts) AS n_parts
+FROM e JOIN (SELECT net, count(DISTINCT refdes) AS n_parts FROM e GROUP BY net) USING (net) GROUP BY refdes, net""",
         "xnet_from_net": f"{walk} SELECT root, refdes, pin, net FROM shown",
         "xnet_visited": f"{walk} SELECT root, net, expanded FROM vis",
         "xnet_from_pin": oracle.traversal(pin_starts) + f"""
