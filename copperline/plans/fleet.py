@@ -199,11 +199,47 @@ def answer_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "refdes string, mpn string, description string, value string, dns boolean, pin string, net string")
 
 
+#: Designs that ``answer_designs`` lists, the same in Java and RE2.
+DESIGN_SEARCH = "^n|[05]$"
+
+
+def answer_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer that lists the designs of the walked fleet by a pattern, in its order, with errors in band."""
+    root = drawn.planted(spark, drawn.cadence_tree(spark, sf_dir)).removeprefix("file://")
+    found = api.list_designs(spark, root, DESIGN_SEARCH)
+    rows = [(place, d["name"], d["path"].removeprefix(root), d.get("error")) for place, d in enumerate(found)]
+    return spark.createDataFrame(rows, "place long, name string, path string, error string")
+
+
+def answer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What answers say when nothing fits: whether they are errors, their error or note, and how many results they hold."""
+    net, part = projection.settled(spark, sf_dir), _first_part(spark, sf_dir)
+    asked = {
+        "prefix": api.list_components(spark, net, " zz "),
+        "no type": api.list_components(spark, net, "  "),
+        "nets": api.search_nets(spark, "^none$", net),
+        "pattern": api.search_nets(spark, "a(", net),
+        "refdes": api.search_components_by_refdes(spark, "^none$", net),
+        "mpn": api.search_components_by_mpn(spark, "^none$", net),
+        "description": api.search_components_by_description(spark, "^none$", net),
+        "part": api.query_component(spark, net, "none"),
+        "ground": api.query_xnet_by_net_name(spark, net, "GND"),
+        "net": api.query_xnet_by_net_name(spark, net, "none"),
+        "pin name": api.query_xnet_by_pin_name(spark, net, "none"),
+        "pin of none": api.query_xnet_by_pin_name(spark, net, "none.1"),
+        "pin": api.query_xnet_by_pin_name(spark, net, f"{part}.none"),
+    }
+    said = lambda a: a["error"] if api.is_error(a) else a["notes"][0]
+    rows = [(ask, api.is_error(a), said(a), sum(map(len, a.get("results", {}).values()))) for ask, a in asked.items()]
+    return spark.createDataFrame(rows, "asked string, is_error boolean, said string, n_results long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         altium_components, altium_component_pins, altium_net_pins, altium_xnets, altium_records, altium_record_faults, altium_parts_list,
         altium_varied_components, altium_varied_pins, altium_varied_nets, altium_owner_chains, design_source,
         discover_cadence, walk_cadence, best_data_sets, discover_altium, lookup_pin, answer_by_net, answer_by_pin, answer_every_net, answer_component,
+        answer_designs, answer_edges,
     )
     return {f.__name__: f for f in every}
 
@@ -296,6 +332,23 @@ SELECT {start} AS starting_point, total_components, unique_configurations, circu
     return {
         "lookup_pin": f"WITH {oracle.BASE}, {first} SELECT f.refdes, mpn, description, '1' AS pin, f.net FROM first f JOIN comp USING (refdes)",
         "answer_component": f"WITH {oracle.BASE}, {first.replace(" AS (", " AS MATERIALIZED (", 1)} SELECT refdes, mpn, description, value, dns, pin, p.net FROM comp JOIN (SELECT refdes FROM first) USING (refdes) JOIN pins p USING (refdes)",
+        "answer_edges": f"""WITH {oracle.BASE}, {first.replace(" AS (", " AS MATERIALIZED (", 1)},
+known AS (SELECT string_agg(prefix, ', ' ORDER BY prefix) AS prefixes FROM (SELECT DISTINCT regexp_extract(refdes, '^[A-Z]+') AS prefix FROM comp)),
+held AS (SELECT f.refdes, string_agg(pin, ', ' ORDER BY CAST(pin AS INT)) AS numbers FROM first f JOIN pins p USING (refdes) GROUP BY f.refdes)
+SELECT 'prefix' AS asked, true AS is_error, 'No components with prefix ''ZZ'' found in design ''design''. Available prefixes: [' || prefixes || ']' AS said, CAST(0 AS BIGINT) AS n_results FROM known
+UNION ALL SELECT 'pin', true, 'Pin ''' || refdes || '.none'' not found. Component ' || refdes || ' has pins: [' || numbers || ']', 0 FROM held
+UNION ALL SELECT * FROM (VALUES
+  ('no type', true, 'Missing required parameter: type', 0),
+  ('nets', false, 'No nets matched pattern ''^none$''', 0),
+  ('pattern', true, 'Invalid regex pattern ''a(''', 0),
+  ('refdes', false, 'No components matched refdes pattern ''^none$''', 0),
+  ('mpn', false, '{api.BROADER.format("^none$").replace("'", "''")}', 0),
+  ('description', false, '{api.BROADER.format("^none$").replace("'", "''")}', 0),
+  ('part', true, 'Component ''none'' not found in design ''design''. Use list_components() or search_components_by_refdes() to find available components.', 0),
+  ('ground', true, 'GND is a ground net and cannot be queried.', 0),
+  ('net', true, 'Net ''none'' not found in design ''design''. Use search_nets() to find available nets.', 0),
+  ('pin name', true, 'Invalid pin name ''none''. Expected ''REFDES.PIN''.', 0),
+  ('pin of none', true, 'Component ''none'' not found in design ''design''. Use list_components() or search_components_by_refdes() to find available components.', 0))""",
         "answer_every_net": oracle.traversal(f"SELECT net AS root FROM nets WHERE NOT {oracle.GROUND}") + f"""{oracle.CIRCUIT},
 h AS (SELECT root, substr(sha256('[' || string_agg({part}, ',' ORDER BY {oracle.NATURAL}) || ']'), 1, 16) AS circuit_hash,
       count(*) AS total_components, count(DISTINCT (k, sig)) AS unique_configurations FROM keyed GROUP BY root),
@@ -327,4 +380,5 @@ SELECT name, 'altium' AS format, dir || '/' || name || '.PrjPcb' AS path,
        CASE WHEN bal < 0 THEN '' WHEN bal < 4000 OR bal >= 8000 THEN dir || '/sub/top.SchDoc' ELSE '/pcb/s' || key || '/sub/top.SchDoc,/pcb/shared/b' || key || '.SchDoc' END AS sheets,
        CASE WHEN bal < 0 THEN 'No schematic documents found for project ''' || name || '''.' END AS error FROM p""",
     }
-    return sql | {"walk_cadence": sql["discover_cadence"]}
+    listed = f"SELECT row_number() OVER (ORDER BY name, path) - 1 AS place, name, path, error FROM ({sql['discover_cadence']}) WHERE regexp_matches(name, '{DESIGN_SEARCH}')"
+    return sql | {"walk_cadence": sql["discover_cadence"], "answer_designs": listed}
