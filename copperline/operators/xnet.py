@@ -12,6 +12,7 @@ Both go through the bipartite net - part graph, so a part with many pins costs i
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: a table of the shared folder.
+
+    A checkpoint keeps the estimated size of the plan that made it; joined round after round these estimates are multiplied,
+    to numbers that fill the driver. It also writes whole rows uncompressed, where later steps read a few columns. Files are
+    small for their rows, so joins with the table are merges unless they ask for a broadcast: millions of rows of a few MB
+    would go through the driver.
+    """
+    path = f"{shared_root(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def allowed_components(netlist: Netlist, skip_types: list[str] = (), include_dns: bool = False) -> DataFrame:

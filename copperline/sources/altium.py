@@ -175,17 +175,27 @@ def hierarchy(rows: DataFrame) -> DataFrame:
 def flattened(rows: DataFrame) -> DataFrame:
     """Records with ``path``, the idx of each record from their root down: its order is the depth-first order.
 
-    Each round puts the path of the topmost record met so far before one's own, so depth doubles. A cycle of owners
-    raises ValueError.
+    Each round puts the path of the topmost record met so far before one's own, so depth doubles. Rounds move keys and
+    paths alone, of the records that have not met their root. A cycle of owners raises ValueError.
     """
-    out = cut(rows.withColumns({"path": F.array("idx"), "up": F.col("owner")}))
-    while not out.where(F.col("up").isNotNull()).isEmpty():
-        above = out.select(*SHEET, F.col("idx").alias("up"), F.col("path").alias("upper"), F.col("up").alias("further"))
-        path = F.when(F.col("up").isNotNull(), F.concat(F.coalesce("upper", F.array("up")), "path")).otherwise(F.col("path"))
-        out = cut(out.join(above, [*SHEET, "up"], "left").withColumn("path", path).withColumn("up", F.col("further")).drop("upper", "further"))
+    owned = rows.where(F.col("owner").isNotNull()).select(*SHEET, "idx", F.array("idx").alias("path"), F.col("owner").alias("up"))
+    open_, found = cut(owned), []
+    while not open_.isEmpty():
+        above = open_.select(*SHEET, F.col("idx").alias("up"), F.col("path").alias("upper"), F.col("up").alias("further"))
+        for f in found:  # an owner that met its root has its whole path
+            above = above.unionByName(f.select(*SHEET, F.col("idx").alias("up"), F.col("path").alias("upper"), F.lit(None).cast("long").alias("further")))
+        met = open_.join(above, [*SHEET, "up"], "left")
+        path = F.concat(F.coalesce("upper", F.array("up")), "path")
+        out = cut(met.select(*SHEET, "idx", path.alias("path"), F.col("further").alias("up")))
         if not out.where(F.size("path") > F.size(F.array_distinct("path"))).isEmpty():
             raise ValueError("records own one another in a cycle")
-    return out.drop("up")
+        found.append(out.where(F.col("up").isNull()).drop("up"))
+        open_ = out.where(F.col("up").isNotNull())
+    paths = found[0] if found else owned.drop("up")
+    for more in found[1:]:
+        paths = paths.unionByName(more)
+    with_path = rows.join(paths.withColumnRenamed("path", "owned_path"), [*SHEET, "idx"], "left")
+    return with_path.withColumn("path", F.coalesce("owned_path", F.array("idx"))).drop("owned_path")
 
 
 def parts_list(rows: DataFrame) -> DataFrame:
