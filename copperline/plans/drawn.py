@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +50,15 @@ def drawn_part(at: int, place: int, refdes: str, mpn: str | None, name: str, kin
     return rows + after
 
 
+def drawn_records(kind: str, parts: Iterable[dict]) -> Iterator[dict[str, str]]:
+    """Records of a sheet's parts, a part at a time: a sheet holds as many parts as its brand and type have."""
+    at = 0
+    for place, p in enumerate(parts):
+        rows = drawn_part(at, place, p["refdes"], p["mpn"], p["name"], kind, p["size"], [(x["pin"], x["net"]) for x in p["pins"] or ()])
+        at += len(rows)
+        yield from rows
+
+
 def altium_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection drawn as schematic sheets, a design per brand and a sheet per part type: (design_id, sheet, sheet_ord, content)."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -62,9 +71,7 @@ def altium_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for brand, kind, parts in zip(*batch.columns, strict=True):
-                records: list[dict[str, str]] = []
-                for place, p in enumerate(parts.as_py()):
-                    records += drawn_part(len(records), place, p["refdes"], p["mpn"], p["name"], kind.as_py(), p["size"], [(x["pin"], x["net"]) for x in p["pins"] or ()])
+                records = drawn_records(kind.as_py(), (p.as_py() for p in parts))
                 yield pa.RecordBatch.from_arrays([pa.array([brand.as_py()]), pa.array([kind.as_py()]), pa.array([writer.sheet(records)], pa.binary())], names=["design_id", "kind", "content"])
 
     drawn = rows.mapInArrow(draw, "design_id string, kind string, content binary")
@@ -123,7 +130,7 @@ def varied_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for brand, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for brand, n, parts in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):  # a batch has thousands of sheets
                 records: list[dict] = []
                 for place, p in enumerate(parts):
                     at = len(records)
