@@ -244,7 +244,8 @@ def broken(net: Netlist) -> Netlist:
 
 def netlist_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What breaks the tables' contract in a projection with flaws of every kind; the projection itself has none."""
-    return broken(projection.netlist(spark, sf_dir)).problems().unionByName(projection.netlist(spark, sf_dir).problems())
+    net = projection.settled(spark, sf_dir)
+    return broken(net).problems().unionByName(net.problems())
 
 
 def revised(net: Netlist) -> Netlist:
