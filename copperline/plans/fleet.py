@@ -19,7 +19,7 @@ from copperline.sources import altium, cadence, designs, listing
 
 def altium_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection drawn as sheets, read again: components in the order of sheets and records."""
-    rows = altium.netlist(drawn.altium_sheets(spark, sf_dir)).components
+    rows = altium.design_components(altium.records(drawn.altium_sheets(spark, sf_dir)))
     return rows.select("design_id", "refdes", "mpn", "mpn_present", "description", "comment", "value", "comp_ord")
 
 
@@ -77,7 +77,7 @@ def altium_parts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def altium_varied_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the varied sheets: fields in either case, numbers and comments from every place, parts on two sheets, bytes that are no UTF-8."""
-    rows = altium.netlist(drawn.varied_sheets(spark, sf_dir)).components
+    rows = altium.design_components(altium.records(drawn.varied_sheets(spark, sf_dir)))
     return rows.select("design_id", "refdes", "mpn", "description", "comment", "value")
 
 

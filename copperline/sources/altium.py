@@ -375,6 +375,22 @@ def file_netlist(sheets: DataFrame) -> Netlist:
     return netlist_of_records(file_records(sheets))
 
 
+def _chosen(parts: DataFrame) -> DataFrame:
+    """Of a part on several sheets the first."""
+    first = Window.partitionBy("design_id", "refdes").orderBy("sheet_ord", "sheet")
+    return parts.withColumn("n", F.row_number().over(first)).where("n = 1")
+
+
+def _described(chosen: DataFrame) -> DataFrame:
+    comp_ord = F.row_number().over(Window.partitionBy("design_id").orderBy("sheet_ord", "first")) - 1
+    return chosen.select("design_id", "refdes", "mpn", F.col("mpn").isNotNull().alias("mpn_present"), "description", "comment", "value", comp_ord.cast("long").alias("comp_ord"))
+
+
+def design_components(rows: DataFrame) -> DataFrame:
+    """The components table of all designs whose records are given, without the work that nets take."""
+    return _described(_chosen(components(cut(rows.where(F.col("kind").isin(COMPONENT, DESIGNATOR, PARAMETER))))))
+
+
 def netlist_of_records(rows: DataFrame) -> Netlist:
     """The netlist of all designs whose records are given.
 
@@ -399,10 +415,8 @@ def netlist_of_records(rows: DataFrame) -> Netlist:
     pins = own.join(last, [*SHEET, "refdes", "pin"], "full_outer")
     pins = pins.select(*SHEET, "refdes", "pin", "pin_name", F.coalesce("net", F.lit("")).alias("net"), F.struct(F.col("pin_ord").isNull().alias("late"), F.coalesce("pin_ord", "met").alias("o")).alias("spot"))
 
-    first = Window.partitionBy("design_id", "refdes").orderBy("sheet_ord", "sheet")
-    chosen = parts.withColumn("n", F.row_number().over(first)).where("n = 1")
-    comp_ord = F.row_number().over(Window.partitionBy("design_id").orderBy("sheet_ord", "first")) - 1
-    comps = chosen.select("design_id", "refdes", "mpn", F.col("mpn").isNotNull().alias("mpn_present"), "description", "comment", "value", comp_ord.alias("comp_ord"))
+    chosen = _chosen(parts)
+    comps = _described(chosen)
     place = F.row_number().over(Window.partitionBy("design_id", "refdes").orderBy("spot")) - 1
     kept = pins.join(chosen.select("design_id", "sheet", "refdes"), [*SHEET, "refdes"], "left_semi")
     comp_pins = kept.select("design_id", "refdes", "pin", "pin_name", "net", place.alias("pin_ord"))
