@@ -111,3 +111,24 @@ def test_a_wide_box_stays_four_rows(spark):
     assert boxes.groupBy("box").count().where("count > 4").isEmpty()
     ends = seg.select("sheet", F.col("idx").alias("tip"), F.col("x1").alias("x"), F.col("y1").alias("y"))
     assert geometry.ends_by_cell(ends, [0, 27]).count() == 2 * ends.count()
+
+
+@pytest.mark.parametrize("bound", [0, 50, 500_000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_keys_in_tasks_and_in_rounds(spark, monkeypatch, bound, kind):
+    monkeypatch.setattr(contraction, "KEY_LINKS", bound)
+    rng = random.Random(3)
+    links = [(f"k{k}", rng.randrange(n), rng.randrange(n)) for k, n in enumerate([5, 90, 400, 3000] * 5) for _ in range(n // 2)]
+    links += [("chain", i, i + 1) for i in rng.sample(range(3000), 3000)] + [("k0", None, 1), (None, 1, 2), ("alone", 3, 3)]
+    if kind == "string":
+        links = [(k, *(x if x is None else f"é{x}" if x % 7 == 0 else f"n{x}" for x in ends)) for k, *ends in links]
+    df = spark.createDataFrame(links, f"key string, a {kind}, b {kind}").repartition(4)
+    rows = contraction.key_labels(df, ["key"], xnet.cut).collect()
+    assert len(rows) == len({(r.key, r.node) for r in rows})
+    assert {(r.key, r.node): r.label for r in rows} == plain([x for x in links if x[0]])
+
+
+def test_small_keys_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "MAX_ROUNDS", 0)
+    found = devices(spark, [("s", i, [(i, 0), (i + 1, 0)], None) for i in range(100)])
+    assert {r.group for r in geometry.connected_groups(found, ["sheet"], xnet.cut).collect()} == {0}
