@@ -184,13 +184,12 @@ def xnet_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xnet_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each answer: components, distinct configurations, visited nets."""
     _, seen, pins = _circuit(spark, sf_dir)
-    made = grouping.circuit_components(pins, ["design_id", "root"])
-    configurations = grouping.aggregate_circuits(made, ["design_id", "root"]).groupBy("design_id", "root").agg(F.count("*").alias("unique_configurations"))
-    totals = made.groupBy("design_id", "root").agg(F.count("*").alias("total_components"))
+    groups = grouping.aggregate_circuits(grouping.circuit_components(pins, ["design_id", "root"]), ["design_id", "root"])
+    # A component is in one group, so the groups' counts add up to the components.
+    totals = groups.groupBy("design_id", "root").agg(F.count("*").alias("unique_configurations"), F.sum("total_count").alias("total_components"))
     visited = seen.groupBy("design_id", "root").agg(F.count("*").alias("n_visited"))
-    joined = visited.join(totals, ["design_id", "root"], "left").join(configurations, ["design_id", "root"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return joined.select("root", zero("total_components"), zero("unique_configurations"), "n_visited")
+    return visited.join(totals, ["design_id", "root"], "left").select("root", zero("total_components"), zero("unique_configurations"), "n_visited")
 
 
 def circuit_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
