@@ -23,6 +23,8 @@ from copperline.operators.contraction import key_labels
 from copperline.plans.netlist import Netlist, with_dns
 
 MAX_HOPS = 100_000
+#: Rows of a frontier, and of what it meets, that are broadcast; wider ones are merged with the tables.
+NARROW = 100_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -64,8 +66,9 @@ def allowed_components(netlist: Netlist, skip_types: list[str] = (), include_dns
 
 def passive_pins(netlist: Netlist, skip_types: list[str] = (), include_dns: bool = False) -> DataFrame:
     """(design_id, refdes, pin, net): component pins of the passives that forward a traversal."""
-    allowed = allowed_components(netlist, skip_types, include_dns).where(exprs.is_passive(F.col("refdes")))
-    return netlist.component_pins.join(allowed, ["design_id", "refdes"], "left_semi").select("design_id", "refdes", "pin", "net")
+    passive = exprs.is_passive(F.col("refdes"))  # told by the name, on both sides before they are dealt
+    allowed = allowed_components(netlist, skip_types, include_dns).where(passive)
+    return netlist.component_pins.where(passive).join(allowed, ["design_id", "refdes"], "left_semi").select("design_id", "refdes", "pin", "net")
 
 
 def starts_of(spark: SparkSession, design_nets: list[tuple[str, str]]) -> DataFrame:
@@ -77,25 +80,47 @@ def reach(netlist: Netlist, starts: DataFrame, skip_types: list[str] = (), inclu
 
     ``starts`` has design_id and root; starts that are no net visit nothing.
     """
-    steps = passive_pins(netlist, skip_types, include_dns)
-    touch = netlist.net_pins.select("design_id", "net", "refdes").join(steps.select("design_id", "refdes").distinct(), ["design_id", "refdes"], "left_semi").distinct()
-    touch, ends = cut(touch), cut(steps.select("design_id", "refdes", F.col("net").alias("to")).distinct())
+    ends = cut(passive_pins(netlist, skip_types, include_dns).select("design_id", "refdes", F.col("net").alias("to")).distinct())
+    on_nets = netlist.net_pins.where(exprs.is_passive(F.col("refdes"))).select("design_id", "net", "refdes")
+    touch = cut(on_nets.join(ends.select("design_id", "refdes"), ["design_id", "refdes"], "left_semi").distinct())
     exists = netlist.nets.select("design_id", F.col("net").alias("root"))
     seen = cut(starts.select("design_id", "root").distinct().join(exists, ["design_id", "root"], "left_semi").select("design_id", "root", F.col("root").alias("net"), F.lit(0).alias("hop"), F.lit(True).alias("expanded")))
-    frontier = seen
+    frontier, n, found = seen, seen.count(), None
     for hop in range(1, MAX_HOPS):
-        met = frontier.where("expanded").select("design_id", "root", "net").join(touch, ["design_id", "net"]).select("design_id", "root", "refdes").distinct()
-        near = met.join(ends, ["design_id", "refdes"]).select("design_id", "root", F.col("to").alias("net")).distinct()
-        new = near.join(seen.select("design_id", "root", "net"), ["design_id", "root", "net"], "left_anti")
+        new = _next_nets(frontier.where("expanded").select("design_id", "root", "net"), n, touch, ends, found)
         frontier = cut(new.select("design_id", "root", "net", F.lit(hop).alias("hop"), (~exprs.is_stop(F.col("net"))).alias("expanded")))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+        n = frontier.count()
+        if not n:
+            return seen.unionByName(found) if found else seen
+        found = found.unionByName(frontier) if found else frontier
         if hop % 16 == 0:
-            seen = cut(seen)
+            found = cut(found)
     raise RuntimeError("the traversal did not end")
 
 
+def _next_nets(frontier: DataFrame, n: int, touch: DataFrame, ends: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(design_id, root, net) that a frontier of up to ``n`` rows reaches in a hop, without the roots themselves and those that earlier hops found.
+
+    A narrow frontier goes to the tables, which are scanned and not dealt. What it meets is stored and counted before it goes on,
+    as a hub may make it wide at any step.
+    """
+    key = ["design_id", "root", "net"]
+    end = F.col("to").alias("net")
+    away = F.col("to") != F.col("root")
+    if n > NARROW:
+        met = frontier.join(touch, ["design_id", "net"]).select("design_id", "root", "refdes").distinct()
+        near = met.join(ends, ["design_id", "refdes"]).where(away).select("design_id", "root", end).distinct()
+        return near.join(found.select(key), key, "left_anti") if found else near
+    met = cut(touch.join(F.broadcast(frontier), ["design_id", "net"]).select("design_id", "root", "refdes").distinct())
+    near = cut(ends.join(F.broadcast(met) if met.count() <= NARROW else met, ["design_id", "refdes"]).where(away).select("design_id", "root", end).distinct())
+    if not found:
+        return near
+    if near.count() > NARROW:
+        return near.join(found.select(key), key, "left_anti")
+    known = found.select(key).join(F.broadcast(near), key, "left_semi")  # no more rows than near ones
+    return near.join(F.broadcast(known), key, "left_anti")
+
+
 def circuit_pins(netlist: Netlist, visited: DataFrame, skip_types: list[str] = (), include_dns: bool = False) -> DataFrame:
     """The pins that traversals show: design_id, root, refdes, pin, net, hop, and what is known of the component.
 
@@ -111,7 +136,8 @@ def circuit_pins(netlist: Netlist, visited: DataFrame, skip_types: list[str] = (
     touched = on_nets.where(exprs.is_passive(F.col("refdes"))).groupBy("design_id", "root", "refdes").agg(F.min("hop").alias("hop"), *[F.first(c).alias(c) for c in about])
     others = touched.join(passive_pins(netlist, skip_types, include_dns), ["design_id", "refdes"]).select("design_id", "root", "refdes", "pin", "net", (F.col("hop") + 1).alias("hop"), *about)
     first = F.row_number().over(Window.partitionBy("design_id", "root", "refdes", "pin").orderBy("hop", "net"))
-    rows = on_nets.unionByName(others).withColumn("n", first).where("n = 1").drop("n")
+    # The parts of circuits are dealt once: windows and groups by keys that hold these three find their rows together.
+    rows = on_nets.unionByName(others).repartition("design_id", "root", "refdes").withColumn("n", first).where("n = 1").drop("n")
     return rows.withColumn("dns", F.when(F.col("dns"), True))
 
 

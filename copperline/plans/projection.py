@@ -65,9 +65,13 @@ def ranked_pins(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     """(design_id, refdes, pin, net, l_orderkey, l_partkey)."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     tie = ["l_orderkey", "l_linenumber", "l_suppkey"]
-    by_part = Window.partitionBy("l_partkey")
-    ranked = lines.withColumns({"low": F.row_number().over(by_part.orderBy("l_extendedprice", *tie)), "high": F.row_number().over(by_part.orderBy(F.desc("l_extendedprice"), *tie))})
-    kept = ranked.where((F.col("low") <= ACTIVE_PINS) | (F.col("high") == 1))
+    # One order serves both ends: the dearest line with the least keys is the first one of the last price.
+    by_price = Window.partitionBy("l_partkey").orderBy("l_extendedprice", *tie)
+    price, low = F.col("l_extendedprice"), F.row_number().over(by_price)
+    last = F.last("l_extendedprice").over(by_price.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = lines.withColumns({"low": low, "last": last, "before": F.lag("l_extendedprice").over(by_price)})
+    dearest = price.eqNullSafe(F.col("last")) & ((F.col("low") == 1) | ~price.eqNullSafe(F.col("before")))
+    kept = ranked.withColumn("high", F.when(dearest, 1).otherwise(0)).where((F.col("low") <= ACTIVE_PINS) | (F.col("high") == 1))
     joined = kept.join(part.select("p_partkey", "p_type"), kept.l_partkey == F.col("p_partkey"))
     passive = F.col("p_type").isin(list(PREFIXES)[:4])
     pin = F.when(passive, F.filter(F.array(F.when(F.col("low") == 1, F.lit("1")), F.when(F.col("high") == 1, F.lit("2"))), lambda x: x.isNotNull()))
