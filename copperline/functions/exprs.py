@@ -30,8 +30,9 @@ def dns_pattern(space: str = SPACE) -> str:
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space of any script at either end. Most texts show by their first and last characters that they have none."""
+    plain = lambda at: F.substring(c, at, 1).between("!", "~")
+    return F.when(plain(1) & plain(-1), c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
 
 
 def filled(c: Column) -> Column:

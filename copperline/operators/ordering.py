@@ -8,18 +8,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that a task puts in order at once; a key with more is dealt to many tasks by ranges.
+KEY_ROWS = 500_000
+
+
 def numbered(rows: DataFrame, key: list[str], order: list[str], name: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows with their place among those of their key, from 0, as ``name``; a key may fill any number of tasks.
+    """The rows with their place among those of their key, from 0, as ``name``; a key may fill any number of tasks. Rows without a key go.
+
+    ``rows`` is read more than once, so it should be cut or stored. Keys with over ``KEY_ROWS`` rows are a broadcast table: no
+    more of them are there than rows / ``KEY_ROWS``.
+    """
+    for k in key:
+        rows = rows.where(F.col(k).isNotNull())
+    narrow, wide = by_width(rows, key, cut)
+    placed = _in_tasks(narrow, key, order, name)
+    return placed if wide is None else placed.unionByName(_in_ranges(wide, key, order, name, cut))
+
+
+def by_width(rows: DataFrame, key: list[str], cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys that a task can hold, and those of the others; None if there are none."""
+    wide = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select(*key))
+    if wide.isEmpty():
+        return rows, None
+    return rows.join(F.broadcast(wide), key, "left_anti"), rows.join(F.broadcast(wide), key, "left_semi")
+
+
+def _in_tasks(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
+
+
+def _in_ranges(rows: DataFrame, key: list[str], order: list[str], name: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of few keys, range-partitioned by key and order: a row's number in its part, after the parts before.
 
-    Rows are range-partitioned by key and order, counted by part, and numbered within the part after the parts before.
+    The numbers rise with the part and, within it, row by row. A key and part is a row of a broadcast table.
     """
-    dealt = rows.repartitionByRange(*key, *order).withColumn("part", F.spark_partition_id())
-    dealt = cut(dealt)  # parts must not change between the two readings
-    counts = dealt.groupBy(*key, "part").agg(F.count("*").alias("n_part"))  # a row for each part that holds the key
+    dealt = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("row", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("part", F.shiftright("row", 33)))  # parts must not change between the two readings
+    counts = dealt.groupBy(*key, "part").agg(F.min("row").alias("first_row"), F.count("*").alias("n_part"))
     before = F.sum("n_part").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("n_before", F.coalesce(before, F.lit(0))).drop("n_part")
-    own = F.row_number().over(Window.partitionBy(*key, "part").orderBy(*order)) - 1
-    return dealt.withColumn("n_own", own).join(counts, [*key, "part"]).withColumn(name, (F.col("n_own") + F.col("n_before")).cast("long")).drop("part", "n_own", "n_before")
+    placed = dealt.join(F.broadcast(counts), [*key, "part"]).withColumn(name, (F.col("row") - F.col("first_row") + F.col("n_before")).cast("long"))
+    return placed.drop("row", "part", "first_row", "n_before")
 
 
 def carried(rows: DataFrame, key: list[str], block: str, at: str, values: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,6 +146,15 @@ def varied_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(draw, "design_id string, sheet string, sheet_ord int, content binary")
 
 
+def run_starts(columns: list[pa.Array]) -> list[int]:
+    """Where runs of rows begin that are alike in all columns; rows with a null may be runs of their own."""
+    new = np.arange(len(columns[0])) == 0
+    for column in columns:
+        codes = column.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def exported(lines: DataFrame) -> DataFrame:
     """Write each block of lines (design_id, kind, block, at, line) as a file of the shared folder: its range for ``sources.designs``.
 
@@ -164,13 +174,16 @@ def exported(lines: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for *own, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *keys, lines = batch.columns
+            starts = run_starts(keys)
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = [c[start].as_py() for c in keys]
                 if own != key:
                     if out:
                         yield told()
                     key, size, name = own, 0, f"{root}/{uuid.uuid4().hex}.dat"
                     out = system.open_output_stream(base + name.removeprefix(root))
-                raw = f"{line}\n".encode()
+                raw = "".join(f"{line}\n" for line in lines[start:end].to_pylist()).encode()
                 out.write(raw)
                 size += len(raw)
         if out:

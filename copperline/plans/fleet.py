@@ -106,9 +106,10 @@ def design_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Files name pins with the number 1 twice; a net lists such a pin twice and a part has it once.
     """
-    lines = projection.cadence_lines(spark, sf_dir).withColumn("at", F.col("at") * 2)
-    twice = lines.where(F.startswith("line", F.lit("NODE_NAME")) & F.endswith("line", F.lit(" 1"))).withColumn("at", F.col("at") + 1)
-    index = designs.index(drawn.exported(lines.unionByName(twice)), f"{xnet.shared_root(spark)}/index-{uuid.uuid4().hex}")
+    lines = projection.cadence_lines(spark, sf_dir)
+    at, twice = F.col("at") * 2, F.startswith("line", F.lit("NODE_NAME")) & F.endswith("line", F.lit(" 1"))
+    lines = lines.withColumn("at", F.explode(F.when(twice, F.array(at, at + 1)).otherwise(F.array(at))))
+    index = designs.index(drawn.exported(lines), f"{xnet.shared_root(spark)}/index-{uuid.uuid4().hex}")
     least = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_brand")).first()[0]
     read = designs.export_lines(spark, index)
 

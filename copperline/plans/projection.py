@@ -91,7 +91,7 @@ def every_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cadence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection as the lines of text exports, a design per brand, in blocks of bounded size (see ``sources.splits``)."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("refdes", refdes_of(F.col("p_type"), F.col("p_partkey")))
-    pins = ranked_pins(spark, sf_dir, part).join(part.select("p_brand", "refdes"), "refdes")
+    pins = xnet.cut(ranked_pins(spark, sf_dir, part).join(part.select("p_brand", "refdes"), "refdes").select("p_brand", "refdes", "pin", "net"))
     text = lambda *pieces: F.concat(*[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in pieces])
     sections = lambda kind, name, lines: (F.lit(kind).alias("kind"), F.col(name).alias("section"), F.posexplode(F.array(*lines)).alias("n", "line"))
     net = pins.select("p_brand", "net").distinct().select("p_brand", *sections("pstxnet", "net", [F.lit("NET_NAME"), text("='", "net", "='")]))
@@ -103,5 +103,5 @@ def cadence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = part.select("p_brand", "p_type").distinct()
     chip = kinds.select("p_brand", *sections("pstchip", "p_type", [text("=primitive '", "p_type", "=';"), *fixed("pin", "'FIRST':", "PIN_NUMBER='(1)';", "end_pin;", "body"), body, *fixed("end_body;")]))
     rows = net.unionByName(node).unionByName(component).unionByName(chip).withColumnRenamed("p_brand", "design_id")
-    placed = numbered(rows, ["design_id", "kind"], ["section", "n", "line"], "at", xnet.cut)
+    placed = numbered(xnet.cut(rows), ["design_id", "kind"], ["section", "n", "line"], "at", xnet.cut)
     return placed.select("design_id", "kind", F.expr(f"at div {BLOCK_LINES}").alias("block"), "at", "line")

@@ -223,7 +223,7 @@ def spatial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cadence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection written as text exports, one design per brand, and parsed and joined again."""
-    net = cadence.netlist_of_lines(xnet.cut(projection.cadence_lines(spark, sf_dir)))
+    net = cadence.netlist_of_lines(projection.cadence_lines(spark, sf_dir))
     pins = net.component_pins.select("design_id", "refdes", "pin", "pin_name", "net")
     return net.components.select("design_id", "refdes", "mpn", "description", "value").join(pins, ["design_id", "refdes"], "left")
 

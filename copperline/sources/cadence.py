@@ -169,7 +169,8 @@ def split_netlist(wanted: DataFrame, split: int = splits.SPLIT) -> Netlist:
 
 
 def netlist_of_lines(lines: DataFrame) -> Netlist:
-    """The netlist of designs whose files are given as lines, as ``splits`` has them."""
+    """The netlist of designs whose files are given as lines, as ``splits`` has them. Lines are read once, the steps read what was kept of them."""
+    lines = cut(lines)
     return joined(splits.nets(lines), splits.parts(lines), *splits.chips(lines))
 
 
@@ -183,18 +184,18 @@ def joined(nets: DataFrame, parts: DataFrame, values: DataFrame, names: DataFram
     nets = cut(nets)
     nodes = nets.where("refdes IS NOT NULL")
     valid = nodes.where(exprs.is_refdes(F.col("refdes")))
-    held = valid.groupBy("design_id", "refdes").agg(F.min(F.struct("net_ord", "ref_ord")).alias("met"))
+    spot = F.struct("net_ord", "ref_ord", "pin_ord")
+    pins = cut(valid.groupBy("design_id", "refdes", "pin").agg(F.max_by("net", spot).alias("net"), F.min(spot).alias("first")))
+    held = pins.groupBy("design_id", "refdes").agg(F.min("first").alias("met"))
 
     rows = parts.withColumn("known", F.lit(True)).join(held, ["design_id", "refdes"], "full_outer").join(values, ["design_id", "part_name"], "left")
     late = {"o_kind": F.when(F.col("known"), 0).otherwise(1), "o_place": F.coalesce("comp_ord", F.col("met.net_ord")), "o_ref": F.coalesce(F.col("met.ref_ord"), F.lit(0))}
-    rows = numbered(rows.withColumns(late).drop("comp_ord"), ["design_id"], list(late), "comp_ord", cut)
+    rows = numbered(cut(rows.withColumns(late).drop("comp_ord")), ["design_id"], list(late), "comp_ord", cut)
     known = F.coalesce("known", F.lit(False))
     components = rows.select("design_id", "refdes", "mpn", known.alias("mpn_present"), "description", F.lit(None).cast("string").alias("comment"), F.when(F.col("met").isNotNull(), F.col("chip_value")).alias("value"), "comp_ord")
 
-    spot = F.struct("net_ord", "ref_ord", "pin_ord")
-    pins = valid.groupBy("design_id", "refdes", "pin").agg(F.max_by("net", spot).alias("net"), F.min(spot).alias("first"))
-    pins = pins.join(parts.select("design_id", "refdes", "part_name"), ["design_id", "refdes"], "left").join(names, ["design_id", "part_name", "pin"], "left")
     pins = numbered(pins, ["design_id", "refdes"], ["first"], "pin_ord", cut)
+    pins = pins.join(parts.select("design_id", "refdes", "part_name"), ["design_id", "refdes"], "left").join(names, ["design_id", "part_name", "pin"], "left")
     component_pins = pins.select("design_id", "refdes", "pin", exprs.pin_name(F.col("pin"), F.col("pin_name")).alias("pin_name"), "net", "pin_ord")
 
     net_pins = nodes.select("design_id", "net", "refdes", "pin", "net_ord", "ref_ord", "pin_ord")

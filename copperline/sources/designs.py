@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
@@ -102,8 +103,8 @@ class _Reader(DataSourceReader):
                 if self.sheets:
                     yield from altium.read_records(r["design_id"], r["path"], r["block"], source)
                 else:
-                    for lines in splits.line_batches(source, r["size"], r["start"], r["length"]):
-                        yield splits.batch(r["design_id"], r["kind"], r["block"], [(r["base"] + at, line) for at, line in lines])
+                    for places, lines in splits.line_batches(source, r["size"], r["start"], r["length"]):
+                        yield splits.batch(r["design_id"], r["kind"], r["block"], pc.add(places, r["base"]), lines)
 
 
 class ExportLines(DataSource):

@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copperline.functions import exprs
-from copperline.operators.ordering import carried, numbered
+from copperline.operators.ordering import by_width, carried, numbered
 from copperline.operators.xnet import cut
 from copperline.sources.files import opened
 
@@ -85,7 +86,7 @@ def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
             for design, kind, path, size, start in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 with opened(path) as f:
                     for lines in line_batches(f, size, start, split):
-                        yield batch(design, kind, start // split, lines)
+                        yield batch(design, kind, start // split, *lines)
 
     rows = ranges(wanted.select("design_id", "kind", "path"), split).select("design_id", "kind", "path", "size", "start")
     n = rows.count()
@@ -93,23 +94,47 @@ def read_lines(wanted: DataFrame, split: int = SPLIT) -> DataFrame:
     return rows.repartition(max(1, min(n, 1 << 15)), "path", "start").mapInArrow(read, LINES).withColumn("line", exprs.trimmed(F.col("line")))
 
 
-def line_batches(source, size: int, start: int, length: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The lines of ``split_lines``, BATCH at a time."""
-    rows: list[tuple[int, bytes]] = []
-    for row in split_lines(source, size, start, length):
-        rows.append(row)
-        if len(rows) >= BATCH:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
+def line_batches(source, size: int, start: int, length: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The lines of ``split_lines`` as arrays (places, lines), at most BATCH at a time: the lines that a read ends are split at once."""
+    end, at, held = min(start + length, size), max(start - 1, 0), b""
+    before = start > 0
+    source.seek(at)
+    while at < end:
+        more = source.read(READ)
+        stop, last = more.rfind(b"\n"), not more
+        if before:
+            begun = more.find(b"\n")
+            if last:
+                return
+            if begun < 0:
+                at += len(more)
+                continue
+            at, more, stop, before = at + begun + 1, more[begun + 1 :], stop - begun - 1, False
+        if stop < 0 and not last:
+            held += more
+            continue
+        lines = pc.list_flatten(pc.split_pattern(pa.array([held if last else held + more[:stop]], pa.large_binary()), b"\n"))
+        held = more[stop + 1 :]
+        sizes = pc.add(pc.binary_length(lines).cast(pa.int64()), 1)
+        ends = pc.cumulative_sum(sizes)
+        places = pc.add(pc.subtract(ends, sizes), at)
+        n = pc.sum(pc.less(places, end)).as_py()
+        for k in range(0, n, BATCH):
+            yield places[k : min(k + BATCH, n)], lines[k : min(k + BATCH, n)]
+        if last:
+            return
+        at += ends[-1].as_py()
 
 
-def batch(design: str, kind: str, block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def batch(design: str, kind: str, block: int, places: pa.Array, lines: pa.Array) -> pa.RecordBatch:
     """Lines (place, bytes) of a split as rows of LINES."""
-    n = len(rows)
-    columns = [pa.array([design] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([a for a, _ in rows], pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([x.decode("utf-8", "replace") for _, x in rows], pa.string())], names=[f.split()[0] for f in LINES.split(", ")])
+    same = lambda value, t: pa.repeat(pa.scalar(value, t), len(lines))
+    try:
+        text = lines.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        text = pa.array([x.decode("utf-8", "replace") for x in lines.to_pylist()], pa.string())
+    columns = [same(design, pa.string()), same(kind, pa.string()), same(block, pa.int64()), places, text]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in LINES.split(", ")])
 
 
 def _under(lines: DataFrame, kind: str, header: Column) -> DataFrame:
@@ -125,22 +150,36 @@ def _ranked(rows: DataFrame, key: list[str], column: str, first: str, name: str)
     return numbered(placed, key, ["k_kind", "k_place"], name, cut).drop("k_kind", "k_place", first)
 
 
+def _held_pins(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """The nodes with ``ref_ord`` and ``pin_ord``, a net being held by one task."""
+    ref = Window.partitionBy(*key, "refdes")
+    rows = nodes.repartition(*key).withColumns({"pin_ord": (F.row_number().over(ref.orderBy("at")) - 1).cast("long"), "first": F.min("at").over(ref)})
+    order = exprs.map_order(F.col("refdes"), F.col("first"))
+    rows = rows.withColumns({"k_kind": order["c"], "k_place": order["o"]})
+    place = F.dense_rank().over(Window.partitionBy(*key).orderBy("k_kind", "k_place")) - 1
+    return rows.withColumn("ref_ord", place.cast("long")).drop("k_kind", "k_place", "first")
+
+
 def nets(lines: DataFrame) -> DataFrame:
     """(design_id, net, net_ord, refdes, ref_ord, pin, pin_ord); a net without nodes has one row of nulls. A repeated net replaces the earlier one."""
     line = F.col("line")
-    rows = _under(lines, "pstxnet", line == "NET_NAME").where(line != "NET_NAME")
+    rows = _under(lines, "pstxnet", line == "NET_NAME")
     quoted = F.startswith(line, F.lit("'")) & F.endswith(line, F.lit("'"))
-    words = F.split(line, exprs.SPACE + "+")
-    node = F.startswith(line, F.lit("NODE_NAME")) & (F.size(words) >= 3)
-    named = rows.where(quoted).groupBy(*DESIGN, "head").agg(F.min_by(F.expr("substring(line, 2, length(line) - 2)"), "at").alias("net"))
+    words = F.when(F.startswith(line, F.lit("NODE_NAME")), F.split(line, exprs.SPACE + "+"))
+    told = rows.select(*DESIGN, "head", "at", F.when(quoted, F.expr("substring(line, 2, length(line) - 2)")).alias("name"), words.alias("words"))
+    told = cut(told.where("name IS NOT NULL OR size(words) >= 3").select(*DESIGN, "head", "at", "name", F.col("words")[1].alias("refdes"), F.col("words")[2].alias("pin")))
+    named = told.where("name IS NOT NULL").groupBy(*DESIGN, "head").agg(F.min_by("name", "at").alias("net"))
     named = cut(named.groupBy(*DESIGN, "net").agg(F.max("head").alias("head"), F.min("head").alias("first")))
     order = _ranked(named.select(*DESIGN, "net", "first"), DESIGN, "net", "first", "net_ord")
-    held = named.drop("first").join(order, [*DESIGN, "net"])
-    nodes = rows.where(node).select(*DESIGN, "head", "at", words[1].alias("refdes"), words[2].alias("pin"))
+    held = cut(named.drop("first").join(order, [*DESIGN, "net"]))
+    nodes = told.where("refdes IS NOT NULL").select(*DESIGN, "head", "at", "refdes", "pin")
     nodes = cut(nodes.join(held, [*DESIGN, "head"]).select(*DESIGN, "net", "net_ord", "refdes", "pin", "at"))
     key = [*DESIGN, "net"]
-    refs = _ranked(nodes.groupBy(*key, "refdes").agg(F.min("at").alias("first")), key, "refdes", "first", "ref_ord")
-    pins = numbered(nodes, [*key, "refdes"], ["at"], "pin_ord", cut).join(refs, [*key, "refdes"])
+    narrow, wide = by_width(nodes, key, cut)
+    pins = _held_pins(narrow, key)
+    if wide is not None:
+        refs = _ranked(cut(wide.groupBy(*key, "refdes").agg(F.min("at").alias("first"))), key, "refdes", "first", "ref_ord")
+        pins = pins.unionByName(numbered(wide, [*key, "refdes"], ["at"], "pin_ord", cut).join(refs, [*key, "refdes"]))
     columns = ["design_id", "net", "net_ord", "refdes", "ref_ord", "pin", "pin_ord"]
     empty = held.join(nodes.select(*key).distinct(), key, "left_anti").select(*key, "net_ord", F.lit(None).cast("string").alias("refdes"), F.lit(None).cast("long").alias("ref_ord"), F.lit(None).cast("string").alias("pin"), F.lit(None).cast("long").alias("pin_ord"))
     return pins.select(*columns).unionByName(empty.select(*columns))
