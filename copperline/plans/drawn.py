@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 
 from copperline.operators import xnet
 from copperline.plans.projection import ranked_pins, refdes_of
-from copperline.sources import writer
+from copperline.sources import altium, writer
 from copperline.sources.files import located
 from copperline.sources.listing import OLE_MAGIC, as_listing
 
 # Fixed distances of the drawn sheets, in whole units: parts, pins of a part, a pin's length and a wire's reach.
 PART_STEP, PIN_STEP, PIN_LENGTH, WIRE_END = 100, 20, 4, 50
+#: Parts that are taken out of an Arrow batch at once.
+PARTS = 512
 
 
 def drawn_part(at: int, place: int, refdes: str, mpn: str | None, name: str, kind: str, size: str, pins: list[tuple[str, str]]) -> list[dict[str, str]]:
@@ -60,24 +63,28 @@ def drawn_records(kind: str, parts: Iterable[dict]) -> Iterator[dict[str, str]]:
         yield from rows
 
 
-def altium_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection drawn as schematic sheets, a design per brand and a sheet per part type: (design_id, sheet, sheet_ord, content)."""
+def altium_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the projection drawn as schematic sheets, a design per brand and a sheet per part type.
+
+    A sheet holds as many parts as its brand and type have. They come to its task a row each, in their order, and the file that
+    they are drawn in is read where it was drawn: neither a sheet's parts nor its file are ever one row.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     pins = ranked_pins(spark, sf_dir, part).groupBy("refdes").agg(F.collect_list(F.struct("pin", "net")).alias("pins"))
+    kinds = part.select("p_type").distinct().select("p_type", (F.row_number().over(Window.orderBy("p_type")) - 1).alias("sheet_ord"))  # a few part types
     size = F.col("p_size").cast("string")
     about = part.select("p_brand", "p_type", F.col("p_partkey").cast("long").alias("key"), refdes_of(F.col("p_type"), F.col("p_partkey")).alias("refdes"), F.when(F.col("p_size") % 10 != 0, F.concat("p_brand", F.lit("-"), size)).alias("mpn"), F.col("p_name").alias("name"), size.alias("size"))
-    about = about.join(pins, "refdes", "left")
-    rows = about.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("key", "refdes", "mpn", "name", "size", "pins"))).alias("parts"))
+    about = about.join(pins, "refdes", "left").join(F.broadcast(kinds), "p_type")
+    sheet = F.concat("p_brand", F.lit("/"), "p_type", F.lit(".SchDoc")).alias("sheet")
+    order = ["p_brand", "p_type", "key", "refdes", "mpn", "name", "size", "pins"]
+    rows = about.select(sheet, "sheet_ord", *order).repartition("p_brand", "p_type").sortWithinPartitions(*order)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for brand, kind, parts in zip(*batch.columns, strict=True):
-                records = drawn_records(kind.as_py(), (p.as_py() for p in parts))
-                yield pa.RecordBatch.from_arrays([pa.array([brand.as_py()]), pa.array([kind.as_py()]), pa.array([writer.sheet(records)], pa.binary())], names=["design_id", "kind", "content"])
+        parts = (p for b in batches for k in range(0, b.num_rows, PARTS) for p in b.slice(k, PARTS).to_pylist())
+        for (brand, kind, sheet, ord_), own in groupby(parts, lambda p: (p["p_brand"], p["p_type"], p["sheet"], p["sheet_ord"])):
+            yield from altium.read_records(brand, sheet, ord_, writer.sheet(drawn_records(kind, own)))
 
-    drawn = rows.mapInArrow(draw, "design_id string, kind string, content binary")
-    kinds = part.select("p_type").distinct().select(F.col("p_type").alias("kind"), (F.row_number().over(Window.orderBy("p_type")) - 1).alias("sheet_ord"))  # a few part types
-    return drawn.join(F.broadcast(kinds), "kind").select("design_id", F.concat("design_id", F.lit("/"), "kind", F.lit(".SchDoc")).alias("sheet"), "sheet_ord", "content")
+    return rows.mapInArrow(draw, altium.RECORDS)
 
 
 #: Keys whose parts of a brand share a varied sheet: sheets grow in number and not in size.

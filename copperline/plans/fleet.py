@@ -19,28 +19,28 @@ from copperline.sources import altium, cadence, designs, listing
 
 def altium_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection drawn as sheets, read again: components in the order of sheets and records."""
-    rows = altium.design_components(altium.records(drawn.altium_sheets(spark, sf_dir)))
+    rows = altium.design_components(drawn.altium_records(spark, sf_dir))
     return rows.select("design_id", "refdes", "mpn", "mpn_present", "description", "comment", "value", "comp_ord")
 
 
 def altium_component_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pins of the drawn parts with the nets that wires, labels and ports give them; hidden pins are none."""
-    return altium.netlist(drawn.altium_sheets(spark, sf_dir)).normalised().component_pins.select("design_id", "refdes", "pin", "pin_name", "net")
+    return altium.netlist_of_records(drawn.altium_records(spark, sf_dir)).normalised().component_pins.select("design_id", "refdes", "pin", "pin_name", "net")
 
 
 def altium_net_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pins of the drawn nets, across the sheets of a design; pins that end nowhere are on none."""
-    return altium.netlist(drawn.altium_sheets(spark, sf_dir)).net_pins.select("design_id", "net", "refdes", "pin")
+    return altium.netlist_of_records(drawn.altium_records(spark, sf_dir)).net_pins.select("design_id", "net", "refdes", "pin")
 
 
 def altium_xnets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extended nets of the drawn designs."""
-    return xnet.closures(altium.netlist(drawn.altium_sheets(spark, sf_dir)).normalised()).select("design_id", "net", "label")
+    return xnet.closures(altium.netlist_of_records(drawn.altium_records(spark, sf_dir)).normalised()).select("design_id", "net", "label")
 
 
 def altium_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the drawn sheets by kind: how many, how many are roots, their depth and how many are valid."""
-    rows = xnet.cut(altium.records(drawn.altium_sheets(spark, sf_dir)))
+    rows = xnet.cut(drawn.altium_records(spark, sf_dir))
     names = F.create_map(*[F.lit(x) for kind in altium.RECORD_NAMES.items() for x in kind])
     valid = F.lit(False)
     for kind in ("1", "2", "17", "25", "27", "34", "41"):
@@ -61,7 +61,7 @@ def flawed(rows: DataFrame) -> DataFrame:
 
 def altium_record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What breaks the rules of their types in records with flaws of every kind; the drawn records themselves have none."""
-    rows = altium.records(drawn.altium_sheets(spark, sf_dir))
+    rows = drawn.altium_records(spark, sf_dir)
     names = F.create_map(*[F.lit(x) for kind in altium.RECORD_NAMES.items() for x in kind])
     found = altium.record_faults(rows.unionByName(flawed(rows)))
     return found.groupBy("design_id", "sheet", names[F.col("kind")].alias("name"), "fault").agg(F.count("*").alias("n"))
@@ -69,7 +69,7 @@ def altium_record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def altium_parts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the drawn sheets, found by a field's value, with the record that designates them."""
-    rows = xnet.cut(altium.records(drawn.altium_sheets(spark, sf_dir)))
+    rows = xnet.cut(drawn.altium_records(spark, sf_dir))
     named = altium.designators(rows).withColumnRenamed("owner", "idx")
     found = altium.find_records(altium.record_view(rows, "parts-list"), "CurrentPartId", "1")
     return found.join(named, ["design_id", "sheet", "idx"]).select("design_id", "sheet", "refdes", F.col("props")["ComponentDescription"].alias("description"))
